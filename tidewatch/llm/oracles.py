@@ -47,14 +47,16 @@ WITH texts AS (
 ), words AS (
   SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM texts
 ), grams AS (
-  SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, n, list_slice(w, i, i + n - 1)) > 1 AS again
-  FROM words, (VALUES ({5}), ({MIN_REPEAT}), ({MAX_REPEAT + 1})) AS sizes(n) WHERE i + n - 1 <= len(w)
+  SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ')) > 1 AS again
+  FROM words, (VALUES (5), ({MIN_REPEAT})) AS sizes(n) WHERE i + n - 1 <= len(w)
 ), hit AS (
-  SELECT doc_id, n, unnest(range(i, i + n)) AS i FROM grams WHERE again AND n <= {MIN_REPEAT}
+  SELECT doc_id, n, unnest(range(i, i + n)) AS i FROM grams WHERE again
 ), counted AS (
   SELECT doc_id, count(DISTINCT CASE WHEN n = 5 THEN i END) AS n_repeat, count(DISTINCT CASE WHEN n = {MIN_REPEAT} THEN i END) AS n_covered FROM hit GROUP BY doc_id
 ), long AS (
-  SELECT DISTINCT doc_id FROM grams WHERE again AND n = {MAX_REPEAT + 1}
+  SELECT DISTINCT doc_id FROM (
+    SELECT doc_id, list_slice(w, i, i + {MAX_REPEAT}) AS g FROM grams JOIN words USING (doc_id, i) WHERE again AND n = {MIN_REPEAT} AND i + {MAX_REPEAT} <= len(w)
+  ) GROUP BY doc_id, g HAVING count(*) > 1
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)
   WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id

@@ -61,6 +61,12 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.suffix_dedup import deduplicated
+
+    return deduplicated(table(spark, sf_dir, "documents"), with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.llm.packing import packed
 
@@ -68,4 +74,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_top_k, op3_license_scans, op4_quality_rules, op5_language_id, op6_simhash_near_dedup, op7_sharding, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_top_k, op3_license_scans, op4_quality_rules, op5_language_id, op6_simhash_near_dedup, op7_sharding, op8_suffix_array_dedup, op9_packing)}
