@@ -32,11 +32,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, mixed, partitions, text_steps
+from tidewatch.llm.common import STEP_BYTES, flat, mixed, partitions, text_steps
 
 WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
-WIDTH = REACH + WINDOW
+WIDTH = 2 * REACH  # the bytes in front and behind; those of the trigger itself follow from its hash
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64))
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -145,6 +145,29 @@ _PHRASE = [("h", "<u8", 1), ("doc", "<i8", 1), ("at", "<i8", 1), ("front", "u1",
 _BLOB = "bucket int, data binary, n long"
 
 
+def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts compressed, so that the one shuffle that deals them out by document stays small."""
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        zipped = pa.array([None if t is None else pack.compress(t) for t in texts], pa.binary())
+        names = [x for x in batch.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([zipped, *(batch.column(x) for x in names)], ["zip", *names])
+
+
+def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with about `limit` bytes of text, and the texts."""
+    unpack = zstandard.ZstdDecompressor()
+    for batch in batches:
+        texts, size, lo = [], 0, 0
+        for k, data in enumerate(batch.column("zip").to_pylist()):
+            texts.append(b"" if data is None else unpack.decompress(data))
+            size += len(texts[-1])
+            if size >= limit or k == batch.num_rows - 1:
+                yield batch.slice(lo, k + 1 - lo), pa.array(texts, pa.binary())
+                texts, size, lo = [], 0, k + 1
+
+
 def _parse(buckets: int):
     """Each batch's triggers. A hash that several documents of the batch have is asked for once, its places are told at once (bucket -1)."""
 
@@ -198,8 +221,8 @@ def _phrases(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for rows, col in text_steps(batches):
-            ids = np.asarray(rows.column("doc_id"))
+        for rows, col in _unzipped(batches):
+            ids = np.asarray(rows.column("_id"))
             data, offsets = flat(col)
             named = rows.column("places")
             size = np.diff(np.asarray(named.offsets))
@@ -210,11 +233,12 @@ def _phrases(buckets: int):
             place = at - offsets[text]
             front = np.minimum(REACH, place)
             behind = np.minimum(REACH, offsets[text + 1] - at - SEED)
-            padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WIDTH, np.uint8)])
-            around = np.lib.stride_tricks.sliding_window_view(padded, WIDTH)[at]
+            padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WINDOW, np.uint8)])
+            seen = np.lib.stride_tricks.sliding_window_view(padded, REACH + WINDOW)[at]
+            h = _hash_rows(seen[:, REACH:WINDOW])
+            around = np.concatenate([seen[:, :REACH], seen[:, WINDOW:]], axis=1)
             column = np.arange(WIDTH)
-            around = np.where((column >= REACH - front[:, None]) & (column < REACH + SEED + behind[:, None]), around, 0).astype(np.uint8)
-            h = _hash_rows(around[:, REACH : REACH + SEED])
+            around[(column < REACH - front[:, None]) | (column >= REACH + behind[:, None])] = 0
             whole = _hash_rows(around) ^ mixed((front * 64 + behind).astype(np.uint64))
             doc = ids[text]
             order = np.lexsort((place, doc, whole, h))
@@ -253,12 +277,12 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = len(x["h"])
     if n:
         front, behind, around = x["front"].astype(np.int64), x["behind"].astype(np.int64), x["around"]
-        key, power = np.zeros(n, np.uint64), np.uint64(pow(int(_BASE), WINDOW, 1 << 64))
-        for c in range(WINDOW):
+        key, power = np.zeros(n, np.uint64), np.uint64(pow(int(_BASE), REACH, 1 << 64))
+        for c in range(REACH):
             key = key * _BASE + _BYTES[around[:, c]]
         lost = np.zeros((n, REACH + 1), bool)
-        for start in range(REACH + 1):  # suffixes that begin at this place of the phrase, to the depth of a window
-            fits = np.nonzero((start >= REACH - front) & (start + WINDOW <= REACH + SEED + behind))[0]
+        for start in range(REACH + 1):  # suffixes that begin at this place of the phrase, to the depth of a window with its trigger
+            fits = np.nonzero((start >= REACH - front) & (start <= behind))[0]
             own = mixed(key[fits]) ^ x["h"][fits]
             order = np.argsort(own, kind="stable")
             if len(order):
@@ -266,7 +290,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc = x["doc"][fits][order]
                 lost[fits[order], start] = doc > np.minimum.reduceat(doc, first)[group]
             if start < REACH:
-                key = key * _BASE - _BYTES[around[:, start]] * power + _BYTES[around[:, start + WINDOW]]
+                key = key * _BASE - _BYTES[around[:, start]] * power + _BYTES[around[:, start + REACH]]
         edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         row, begin = np.nonzero(edge == 1)
         _, end = np.nonzero(edge == -1)
@@ -291,9 +315,9 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut(with_text: bool, kept: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, col in text_steps(batches):
+        for rows, col in _unzipped(batches):
             out: list[list] = [[], [], [], [], [], []]
-            spans, null = rows.column("spans").to_pylist(), rows.column("text").is_null().to_pylist()
+            spans, null = rows.column("spans").to_pylist(), rows.column("zip").is_null().to_pylist()
             for data, own, none in zip(col.to_pylist(), spans, null):
                 runs: list[list[int]] = []
                 for lo, hi in sorted((s["lo"], s["hi"]) for s in own or ()):
@@ -321,17 +345,17 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
     kept = ["doc_id", *(keep or [])]
     n = partitions(docs.sparkSession)
     rows = docs.select("text", *(F.col(c) for c in kept)).withColumn("_id", F.col("doc_id").cast("long"))
-    texts = rows.filter("_id IS NOT NULL")
-    parse = texts.select("text", F.col("_id").alias("doc_id")).mapInArrow(_parse(n), _BLOB)
+    fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
+    zipped = lambda part: part.mapInArrow(_zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
+    texts = zipped(rows.filter("_id IS NOT NULL")).repartition(n, "_id")  # both joins take this one exchange
+    parse = rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")).mapInArrow(_parse(n), _BLOB)
     place = F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket"))
     repeated = parse.repartition(n, place).mapInArrow(_repeated, "doc_id long, place int")
     named = repeated.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
-    both = texts.join(named, F.col("_id") == F.col("_of")).select("text", F.col("_id").alias("doc_id"), "places")
-    phrases = both.mapInArrow(_phrases(n), _BLOB)
+    phrases = texts.join(named, F.col("_id") == F.col("_of")).mapInArrow(_phrases(n), _BLOB)
     lost = phrases.repartition(n, place).mapInArrow(_judge, "doc_id long, lo long, hi long")
     spans = lost.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    schema = docs.select(*kept).schema
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
-    every = texts.join(spans, F.col("_id") == F.col("_of"), "left").drop("_id", "_of")
-    nameless = rows.filter("_id IS NULL").drop("_id").withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
-    return every.unionByName(nameless).mapInArrow(_cut(with_text, kept), fields)
+    nameless = zipped(rows.filter("_id IS NULL")).withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
+    every = texts.join(spans, F.col("_id") == F.col("_of"), "left").drop("_of").unionByName(nameless)
+    result = ", ".join([*(fields[k] for k in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
+    return every.mapInArrow(_cut(with_text, kept), result)
