@@ -57,11 +57,11 @@ def by_bytes(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int
         lo = min(hi, n)
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches with about `limit` bytes of column `text`, and that column as bytes."""
+def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, name: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with about `limit` bytes of a text column, and that column as bytes."""
     for batch in batches:
         if batch.num_rows:
-            col = binary(batch, "text")
+            col = binary(batch, name)
             for lo, hi in by_bytes(flat(col)[1], limit):
                 yield batch.slice(lo, hi - lo), col.slice(lo, hi - lo)
 

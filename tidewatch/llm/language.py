@@ -122,7 +122,7 @@ def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value) if shared.value else None
-        for rows, col in text_steps(batches):
+        for rows, col in text_steps(batches, name="_text"):
             data, offsets = flat(col)
             n, ids = len(col), rows.column(1)
             pred, score = [UNDETERMINED] * n, np.zeros(n)
@@ -145,7 +145,7 @@ def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc
 
     schema = docs.select(id_col, *kept).schema
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string", "score double"])
-    return docs.selectExpr(f"`{text_col}` AS text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return docs.selectExpr(f"`{text_col}` AS _text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -165,7 +165,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, col in text_steps(batches):
+        for rows, col in text_steps(batches, name="_text"):
             m = measure(col, min_repeat)
             bad = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
             good = ~bad & (m["n_covered"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
@@ -173,4 +173,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             yield pa.RecordBatch.from_arrays([*given, *(pa.array(m[c]) for c in counts), pa.array(bad), pa.array(good)], [id_col, *kept, *counts, "base_failed", "kept"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{c} long" for c in counts), "base_failed boolean", "kept boolean"])
-    return docs.selectExpr(f"`{text_col}` AS text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return docs.selectExpr(f"`{text_col}` AS _text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)

@@ -74,4 +74,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_top_k, op3_license_scans, op4_quality_rules, op5_language_id, op6_simhash_near_dedup, op7_sharding, op8_suffix_array_dedup, op9_packing)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.llm.sentencepiece_codec import digests
+
+    return digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_exact_top_k, op3_license_scans, op4_quality_rules, op5_language_id, op6_simhash_near_dedup, op7_sharding, op8_suffix_array_dedup, op9_packing, op10_sentencepiece)}
