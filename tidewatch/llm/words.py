@@ -23,9 +23,12 @@ class _Index(dict):
 
 
 class WordTable:
-    """Encodes texts given as lists of words; each distinct word is encoded once while the table holds it."""
+    """Encodes texts given as lists of words; each distinct word is encoded once while the table holds it.
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], limit: int = LIMIT) -> None:
+    encode: gives the ids of each word as the bytes of 32-bit integers.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], limit: int = LIMIT) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -39,13 +42,13 @@ class WordTable:
         if self.index.new:
             new, self.index.new = self.index.new, []
             own = self.encode(new)
-            sizes = np.fromiter(map(len, own), np.int64, len(own))
+            sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
             total, first = int(sizes.sum()), len(self.index) - len(new)
             while self.used + total > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             while len(self.index) > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[self.used : self.used + total] = np.fromiter((x for ids in own for x in ids), np.int32, total)
+            self.ids[self.used : self.used + total] = np.frombuffer(b"".join(own), np.int32)
             self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
             self.used += total
         return out
