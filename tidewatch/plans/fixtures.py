@@ -43,16 +43,16 @@ hourly AS (
 
 
 def closes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(day, x) from orders and (day, y) from line items: two calendars."""
+    """(day, x) from orders and (day, y) from line items: two calendars of days as text, whose order is that of time."""
     total = lambda c: (F.sum(F.round(F.col(c) * 100).cast("long")) / F.lit(100.0))
-    a = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(total("o_totalprice").alias("x"))
-    b = table(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(total("l_extendedprice").alias("y"))
+    a = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day")).agg(total("o_totalprice").alias("x"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(total("l_extendedprice").alias("y"))
     return a, b
 
 
 CLOSES = """
-closes_a AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS x FROM orders GROUP BY 1),
-closes_b AS (SELECT CAST(l_shipdate AS DATE) AS day, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS y FROM lineitem GROUP BY 1)"""
+closes_a AS (SELECT strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') AS day, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS x FROM orders GROUP BY 1),
+closes_b AS (SELECT strftime(CAST(l_shipdate AS DATE), '%Y-%m-%d') AS day, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) / CAST(100 AS DOUBLE) AS y FROM lineitem GROUP BY 1)"""
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
