@@ -32,11 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import STEP_BYTES, flat, mixed, partitions, text_steps
+from tidewatch.llm.common import flat, mixed, partitions, text_steps
 
 WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
 WIDTH = 2 * REACH  # the bytes in front and behind; those of the trigger itself follow from its hash
+#: Text bytes that are parsed at once, triggers and text bytes that are gathered before they are dealt out (each is asked for once).
+PARSE_BYTES, PARSE_TRIGGERS, PHRASE_BYTES = 2 << 20, 1_200_000, 24 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64))
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -155,7 +157,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([zipped, *(batch.column(x) for x in names)], ["zip", *names])
 
 
-def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = PARSE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches with about `limit` bytes of text, and the texts."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -173,15 +175,14 @@ def _parse(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for rows, col in text_steps(batches):
-            ids = np.asarray(rows.column("doc_id"))
-            data, offsets = flat(col)
-            at, h = triggers(data, offsets)
-            text = _text_of(at, offsets)
-            doc, place = ids[text], (at - offsets[text]).astype(np.int32)
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def told() -> Iterator[pa.RecordBatch]:
+            h, doc, place = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(h, kind="stable")
             if not len(order):
-                continue
+                return
             start, group = _first_of(order, h)
             several = np.zeros(len(order), bool)
             several[order] = (np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start))[group]
@@ -191,6 +192,16 @@ def _parse(buckets: int):
             if several.any():
                 yield _rows([(-1, {"doc": doc[several], "at": place[several]})], pack)
 
+        for rows, col in text_steps(batches, PARSE_BYTES):
+            data, offsets = flat(col)
+            at, h = triggers(data, offsets)
+            text = _text_of(at, offsets)
+            held.append((h, np.asarray(rows.column("doc_id"))[text], (at - offsets[text]).astype(np.int32)))
+            if sum(len(x[0]) for x in held) >= PARSE_TRIGGERS:
+                yield from told()
+        if held:
+            yield from told()
+
     return run
 
 
@@ -221,7 +232,7 @@ def _phrases(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for rows, col in _unzipped(batches):
+        for rows, col in _unzipped(batches, PHRASE_BYTES):
             ids = np.asarray(rows.column("_id"))
             data, offsets = flat(col)
             named = rows.column("places")
@@ -347,7 +358,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
     rows = docs.select("text", *(F.col(c) for c in kept)).withColumn("_id", F.col("doc_id").cast("long"))
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
     zipped = lambda part: part.mapInArrow(_zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
-    texts = zipped(rows.filter("_id IS NOT NULL")).repartition(n, "_id")  # both joins take this one exchange
+    texts = zipped(rows.filter("_id IS NOT NULL")).filter("_id IS NOT NULL").repartition(n, "_id")  # both joins take this one exchange
     parse = rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")).mapInArrow(_parse(n), _BLOB)
     place = F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket"))
     repeated = parse.repartition(n, place).mapInArrow(_repeated, "doc_id long, place int")
