@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 STEP_BYTES = 4 << 20
 
 
+_LARGE: dict[Hashable, Any] = {}
+
+
+def only(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A large object that this process keeps between tasks (a model, a table of words); making another one lets it go."""
+    if key not in _LARGE:
+        _LARGE.clear()
+        _LARGE[key] = make()
+    return _LARGE[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -57,8 +69,13 @@ def by_bytes(offsets: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int
         lo = min(hi, n)
 
 
-def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, name: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Slices of the batches with about `limit` bytes of a text column, and that column as bytes."""
+def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, name: str = "text", keep: bool = False) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Slices of the batches with about `limit` bytes of a text column, and that column as bytes.
+
+    keep: whether the process's large object is for this work; else it is let go.
+    """
+    if not keep:
+        _LARGE.clear()
     for batch in batches:
         if batch.num_rows:
             col = binary(batch, name)

@@ -23,13 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.automaton import SuffixAutomaton
-from tidewatch.llm.common import by_bytes, flat, text_steps
+from tidewatch.llm.common import flat, only, text_steps
 
 ROWS, SAMPLE, BLOCK, UNDETERMINED = 300, 40_000, 512, "und"
 CLASSES = 48  # byte classes: 0 pads, 1 is anything that isn't a letter, 2 a rare letter byte
 
-_MODELS: dict[int, "Model"] = {}
-
 
 def byte_classes(sample: dict[str, list[bytes]]) -> np.ndarray:
     """A class for each byte: the letters of ASCII without case, then the most frequent other bytes of the sample."""
@@ -93,11 +91,7 @@ class Model:
 
 
 def _model(sample: dict[str, list[bytes]]) -> Model:
-    key = hash(tuple((k, *v) for k, v in sorted(sample.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(sample)
-    return _MODELS[key]
+    return only(("languages", hash(tuple((k, *v) for k, v in sorted(sample.items())))), lambda: Model(sample))
 
 
 def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[str, list[bytes]]:
@@ -117,12 +111,13 @@ def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[s
 
 def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, further kept columns, lang_pred, score): score is how much cheaper the winner is than the next language."""
-    kept = keep or []
+    kept = [c for c in keep or [] if c != text_col]
+    own = text_col if text_col in (keep or []) else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(sample)  # at most SAMPLE bytes a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(shared.value) if shared.value else None
-        for rows, col in text_steps(batches, name="_text"):
+        for rows, col in text_steps(batches, name=own, keep=True):
             data, offsets = flat(col)
             n, ids = len(col), rows.column(1)
             pred, score = [UNDETERMINED] * n, np.zeros(n)
@@ -141,11 +136,11 @@ def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc
                 else:
                     score = letters.astype(float)
                 pred = [model.names[b] if ok else UNDETERMINED for b, ok in zip(best, letters)]
-            yield pa.RecordBatch.from_arrays([ids, *(rows.column(k + 2) for k in range(len(kept))), pa.array(pred, pa.string()), pa.array(score)], [id_col, *kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([ids, *(rows.column(k + 2) for k in range(len(kept))), *([rows.column(0)] if own == text_col else []), pa.array(pred, pa.string()), pa.array(score)], [id_col, *kept, *([text_col] if own == text_col else []), "lang_pred", "score"])
 
-    schema = docs.select(id_col, *kept).schema
+    schema = docs.select(id_col, *kept, *([text_col] if own == text_col else [])).schema
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string", "score double"])
-    return docs.selectExpr(f"`{text_col}` AS _text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

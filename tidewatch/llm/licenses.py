@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.automaton import SuffixAutomaton
-from tidewatch.llm.common import text_steps
+from tidewatch.llm.common import only, text_steps
 
 #: Fixed values of the contract: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -154,14 +154,8 @@ class Scanner:
         return spans
 
 
-_SCANNERS: dict[str, Scanner] = {}
-
-
 def scanner(base: dict[str, str], templates: dict[str, list[str]]) -> Scanner:
-    key = repr((base, templates))
-    if key not in _SCANNERS:
-        _SCANNERS[key] = Scanner(base, templates)
-    return _SCANNERS[key]
+    return only(("licences", repr((base, templates))), lambda: Scanner(base, templates))
 
 
 FIELDS = "doc_id {id}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label: string, first: long, last: long, covered: double>>"
@@ -173,7 +167,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(base, templates)
-        for rows, col in text_steps(batches, 16 << 20):
+        for rows, col in text_steps(batches, 16 << 20, keep=True):
             out: list[list] = [[] for _ in range(8)]
             for text in col.to_pylist():
                 n, places, spans = scan.scan(text)

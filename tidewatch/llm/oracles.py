@@ -41,21 +41,28 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DE
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
 """
 
+def _gram(n: int) -> str:
+    """The words from one on, joined; null where fewer than n are left."""
+    return " || ' ' || ".join(f"lead(x, {k}) OVER o" for k in range(n))
+
+
 _QUALITY = f"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), words AS (
-  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM texts
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM texts
 ), grams AS (
-  SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, n, array_to_string(list_slice(w, i, i + n - 1), ' ')) > 1 AS again
-  FROM words, (VALUES (5), ({MIN_REPEAT})) AS sizes(n) WHERE i + n - 1 <= len(w)
+  SELECT doc_id, i, n, count(*) OVER (PARTITION BY doc_id, n, g) > 1 AS again FROM (
+    SELECT doc_id, i, 5 AS n, {_gram(5)} AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+    UNION ALL SELECT doc_id, i, {MIN_REPEAT}, {_gram(MIN_REPEAT)} FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+  ) WHERE g IS NOT NULL
 ), hit AS (
   SELECT doc_id, n, unnest(range(i, i + n)) AS i FROM grams WHERE again
 ), counted AS (
   SELECT doc_id, count(DISTINCT CASE WHEN n = 5 THEN i END) AS n_repeat, count(DISTINCT CASE WHEN n = {MIN_REPEAT} THEN i END) AS n_covered FROM hit GROUP BY doc_id
 ), long AS (
   SELECT DISTINCT doc_id FROM (
-    SELECT doc_id, list_slice(w, i, i + {MAX_REPEAT}) AS g FROM grams JOIN words USING (doc_id, i) WHERE again AND n = {MIN_REPEAT} AND i + {MAX_REPEAT} <= len(w)
+    SELECT doc_id, list_slice(w, i, i + {MAX_REPEAT}) AS g FROM grams JOIN texts USING (doc_id) WHERE again AND n = {MIN_REPEAT} AND i + {MAX_REPEAT} <= len(w)
   ) GROUP BY doc_id, g HAVING count(*) > 1
 ), lines AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts)

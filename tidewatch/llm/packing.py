@@ -20,68 +20,68 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, text_steps
+from tidewatch.llm.common import cut, only, text_steps
 from tidewatch.llm.numbering import numbered
 from tidewatch.llm.words import WordTable
 
 LONGEST, END = 4096, 2
-CALL, PARTS = 500, 1_000_000
+CALL, PARTS = 500, 700_000
 
 #: The vocabulary's own split, written out for the characters up to U+00FF; other words are left to the library whole.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t-\r\x85\xa0a-z0-9²³¹¼½¾ªµºß-öø-ÿ]+")
-_TABLES: dict[str, WordTable] = {}
-
 
 def word_table(path: str) -> WordTable:
     """The process's table for a vocabulary file of the library `tokenizers`."""
-    if path not in _TABLES:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        whole = Tokenizer.from_file(path)
-        names = {i: name for name, i in whole.get_vocab().items()}
-        closes = np.array([names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
-        library = lambda texts: [np.array(e.ids, np.int32) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
-        parts: dict[str, bytes] = {}
-
-        def learn(new: list[str]) -> None:
-            """Encode parts of words, many to a call: each part's last token closes a word."""
-            for lo in range(0, len(new), CALL):
-                own = new[lo : lo + CALL]
-                ids = library([" ".join(own)])[0]
-                ends = np.nonzero(closes[ids])[0] + 1
-                if len(ends) == len(own) and ends[-1] == len(ids):
-                    data = ids.tobytes()
-                    parts.update(zip(own, [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
-                else:
-                    parts.update(zip(own, [x.tobytes() for x in library(own)]))
-
-        def encode(words: list[bytes]) -> list[bytes]:
-            if len(parts) > PARTS:
-                parts.clear()
-            split: list[list[str]] = []
-            new: dict[str, None] = {}
-            odd: dict[str, None] = {}
-            for word in words:
-                text = word.decode()
-                if "<|" in text or not text.isascii() and max(text) > "ÿ":
-                    own = [text]
-                    if text not in parts:
-                        odd[text] = None
-                else:
-                    own = _SPLIT.findall(text.lower())
-                    for part in own:
-                        if part not in parts:
-                            new[part] = None
-                split.append(own)
-            learn([x for x in new if x not in odd])
-            parts.update(zip(odd, [x.tobytes() for x in library(list(odd))]))
-            return [parts[own[0]] if len(own) == 1 else b"".join([parts[part] for part in own]) for own in split]
-
-        _TABLES[path] = WordTable(encode)
-    return _TABLES[path]
+    return only(("words", path), lambda: _word_table(path))
+
+
+def _word_table(path: str) -> WordTable:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(path)
+    names = {i: name for name, i in whole.get_vocab().items()}
+    closes = np.array([names.get(i, "").endswith("</w>") for i in range(max(names) + 1)])
+    library = lambda texts: [np.array(e.ids, np.int32) for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    parts: dict[str, bytes] = {}
+
+    def learn(new: list[str]) -> None:
+        """Encode parts of words, many to a call: each part's last token closes a word."""
+        for lo in range(0, len(new), CALL):
+            own = new[lo : lo + CALL]
+            ids = library([" ".join(own)])[0]
+            ends = np.nonzero(closes[ids])[0] + 1
+            if len(ends) == len(own) and ends[-1] == len(ids):
+                data = ids.tobytes()
+                parts.update(zip(own, [data[4 * a : 4 * b] for a, b in zip([0, *ends.tolist()], ends.tolist())]))
+            else:
+                parts.update(zip(own, [x.tobytes() for x in library(own)]))
+
+    def encode(words: list[bytes]) -> list[bytes]:
+        if len(parts) > PARTS:
+            parts.clear()
+        split: list[list[str]] = []
+        new: dict[str, None] = {}
+        odd: dict[str, None] = {}
+        for word in words:
+            text = word.decode()
+            if "<|" in text or not text.isascii() and max(text) > "ÿ":
+                own = [text]
+                if text not in parts:
+                    odd[text] = None
+            else:
+                own = _SPLIT.findall(text.lower())
+                for part in own:
+                    if part not in parts:
+                        new[part] = None
+            split.append(own)
+        learn([x for x in new if x not in odd])
+        parts.update(zip(odd, [x.tobytes() for x in library(list(odd))]))
+        return [parts[own[0]] if len(own) == 1 else b"".join([parts[part] for part in own]) for own in split]
+
+    return WordTable(encode)
 
 
 def piece_lengths(n: int, longest: int = LONGEST) -> list[int]:
@@ -95,7 +95,7 @@ def pieces(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
-        for rows, col in text_steps(batches, 2 << 20):
+        for rows, col in text_steps(batches, 2 << 20, keep=True):
             row, start, length, crc, total, ids = [], [], [], [], [], []
             for i, own in enumerate(table.tokens([text.split() for text in col.to_pylist()])):
                 data, at, n = np.append(own, end).astype("<u4").tobytes(), 0, len(own) + 1

@@ -160,17 +160,19 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
 
     keep: further columns to hand through (all rows' columns stay apart from the measured names).
     """
-    kept = keep or []
-    schema = docs.select(id_col, *kept).schema
+    kept = [c for c in keep or [] if c != text_col]
+    own = text_col if text_col in (keep or []) else "_text"
+    given_text = [text_col] if own == text_col else []
+    schema = docs.select(id_col, *kept, *given_text).schema
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, col in text_steps(batches, name="_text"):
+        for rows, col in text_steps(batches, name=own):
             m = measure(col, min_repeat)
             bad = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEATED_PERCENT * m["n_words"])
             good = ~bad & (m["n_covered"] <= max_covered * m["n_words"]) & (m["longest_repeat"] <= max_repeat)
-            given = [rows.column(k + 1) for k in range(1 + len(kept))]
-            yield pa.RecordBatch.from_arrays([*given, *(pa.array(m[c]) for c in counts), pa.array(bad), pa.array(good)], [id_col, *kept, *counts, "base_failed", "kept"])
+            given = [*(rows.column(k + 1) for k in range(1 + len(kept))), *([rows.column(0)] if given_text else [])]
+            yield pa.RecordBatch.from_arrays([*given, *(pa.array(m[c]) for c in counts), pa.array(bad), pa.array(good)], [id_col, *kept, *given_text, *counts, "base_failed", "kept"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{c} long" for c in counts), "base_failed boolean", "kept boolean"])
-    return docs.selectExpr(f"`{text_col}` AS _text", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)

@@ -25,12 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import text_steps
+from tidewatch.llm.common import only, text_steps
 from tidewatch.llm.words import WordTable
 
 MARK, UNKNOWN_COST = "▁", 10.0
-_MODELS: dict[str, "Codec"] = {}
-
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
     """Field numbers and values of a serialised message (varints and byte strings)."""
@@ -183,11 +181,7 @@ class Codec:
 
 def codec(model: bytes) -> Codec:
     """The process's codec for a model."""
-    key = f"{len(model)}-{zlib.crc32(model)}"
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Codec(model)
-    return _MODELS[key]
+    return only(("pieces", len(model), zlib.crc32(model)), lambda: Codec(model))
 
 
 def _model(path: str) -> bytes:
@@ -200,7 +194,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(_model(path))
-        for rows, col in text_steps(batches, 2 << 20):
+        for rows, col in text_steps(batches, 2 << 20, keep=True):
             yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(own.encode(col.to_pylist()), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -227,7 +221,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(_model(path))
-        for rows, col in text_steps(batches, 2 << 20):
+        for rows, col in text_steps(batches, 2 << 20, keep=True):
             texts = col.to_pylist()
             ids = own.encode(texts)
             back = own.decode(ids)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-LIMIT = 600_000
+LIMIT = 400_000
 
 
 class _Index(dict):
