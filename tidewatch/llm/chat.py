@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import partitions
+from tidewatch.llm.common import mapped, partitions
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: Strings that templates in use give a meaning; the template's own come first.
@@ -107,7 +107,7 @@ def canonical_turns(records: DataFrame) -> DataFrame:
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("conv_id").take(at), batch.column("turn").take(at), pa.array(part, pa.int32()), pa.array(roles, pa.string()), pa.array(texts, pa.string())], ["conv_id", "turn", "part", "role", "text"])
 
-    return records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "record").mapInArrow(run, "conv_id long, turn long, part int, role string, text string")
+    return mapped(records.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "record"), run, "conv_id long, turn long, part int, role string, text string")
 
 
 def escape(column):
@@ -169,7 +169,7 @@ def read_back(segments: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
     order = ["conv_id", "turn", "role", "text", "part"]
     streams = segments.repartition(partitions(segments.sparkSession), "conv_id").sortWithinPartitions(*order)
-    return streams.select("conv_id", "segment").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return mapped(streams.select("conv_id", "segment"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def turn_records(conversations: DataFrame) -> DataFrame:

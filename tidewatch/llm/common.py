@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import re
 import tempfile
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -11,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step works on; arrays of a few times this size are held.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 _LARGE: dict[Hashable, Any] = {}
@@ -25,6 +28,25 @@ def only(key: Hashable, make: Callable[[], Any]) -> Any:
     return _LARGE[key]
 
 
+#: Bytes that Spark hands to a Python worker at once; both ends hold a few such batches.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size, so that long texts don't fill the workers' memory."""
+    conf = df.sparkSession.conf
+    if not 0 < int(re.match(r"-?\d+", conf.get(BATCH_KEY))[0]) <= BATCH_BYTES:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the machine (workers live on between tasks)."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,6 +103,8 @@ def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, name:
             col = binary(batch, name)
             for lo, hi in by_bytes(flat(col)[1], limit):
                 yield batch.slice(lo, hi - lo), col.slice(lo, hi - lo)
+            del col
+            release()
 
 
 def spaced(size: np.ndarray, each: np.ndarray) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds a bounded sample of labelled text. A text is parsed against it greedily: each phrase is
-the longest match from where the last one ended. The language that needs the fewest phrases, each weighed by the bits that name
+the longest match from where the last one ended; a byte that a language lacks ends the phrase before it. The language that needs the fewest phrases, each weighed by the bits that name
 a place in its sample, wins. Texts are parsed in blocks of `BLOCK` bytes (a phrase ends with its block), so that the blocks of many
 texts advance together, one byte of each at a time, through dense transition tables.
 
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.automaton import SuffixAutomaton
-from tidewatch.llm.common import flat, only, text_steps
+from tidewatch.llm.common import flat, mapped, only, text_steps
 
 ROWS, SAMPLE, BLOCK, UNDETERMINED = 300, 40_000, 512, "und"
 CLASSES = 48  # byte classes: 0 pads, 1 is anything that isn't a letter, 2 a rare letter byte
@@ -140,7 +140,7 @@ def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc
 
     schema = docs.select(id_col, *kept, *([text_col] if own == text_col else [])).schema
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "lang_pred string", "score double"])
-    return docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return mapped(docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)), run, fields)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

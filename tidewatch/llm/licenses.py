@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewatch.llm.automaton import SuffixAutomaton
-from tidewatch.llm.common import only, text_steps
+from tidewatch.llm.common import mapped, only, text_steps
 
 #: Fixed values of the contract: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -182,4 +182,4 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([rows.column(1), *(pa.array(x, k) for x, k in zip(out, kinds))], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.selectExpr(f"`{text_col}` AS text", f"`{id_col}` AS doc_id").mapInArrow(run, FIELDS.format(id=kind))
+    return mapped(docs.selectExpr(f"`{text_col}` AS text", f"`{id_col}` AS doc_id"), run, FIELDS.format(id=kind))

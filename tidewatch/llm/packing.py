@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, only, text_steps
+from tidewatch.llm.common import cut, mapped, only, text_steps
 from tidewatch.llm.numbering import numbered
 from tidewatch.llm.words import WordTable
 
@@ -113,7 +113,7 @@ def pieces(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, w
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(ids, pa.list_(pa.int32()))] if with_ids else arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: 5 + with_ids])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return mapped(docs.select("text", "doc_id"), run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 def packed(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, with_ids: bool = True) -> DataFrame:

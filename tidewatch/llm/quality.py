@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import flat, mixed, text_steps
+from tidewatch.llm.common import flat, mapped, mixed, text_steps
 
 #: Fixed values of the contract: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -175,4 +175,4 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
             yield pa.RecordBatch.from_arrays([*given, *(pa.array(m[c]) for c in counts), pa.array(bad), pa.array(good)], [id_col, *kept, *given_text, *counts, "base_failed", "kept"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), *(f"{c} long" for c in counts), "base_failed boolean", "kept boolean"])
-    return docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)).mapInArrow(run, fields)
+    return mapped(docs.selectExpr(f"`{text_col}` AS `{own}`", f"`{id_col}`", *(f"`{c}`" for c in kept)), run, fields)

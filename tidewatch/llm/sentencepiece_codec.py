@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import only, text_steps
+from tidewatch.llm.common import mapped, only, text_steps
 from tidewatch.llm.words import WordTable
 
 MARK, UNKNOWN_COST = "▁", 10.0
@@ -198,7 +198,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(own.encode(col.to_pylist()), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return mapped(docs.select("text", "doc_id"), run, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
@@ -213,7 +213,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([t.decode(errors="replace") for t in own.decode(ids)], pa.string())], ["doc_id", "text"])
 
     kind = rows.select("doc_id").schema[0].dataType.simpleString()
-    return rows.select("ids", "doc_id").mapInArrow(run, f"doc_id {kind}, text string")
+    return mapped(rows.select("ids", "doc_id"), run, f"doc_id {kind}, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -230,4 +230,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(1), *(pa.array(x, pa.int64()) for x in numbers), same], ["doc_id", "n_tokens", "ids_crc32", "n_bytes", "text_crc32", "round_trip"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("text", "doc_id").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long, round_trip boolean")
+    return mapped(docs.select("text", "doc_id"), run, f"doc_id {kind}, n_tokens long, ids_crc32 long, n_bytes long, text_crc32 long, round_trip boolean")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mixed
+from tidewatch.llm.common import cut, mapped, mixed
 from tidewatch.llm.numbering import numbered
 
 ROUNDS, SEED, SHARDS = 6, 20_240, 8
@@ -51,7 +51,7 @@ def sharded(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int =
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], [*batch.schema.names, "shard", "slot"])
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "shard int", "slot long"])
-    return with_numbers.mapInArrow(run, fields)
+    return mapped(with_numbers, run, fields)
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, mixed, partitions, text_steps
+from tidewatch.llm.common import cut, mapped, mixed, partitions, text_steps
 from tidewatch.llm.components import components
 
 LINK_BITS, SHINGLE, SEED, RUN = 4, 4, 42, 1 << 15
@@ -245,15 +245,15 @@ def links(distinct: DataFrame) -> DataFrame:
 
         return run
 
-    rows, found = distinct.select("fp").mapInArrow(index, "key long, part long, fp long"), None
+    rows, found = mapped(distinct.select("fp"), index, "key long, part long, fp long"), None
     for depth in (1, 2, 3):
-        out = cut(rows.repartition(n, "key", "part").sortWithinPartitions("key", "part").mapInArrow(_link(depth == 3, depth == 1), _PAIR))
+        out = cut(mapped(rows.repartition(n, "key", "part").sortWithinPartitions("key", "part"), _link(depth == 3, depth == 1), _PAIR))
         own = out.filter("kind = 0").select("a", "b")
         found = own if found is None else found.unionAll(own)
         large = out.filter("kind = 1")
         if depth == 3 or large.isEmpty():
             return found
-        rows = large.mapInArrow(again(depth), "key long, part long, fp long")
+        rows = mapped(large, again(depth), "key long, part long, fp long")
     return found
 
 
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for rows, col in text_steps(batches):
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(fingerprints(col).view(np.int64))], ["doc_id", "fp"])
 
-    marked = cut(docs.selectExpr(f"cast(`{id_col}` AS long) AS doc_id", f"`{text_col}` AS text").mapInArrow(run, "doc_id long, fp long"))
+    marked = cut(mapped(docs.selectExpr(f"cast(`{id_col}` AS long) AS doc_id", f"`{text_col}` AS text"), run, "doc_id long, fp long"))
     named = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")).filter("rep IS NOT NULL"))
     pairs = links(named)
     ends = pairs.join(named.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(named.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b")

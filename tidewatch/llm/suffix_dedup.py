@@ -32,13 +32,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import flat, mixed, partitions, text_steps
+from tidewatch.llm.common import STEP_BYTES, flat, mapped, mixed, partitions, release, text_steps
 
 WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
 WIDTH = 2 * REACH  # the bytes in front and behind; those of the trigger itself follow from its hash
-#: Text bytes that are parsed at once, triggers and text bytes that are gathered before they are dealt out (each is asked for once).
-PARSE_BYTES, PARSE_TRIGGERS, PHRASE_BYTES = 2 << 20, 1_200_000, 24 << 20
+#: Triggers and phrases that are gathered before they are dealt out (each is asked for once).
+PARSE_TRIGGERS, PHRASES = 1_200_000, 150_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64))
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -157,7 +157,7 @@ def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([zipped, *(batch.column(x) for x in names)], ["zip", *names])
 
 
-def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = PARSE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches with about `limit` bytes of text, and the texts."""
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
@@ -168,6 +168,7 @@ def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = PARSE_BYTES) -> It
             if size >= limit or k == batch.num_rows - 1:
                 yield batch.slice(lo, k + 1 - lo), pa.array(texts, pa.binary())
                 texts, size, lo = [], 0, k + 1
+        release()
 
 
 def _parse(buckets: int):
@@ -192,7 +193,7 @@ def _parse(buckets: int):
             if several.any():
                 yield _rows([(-1, {"doc": doc[several], "at": place[several]})], pack)
 
-        for rows, col in text_steps(batches, PARSE_BYTES):
+        for rows, col in text_steps(batches):
             data, offsets = flat(col)
             at, h = triggers(data, offsets)
             text = _text_of(at, offsets)
@@ -207,6 +208,7 @@ def _parse(buckets: int):
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, place) of all triggers that several documents have, for the buckets of one partition."""
+    release()
     asked, known = _kinds(batches)
     x = _unpacked(asked, _PARSE)
     h = np.zeros((len(x["doc"]), 8), np.uint8)
@@ -232,8 +234,25 @@ def _phrases(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        for rows, col in _unzipped(batches, PHRASE_BYTES):
-            ids = np.asarray(rows.column("_id"))
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            h, whole, doc, place, front, behind, around = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.lexsort((place, doc, whole, h))
+            if not len(order):
+                return
+            start, group = _first_of(order, h, whole)
+            later = doc[order] > doc[order[start]][group]
+            lost = order[later]
+            # a document may have a phrase twice: its other places ask too
+            ask = order[~later]
+            yield from _dealt({"h": h[ask], "doc": doc[ask], "at": place[ask], "front": front[ask], "behind": behind[ask], "around": around[ask]}, buckets, pack)
+            lost = lost[front[lost].astype(np.int64) + behind[lost] + SEED >= WINDOW]
+            if len(lost):
+                yield _rows([(-1, {"doc": doc[lost], "from": place[lost] - front[lost].astype(np.int64), "to": place[lost] + SEED + behind[lost].astype(np.int64)})], pack)
+
+        for rows, col in _unzipped(batches):
             data, offsets = flat(col)
             named = rows.column("places")
             size = np.diff(np.asarray(named.offsets))
@@ -251,22 +270,11 @@ def _phrases(buckets: int):
             column = np.arange(WIDTH)
             around[(column < REACH - front[:, None]) | (column >= REACH + behind[:, None])] = 0
             whole = _hash_rows(around) ^ mixed((front * 64 + behind).astype(np.uint64))
-            doc = ids[text]
-            order = np.lexsort((place, doc, whole, h))
-            if not len(order):
-                continue
-            start, group = _first_of(order, h, whole)
-            rep = order[start]
-            later = doc[order] > doc[rep][group]
-            lost = order[later]
-            # a document may have a phrase twice: its other places follow the first
-            twin = order[~later & (np.arange(len(order)) != start[group])]
-            ask = np.concatenate([rep, twin])
-            yield from _dealt({"h": h[ask], "doc": doc[ask], "at": place[ask], "front": front[ask].astype(np.uint8), "behind": behind[ask].astype(np.uint8), "around": around[ask]}, buckets, pack)
-            fits = front[lost] + behind[lost] + SEED >= WINDOW
-            lost = lost[fits]
-            if len(lost):
-                yield _rows([(-1, {"doc": doc[lost], "from": place[lost] - front[lost], "to": place[lost] + SEED + behind[lost]})], pack)
+            held.append((h, whole, np.asarray(rows.column("_id"))[text], place, front.astype(np.uint8), behind.astype(np.uint8), around))
+            if sum(len(x[0]) for x in held) >= PHRASES:
+                yield from dealt()
+        if held:
+            yield from dealt()
 
     return run
 
@@ -281,6 +289,7 @@ def _hash_rows(x: np.ndarray) -> np.ndarray:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, start, end) of stretches that documents lose, for the buckets of one partition."""
+    release()
     mine, told = _kinds(batches)
     done = _unpacked(told, [("doc", "<i8", 1), ("from", "<i8", 1), ("to", "<i8", 1)])
     docs, froms, tos = [done["doc"]], [done["from"]], [done["to"]]
@@ -302,13 +311,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lost[fits[order], start] = doc > np.minimum.reduceat(doc, first)[group]
             if start < REACH:
                 key = key * _BASE - _BYTES[around[:, start]] * power + _BYTES[around[:, start + REACH]]
-        edge = np.diff(np.pad(lost, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        row, begin = np.nonzero(edge == 1)
-        _, end = np.nonzero(edge == -1)
+        del around, key
+        x["around"] = None
+        row, begin = np.nonzero(lost & ~np.pad(lost, ((0, 0), (1, 0)))[:, :-1])
+        _, end = np.nonzero(lost & ~np.pad(lost, ((0, 0), (0, 1)))[:, 1:])
         origin = x["at"][row] - REACH
         docs.append(x["doc"][row])
         froms.append(origin + begin)
-        tos.append(origin + end - 1 + WINDOW)
+        tos.append(origin + end + WINDOW)
     doc, lo, hi = (np.concatenate(v) for v in (docs, froms, tos))
     if len(doc):
         order = np.lexsort((hi, lo, doc))
@@ -357,16 +367,16 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
     n = partitions(docs.sparkSession)
     rows = docs.select("text", *(F.col(c) for c in kept)).withColumn("_id", F.col("doc_id").cast("long"))
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
-    zipped = lambda part: part.mapInArrow(_zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
+    zipped = lambda part: mapped(part, _zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
     texts = zipped(rows.filter("_id IS NOT NULL")).filter("_id IS NOT NULL").repartition(n, "_id")  # both joins take this one exchange
-    parse = rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")).mapInArrow(_parse(n), _BLOB)
+    parse = mapped(rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")), _parse(n), _BLOB)
     place = F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket"))
-    repeated = parse.repartition(n, place).mapInArrow(_repeated, "doc_id long, place int")
+    repeated = mapped(parse.repartition(n, place), _repeated, "doc_id long, place int")
     named = repeated.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
-    phrases = texts.join(named, F.col("_id") == F.col("_of")).mapInArrow(_phrases(n), _BLOB)
-    lost = phrases.repartition(n, place).mapInArrow(_judge, "doc_id long, lo long, hi long")
+    phrases = mapped(texts.join(named, F.col("_id") == F.col("_of")), _phrases(n), _BLOB)
+    lost = mapped(phrases.repartition(n, place), _judge, "doc_id long, lo long, hi long")
     spans = lost.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     nameless = zipped(rows.filter("_id IS NULL")).withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
     every = texts.join(spans, F.col("_id") == F.col("_of"), "left").drop("_of").unionByName(nameless)
     result = ", ".join([*(fields[k] for k in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
-    return every.mapInArrow(_cut(with_text, kept), result)
+    return mapped(every, _cut(with_text, kept), result)

@@ -7,8 +7,9 @@ scores above the k-th value and, among its ties, the smallest ids are taken. A p
 scores (lower ones can't hold the k-th), and k ties at most (the smallest ids), so neither copies nor hot vectors multiply rows.
 
 Defined results: vectors that are null or hold a null or non-finite component, and rows without an id, take no part; shorter vectors count
-as padded with zeros; rows that share the query's id are its own and no candidates; a query with fewer than k candidates gets them all.
-Scores are exact below 2^63.
+as padded with zeros; rows that share the query's id are its own and no candidates; query rows that repeat an id are answered
+together (k results in all); candidates that repeat an id count row by row; a query with fewer than k candidates gets them all.
+Scores are exact below 2^62.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import cut, partitions
+from tidewatch.llm.common import cut, mapped, partitions
 
 K, SCALE, EVERY, BINS, ROWS, QUERIES, TILE = 5, 256, 50, 1024, 4096, 1024, 128
 
@@ -111,8 +112,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, scale: float = SCALE, i
     spark = vectors.sparkSession
     valid = _valid(vectors, id_col, vec_col)
     named = lambda df, n: df.withColumn(n, F.monotonically_increasing_id())
-    cands = cut(named(valid.mapInArrow(_pack(ROWS, scale), _BLOCK), "cb"))
-    queries = cut(named(valid.filter(is_query).coalesce(max(1, partitions(spark) // 4)).mapInArrow(_pack(QUERIES, scale), _BLOCK), "qb"))
+    cands = cut(named(mapped(valid, _pack(ROWS, scale), _BLOCK), "cb"))
+    queries = cut(named(mapped(valid.filter(is_query).coalesce(max(1, partitions(spark) // 4)), _pack(QUERIES, scale), _BLOCK), "qb"))
     low, high = (int((x.first()[0] or 0.0) + 1) for x in (cands.agg(F.max("norm")), queries.agg(F.max("norm"))))
     bound = low * high + 1  # of any score, by Cauchy and Schwarz
     width = 1
@@ -127,14 +128,14 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, scale: float = SCALE, i
         pairs = left.join(right, "qb").repartition(partitions(spark), "cb", "qb")
         if width == 0:
             break
-        counts = pairs.mapInArrow(_count(k, width), "qb long, qi int, bin int, n long").groupBy("qb", "qi", "bin").agg(F.sum("n").alias("n"))
+        counts = mapped(pairs, _count(k, width), "qb long, qi int, bin int, n long").groupBy("qb", "qi", "bin").agg(F.sum("n").alias("n"))
         down = Window.partitionBy("qb", "qi").orderBy(F.desc("bin"))
         # the first bin from the top with k scores, or the interval's start where there are fewer
         found = counts.withColumn("total", F.sum("n").over(down)).filter(F.col("total") >= k).groupBy("qb", "qi").agg(F.max("bin").alias("bin"))
         spread = state.select("qb", F.posexplode("low").alias("qi", "lo"))
-        moved = spread.join(found, ["qb", "qi"], "left").select("qb", "qi", (F.col("lo") + F.coalesce("bin", F.lit(0)) * width).alias("lo"))
+        moved = spread.join(found, ["qb", "qi"], "left").select("qb", "qi", (F.col("lo") + F.coalesce("bin", F.lit(0)).cast("long") * F.lit(width).cast("long")).alias("lo"))
         state = cut(moved.groupBy("qb").agg(F.transform(F.array_sort(F.collect_list(F.struct("qi", "lo"))), lambda x: x["lo"]).alias("low")))
         width = width // BINS if width > 1 else 0
-    hits = pairs.mapInArrow(_take(k), "query_id long, vec_id long, score long")
+    hits = mapped(pairs, _take(k), "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return hits.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
