@@ -19,35 +19,47 @@ from tidewatch.llm.simhash import near_duplicates
 from tidewatch.llm.suffix_dedup import deduplicated
 
 
-def _rest(docs: DataFrame) -> list[str]:
-    return [c for c in docs.columns if c != "doc_id"]
+def _masked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """doc_id and text with all other columns under names that no operator uses, and those names."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = [f"_k{i}" for i in range(len(others))]
+    return docs.select("doc_id", "text", *(docs[f"`{c}`"].alias(n) for c, n in zip(others, names))), names
+
+
+def _restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs again, in their order."""
+    names = iter(range(len(docs.columns)))
+    return rows.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"_k{next(names)}").alias(c) for c in docs.columns))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language (null, or without a letter) go."""
-    marked = identify(docs, learned(docs), keep=_rest(docs))
-    return marked.filter(F.col("lang_pred") != UNDETERMINED).select(*docs.columns)
+    rows, names = _masked(docs)
+    marked = identify(rows, learned(docs), keep=[*names, "text"])
+    return _restored(marked.filter(F.col("lang_pred") != UNDETERMINED), docs)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are too short or repeat themselves go."""
-    return quality(docs, keep=_rest(docs)).filter("kept").select(*docs.columns)
+    rows, names = _masked(docs)
+    return _restored(quality(rows, keep=[*names, "text"]).filter("kept"), docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
-    stay = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    named = docs.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    rows, _ = _masked(docs)
+    stay = near_duplicates(rows).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    named = rows.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    return _restored(named.unionByName(rows.filter("doc_id IS NULL")), docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document has are cut out of the texts."""
-    others = [c for c in _rest(docs) if c != "text"]
-    found = deduplicated(docs, keep=others).withColumn("text", F.col("kept_text"))
-    if "n_chars" in others:
+    """Passages that an earlier document has are cut out of the texts (and counted out of n_chars)."""
+    rows, names = _masked(docs)
+    found = _restored(deduplicated(rows, keep=names).withColumn("text", F.col("kept_text")), docs)
+    if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+    return found
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
