@@ -239,20 +239,23 @@ def arg_max(curve: DataFrame, keys: Sequence[str] = KEY, digits: int = 9) -> Dat
     return curve.groupBy(*keys).agg(F.max("q").alias("q_max"), best.alias("tau_hat"))
 
 
-def feature_scan(df: DataFrame, features: tuple[Sequence[float], Sequence[float], Sequence[float], Sequence[float]], w: int, kind: str) -> DataFrame:
-    """Scans on random cosine features of ranks, without eigenvalues: kind `hsic` or `frobenius`.
-
-    features: frequencies and phases for x and for y, drawn on the driver and inlined as literals (a few numbers).
-    """
+def _unit_features(u: DataFrame, features: tuple[Sequence[float], ...]) -> tuple[DataFrame, list[str], list[str]]:
+    """The rows with columns f0.. of x and g0.. of y, each side of unit length."""
     wx, bx, wy, by = features
-    u = rank_units(df)
     unit = lambda c, ws, bs: [F.sqrt(F.lit(2.0 / len(ws))) * F.cos(F.col(c) * F.lit(float(a)) + F.lit(float(b))) for a, b in zip(ws, bs)]
     fx = {f"f{k}": e for k, e in enumerate(unit("x", wx, bx))}
     fy = {f"g{k}": e for k, e in enumerate(unit("y", wy, by))}
-    rows = u.withColumns(fx | fy)
     norm = lambda cs: F.sqrt(sum((F.col(c) * F.col(c) for c in cs), F.lit(0.0)))
-    rows = rows.withColumns({"nf": norm(fx), "ng": norm(fy)})
-    rows = rows.withColumns({c: F.col(c) / F.col("nf") for c in fx} | {c: F.col(c) / F.col("ng") for c in fy})
+    rows = u.withColumns(fx | fy).withColumns({"nf": norm(fx), "ng": norm(fy)})
+    return rows.withColumns({c: F.col(c) / F.col("nf") for c in fx} | {c: F.col(c) / F.col("ng") for c in fy}), list(fx), list(fy)
+
+
+def feature_scan(df: DataFrame, features: tuple[Sequence[float], Sequence[float], Sequence[float], Sequence[float]], w: int, kind: str) -> DataFrame:
+    """Scans on random cosine features of ranks, without eigenvalues: kind `hsic` or `frobenius`.
+
+    features: frequencies and phases for x and for y, drawn on the driver and inlined as literals (a few numbers).
+    """
+    rows, fx, fy = _unit_features(rank_units(df), features)
     sums = {f"s_{a}_{b}": f"{a} * {b}" for a in fx for b in fy} | {f"s_{a}": a for a in (*fx, *fy)} if kind == "hsic" else {f"s_{a}_{b}": f"{a} * {b}" for a in fx for b in fx if a <= b}
     run = on_grid(with_totals(running_sums(rows.select("series_id", "t", "n", *fx, *fy), KEY, "t", sums), list(sums)), w)
     left, right = d("t"), d("n") - d("t")
@@ -262,3 +265,37 @@ def feature_scan(df: DataFrame, features: tuple[Sequence[float], Sequence[float]
         return run.select("series_id", "t", (F.sqrt(weight()) * F.abs(square("left") - square("right"))).alias("q"))
     gap = sum(((1.0 if a == b else 2.0) * F.pow(of(f"s_{a}_{b}", "left") - of(f"s_{a}_{b}", "right"), 2) for a in fx for b in fx if a <= b), F.lit(0.0))
     return run.select("series_id", "t", (F.sqrt(weight()) * F.sqrt(gap)).alias("q"))
+
+
+def order2_information_scan(df: DataFrame, features: tuple[Sequence[float], Sequence[float], Sequence[float], Sequence[float]], w: int) -> DataFrame:
+    """sqrt(weight) |I_L - I_R| with order-2 entropies (-log of the sum of squared moments): the eigenvalue-free sibling of the information scan."""
+    rows, fx, fy = _unit_features(rank_units(df), features)
+    half = lambda f: [(a, b) for i, a in enumerate(f) for b in f[i:]]
+    px, py = half(fx), half(fy)
+    sums = {f"x_{a}_{b}": f"{a} * {b}" for a, b in px} | {f"y_{a}_{b}": f"{a} * {b}" for a, b in py}
+    sums |= {f"j_{a}_{b}_{c}_{e}": f"{a} * {b} * {c} * {e}" for a, b in px for c, e in py}
+    run = on_grid(with_totals(running_sums(rows.select("series_id", "t", "n", *fx, *fy), KEY, "t", sums), list(sums)), w)
+    left, right = d("t"), d("n") - d("t")
+    of = lambda c, part: F.col(c) / left if part == "left" else (F.col(f"{c}_all") - F.col(c)) / right
+    times = lambda *p: float(2 ** sum(a != b for a, b in p))
+
+    def info(part: str) -> Column:
+        x = sum((times((a, b)) * F.pow(of(f"x_{a}_{b}", part), 2) for a, b in px), F.lit(0.0))
+        y = sum((times((a, b)) * F.pow(of(f"y_{a}_{b}", part), 2) for a, b in py), F.lit(0.0))
+        j = sum((times((a, b), (c, e)) * F.pow(of(f"j_{a}_{b}_{c}_{e}", part), 2) for a, b in px for c, e in py), F.lit(0.0))
+        return F.log(j) - F.log(x) - F.log(y)
+
+    return run.select("series_id", "t", (F.sqrt(weight()) * F.abs(info("left") - info("right"))).alias("q"))
+
+
+def vector_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Rows (block_id, t, n, arrays x and y) as one series per pair of coordinates; series_id names block and pair."""
+    one = df.select("block_id", "t", "n", F.posexplode(x).alias("i", "x"), F.col(y).alias("_y"))
+    both = one.select("block_id", "t", "n", "i", "x", F.posexplode("_y").alias("j", "y"))
+    return both.select("block_id", F.concat_ws("/", "block_id", "i", "j").alias("series_id"), "t", "n", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+
+
+def vector_spearman_scan(df: DataFrame, x: str, y: str, w: int = 60) -> DataFrame:
+    """(series_id, t, q) of vector blocks: the mean over all pairs of coordinates."""
+    curves = spearman_scan(vector_pairs(df, x, y).drop("block_id"), w)
+    return curves.groupBy(F.substring_index("series_id", "/", 1).alias("series_id"), "t").agg(F.avg("q").alias("q"))

@@ -172,3 +172,22 @@ def m14_distribution_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def n5_end_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("user_id") / F.lit(150.0)
     return rounded(table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg(((at <= 0.115) | (at >= 0.885)).cast("double")).alias("end_share"), F.count("*").alias("n")), "end_share", digits=9)
+
+
+@query("""WITH r AS (SELECT event_type AS scen, user_id % 2 AS level, value > 20 AS detected, value > 20 AND value < 60 AS localized FROM events), g AS (SELECT scen, level, avg(CAST(localized AS INT)) AS rate FROM r GROUP BY ALL)
+SELECT scen, level, round(g.rate, 9) AS localized, round(avg(CAST(detected AS INT)), 9) AS rejected FROM r JOIN g USING (scen, level) GROUP BY ALL""")
+def f16_rejection_and_localized_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The localized rate as stored in an aggregate, the rejection rate made again from the records."""
+    r = table(spark, sf_dir, "events").select(F.col("event_type").alias("scen"), (F.col("user_id") % 2).alias("level"), (F.col("value") > 20).alias("detected"), ((F.col("value") > 20) & (F.col("value") < 60)).alias("localized"))
+    stored = evaluate.rate(r, ["scen", "level"], "localized").select("scen", "level", F.col("rate").alias("localized"))
+    again = evaluate.rate(r, ["scen", "level"], "detected").select("scen", "level", F.col("rate").alias("rejected"))
+    return rounded(stored.join(again, ["scen", "level"]), "localized", "rejected", digits=9)
+
+
+@query("SELECT o_custkey, count(*) AS orders FROM orders WHERE o_orderdate < DATE '2001-01-01' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate >= DATE '2001-01-01') GROUP BY 1")
+def b3_unfinished_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.sources.writers import unfinished
+
+    o = table(spark, sf_dir, "orders")
+    cut = F.to_date(F.lit("2001-01-01"))
+    return unfinished(o.filter(F.col("o_orderdate") < cut), o.filter(F.col("o_orderdate") >= cut), ["o_custkey"]).groupBy("o_custkey").agg(F.count("*").alias("orders"))

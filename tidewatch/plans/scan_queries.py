@@ -211,3 +211,36 @@ def i7_hsic_feature_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_FEATURED} SELECT * FROM (SELECT series_id, t, round(sqrt(t * (n - t) / CAST(n AS DOUBLE)) * sqrt({_FR}), 6) AS q FROM f {_WINDOWS} QUALIFY t BETWEEN {W} AND n - {W})")
 def i15_kernel_frobenius_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(scans.feature_scan(pairs(spark, sf_dir), FEATURES, W, "frobenius"))
+
+
+THREE = tuple(f[:3] for f in FEATURES)
+_F3 = f"""{PAIRS}, units AS (SELECT series_id, t, n, row_number() OVER (PARTITION BY series_id ORDER BY x, t) / (n + 1e0) AS x, row_number() OVER (PARTITION BY series_id ORDER BY y, t) / (n + 1e0) AS y FROM pairs),
+f AS (SELECT series_id, t, n, {_unit('x', THREE[0], THREE[1], 'f')}, {_unit('y', THREE[2], THREE[3], 'g')} FROM units)"""
+
+
+def _purity(p: str) -> str:
+    r = range(3)
+    x = " + ".join(f"pow(avg(f{a}*f{b}) OVER {p}, 2)" for a in r for b in r)
+    y = " + ".join(f"pow(avg(g{a}*g{b}) OVER {p}, 2)" for a in r for b in r)
+    j = " + ".join(f"pow(avg(f{a}*f{b}*g{c}*g{e}) OVER {p}, 2)" for a in r for b in r for c in r for e in r)
+    return f"ln({j}) - ln({x}) - ln({y})"
+
+
+@query(f"WITH {_F3} SELECT * FROM (SELECT series_id, t, round(sqrt(t * (n - t) / CAST(n AS DOUBLE)) * abs(({_purity('l')}) - ({_purity('r')})), 6) AS q FROM f {_WINDOWS} QUALIFY t BETWEEN {W} AND n - {W})")
+def i1_order2_information_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(scans.order2_information_scan(pairs(spark, sf_dir), THREE, W))
+
+
+_VECTOR_PAIRS = " UNION ALL ".join(f"SELECT 'e/{i}/{j}' AS series_id, row_number() OVER (ORDER BY vec_id) AS t, count(*) OVER () AS n, CAST(embedding[{i + 1}] AS DOUBLE) AS x, CAST(embedding[{j + 3}] AS DOUBLE) AS y FROM embeddings" for i in range(2) for j in range(2))
+
+
+@query(f"WITH pairs AS ({_VECTOR_PAIRS}), {_RANKED.format(source='pairs')}, {_SPEARMAN} SELECT 'e' AS series_id, t, round(avg(q), 6) AS q FROM curve GROUP BY t")
+def i9_vector_spearman_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from tidewatch.plans.fixtures import table
+
+    e = table(spark, sf_dir, "embeddings")
+    t = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("vec_id")).cast("long")
+    rows = e.select(F.lit("e").alias("block_id"), t.alias("t"), F.count("*").over(Window.partitionBy(F.lit(0))).alias("n"), F.slice("embedding", 1, 2).alias("u"), F.slice("embedding", 3, 2).alias("v"))
+    return scan(scans.vector_spearman_scan(rows, "u", "v", W))

@@ -402,3 +402,36 @@ def h_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
         return {"kind": list(sp.ENTROPIES), "entropy": np.array([float(e(m)) for e in sp.ENTROPIES.values()])}
 
     return rounded(detect.by_series(hourly(spark, sf_dir), one, "kind string, entropy double"), "entropy")
+
+
+@query()
+def h7_low_rank_gram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(x, y, t):
+        u, v = _units(x, y)
+        return dt.low_rank_gram_curve(u, v, t, *(1 / sp.median_square_distance(a[:, None]) for a in (u, v)))
+
+    return rounded(detect.curve(short(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
+
+
+@query()
+def h9_bias_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def one(x, y):
+        fx, fy = _features(x, y)
+        return {"bx": dt.bias_coefficient(fx), "by": dt.bias_coefficient(fy), "bj": dt.bias_coefficient(sp.products(fx, fy))}
+
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "bx double, by double, bj double"), "bx", "by", "bj")
+
+
+@query()
+def p_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.plans.pipelines import panel
+
+    return rounded(panel(short(spark, sf_dir), 19, 3), "t_max", "p", "q", "q_dependent", "r_before", "r_after")
+
+
+@query()
+def p_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.plans.pipelines import two_stage
+
+    out = two_stage(pairs(spark, sf_dir), 40, 0.4, 39, 4, 12, 5)
+    return rounded(out, "observed", "p", "q", "p_marginal")
