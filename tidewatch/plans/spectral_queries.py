@@ -433,5 +433,5 @@ def p_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.plans.pipelines import two_stage
 
-    out = two_stage(pairs(spark, sf_dir), 40, 0.4, 39, 4, 12, 5)
+    out = two_stage(pairs(spark, sf_dir), 40, 10.0, 39, 4, 12, 5)
     return rounded(out, "observed", "p", "q", "p_marginal")
