@@ -370,11 +370,11 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
     zipped = lambda part: mapped(part, _zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
     texts = zipped(rows.filter("_id IS NOT NULL")).filter("_id IS NOT NULL").repartition(n, "_id")  # both joins take this one exchange
     parse = mapped(rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")), _parse(n), _BLOB)
-    place = F.when(F.col("bucket") < 0, F.xxhash64("data")).otherwise(F.col("bucket"))
-    repeated = mapped(parse.repartition(n, place), _repeated, "doc_id long, place int")
+    place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
+    repeated = mapped(parse.repartitionById(n, place), _repeated, "doc_id long, place int")
     named = repeated.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
     phrases = mapped(texts.join(named, F.col("_id") == F.col("_of")), _phrases(n), _BLOB)
-    lost = mapped(phrases.repartition(n, place), _judge, "doc_id long, lo long, hi long")
+    lost = mapped(phrases.repartitionById(n, place), _judge, "doc_id long, lo long, hi long")
     spans = lost.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     nameless = zipped(rows.filter("_id IS NULL")).withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
     every = texts.join(spans, F.col("_id") == F.col("_of"), "left").drop("_of").unionByName(nameless)
