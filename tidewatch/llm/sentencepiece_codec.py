@@ -78,7 +78,12 @@ class Codec:
         self.unigram = is_unigram(model)
         self.ids = {p: i for i, p in enumerate(self.names) if not special[i]}
         self.score = {p: lib.get_score(i) for p, i in self.ids.items()}
-        self.longest = max(map(len, self.ids), default=1)
+        sizes: dict[str, set[int]] = {}
+        for p in self.ids:
+            if len(p) > 1:
+                sizes.setdefault(p[-2:], set()).add(len(p))
+        #: sizes of the pieces that end with two characters, the largest first
+        self.sizes = {tail: tuple(sorted(own, reverse=True)) for tail, own in sizes.items()}
         self.byte_ids = {int(self.names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown, self.unknown_score = lib.unk_id(), min(self.score.values(), default=0.0) - UNKNOWN_COST
         lines_apart = not any("\n" in p for p in self.ids)
@@ -114,26 +119,28 @@ class Codec:
             known = self._stays[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def _forward_merged(self, word: str, sizes: list[int], ends: list[str]) -> None:
-        """One more prefix of the word: the size of its last piece, and that piece."""
-        i, ids, stays = len(sizes), self.ids, self._stays
-        for size in range(min(self.longest, i), 0, -1):
-            piece = word[i - size : i]
-            if size == 1 or piece in ids:
-                before = ends[i - size]
-                known = stays.get((before, piece))
-                if known or known is None and self.stays(before, piece):
-                    sizes.append(size)
-                    ends.append(piece)
-                    return
+    def _forward_merged(self, word: str, i: int, sizes: list[int], ends: list[str]) -> None:
+        """The prefix of i characters: the size of its last piece, and that piece."""
+        ids, known_pairs = self.ids, self._stays
+        for size in (*self.sizes.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):
+            if size <= i:
+                piece = word[i - size : i]
+                if size == 1 or piece in ids:
+                    pair = (ends[i - size], piece)
+                    known = known_pairs.get(pair)
+                    if known or known is None and self.stays(*pair):
+                        sizes.append(size)
+                        ends.append(piece)
+                        return
         raise AssertionError(f"no path for {word[:i]!r}")
 
-    def _forward_scored(self, word: str, sizes: list[int], best: list[float]) -> None:
-        i, score, top, found = len(sizes), self.score, -np.inf, 1
-        for size in range(min(self.longest, i), 0, -1):  # the longest of equally good last pieces
-            own = score.get(word[i - size : i], self.unknown_score if size == 1 else None)
-            if own is not None and best[i - size] + own > top:
-                top, found = best[i - size] + own, size
+    def _forward_scored(self, word: str, i: int, sizes: list[int], best: list[float]) -> None:
+        score, top, found = self.score, -np.inf, 1
+        for size in (*self.sizes.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):  # the longest of equally good last pieces
+            if size <= i:
+                own = score.get(word[i - size : i], self.unknown_score if size == 1 else None)
+                if own is not None and best[i - size] + own > top:
+                    top, found = best[i - size] + own, size
         sizes.append(found)
         best.append(top)
 
@@ -149,8 +156,8 @@ class Codec:
             while same < most and word[same] == before[same]:
                 same += 1
             del sizes[same + 1 :], state[same + 1 :]
-            for _ in range(same, len(word)):
-                forward(word, sizes, state)
+            for i in range(same + 1, len(word) + 1):
+                forward(word, i, sizes, state)
             before, at, ids = word, len(word), []
             while at:
                 piece = word[at - sizes[at] : at]

@@ -38,7 +38,7 @@ WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
 WIDTH = 2 * REACH  # the bytes in front and behind; those of the trigger itself follow from its hash
 #: Triggers and phrases that are gathered before they are dealt out (each is asked for once).
-PARSE_TRIGGERS, PHRASES = 1_200_000, 150_000
+PARSE_TRIGGERS, PHRASES = 600_000, 150_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64))
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)

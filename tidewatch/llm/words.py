@@ -36,22 +36,19 @@ class WordTable:
         self.index, self.used = _Index(), 0
         self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
-    def codes(self, words: list[bytes]) -> np.ndarray:
-        """The words' numbers, valid until start() is called."""
-        out = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        if self.index.new:
-            new, self.index.new = self.index.new, []
-            own = self.encode(new)
-            sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
-            total, first = int(sizes.sum()), len(self.index) - len(new)
-            while self.used + total > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            while len(self.index) > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.ids[self.used : self.used + total] = np.frombuffer(b"".join(own), np.int32)
-            self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
-            self.used += total
-        return out
+    def _learn(self) -> None:
+        """Encode the words that are new since the last call, all at once."""
+        new, self.index.new = self.index.new, []
+        own = self.encode(new) if new else []
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        total, first = int(sizes.sum()), len(self.index) - len(new)
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.index) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.ids[self.used : self.used + total] = np.frombuffer(b"".join(own), np.int32)
+        self.ends[first : first + len(new)] = self.used + np.cumsum(sizes)
+        self.used += total
 
     def start(self) -> None:
         """Before new texts: empty the table if it is full."""
@@ -61,7 +58,8 @@ class WordTable:
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The token ids of each text."""
         self.start()
-        codes = [self.codes(words) for words in texts]
+        codes = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in texts]
+        self._learn()
         every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         ends = self.ends[every]
         starts = np.where(every > 0, self.ends[every - 1], 0)
