@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 from collections.abc import Callable, Hashable, Iterator
@@ -20,10 +21,17 @@ STEP_BYTES = 2 << 20
 _LARGE: dict[Hashable, Any] = {}
 
 
+def _forget() -> None:
+    if _LARGE:
+        _LARGE.clear()
+        gc.collect()
+        release()
+
+
 def only(key: Hashable, make: Callable[[], Any]) -> Any:
     """A large object that this process keeps between tasks (a model, a table of words); making another one lets it go."""
     if key not in _LARGE:
-        _LARGE.clear()
+        _forget()
         _LARGE[key] = make()
     return _LARGE[key]
 
@@ -97,7 +105,7 @@ def text_steps(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES, name:
     keep: whether the process's large object is for this work; else it is let go.
     """
     if not keep:
-        _LARGE.clear()
+        _forget()
     for batch in batches:
         if batch.num_rows:
             col = binary(batch, name)

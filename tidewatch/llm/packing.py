@@ -25,7 +25,7 @@ from tidewatch.llm.numbering import numbered
 from tidewatch.llm.words import WordTable
 
 LONGEST, END = 4096, 2
-CALL, PARTS = 500, 700_000
+CALL, PARTS = 500, 300_000
 
 #: The vocabulary's own split, written out for the characters up to U+00FF; other words are left to the library whole.
 _SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^ \t-\r\x85\xa0a-z0-9²³¹¼½¾ªµºß-öø-ÿ]+")

@@ -93,7 +93,7 @@ class Codec:
         self._stays: dict[tuple[str, str], bool] = {}
         own = [b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
         self.piece_bytes, self.piece_ends = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
-        self.table = WordTable(lambda words: [np.array(ids, np.int32).tobytes() for ids in self.encode_words(words)], 600_000)
+        self.table = WordTable(lambda words: [np.array(ids, np.int32).tobytes() for ids in self.encode_words(words)], 400_000)
 
     def words(self, text: bytes) -> list[bytes]:
         """The words of a marked text, with spaces for marks."""
@@ -114,7 +114,7 @@ class Codec:
         """Whether two neighbouring pieces are still those two when their text is merged by itself."""
         known = self._stays.get((a, b))
         if known is None:
-            if len(self._stays) > 500_000:
+            if len(self._stays) > 300_000:
                 self._stays.clear()
             known = self._stays[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known

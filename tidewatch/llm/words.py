@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-LIMIT = 400_000
+LIMIT = 200_000
 
 
 class _Index(dict):
