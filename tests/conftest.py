@@ -3,6 +3,7 @@ from __future__ import annotations
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -26,11 +27,11 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def plain(frame) -> list[tuple]:
+def plain(frame: pd.DataFrame) -> list[tuple]:
     """Rows of a pandas frame as sorted tuples of text, columns by name, floats to six digits."""
 
     def one(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if isinstance(v, float) or type(v).__name__.startswith("float"):
             return f"{float(v) + 0.0:.6g}" if abs(float(v)) > 1e-9 else "0"

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.operators.ranks import correlation
+
 
 def effective_sample_size(df: DataFrame, keys: Sequence[str], t: str, col: str) -> DataFrame:
     """First autocorrelation of the rows without nulls, and n (1 - r) / (1 + r)."""
     kept = df.filter(F.col(col).isNotNull())
     pairs = kept.withColumn("_b", F.lag(col).over(Window.partitionBy(*keys).orderBy(t)))
-    out = pairs.groupBy(*keys).agg(F.count("*").alias("_n"), F.corr(col, "_b").alias("r1"))
-    return out.withColumn("ess", F.col("_n") * (1 - F.col("r1")) / (1 + F.col("r1"))).drop("_n")
+    out = pairs.groupBy(*keys).agg(F.count("*").alias("_n"), correlation(col, "_b").alias("r1"))
+    return out.withColumn("ess", F.try_divide(F.col("_n") * (1 - F.col("r1")), 1 + F.col("r1"))).drop("_n")
 
 
 def acf(df: DataFrame, keys: Sequence[str], t: str, col: str, lags: int, other: str | None = None) -> DataFrame:
@@ -24,7 +26,7 @@ def acf(df: DataFrame, keys: Sequence[str], t: str, col: str, lags: int, other:
     scale = z.groupBy(*keys).agg(F.sqrt(F.sum(F.expr("_a * _a")) * F.sum(F.expr("_b * _b"))).alias("_s"))
     ahead = z.select(*keys, "n", "_a", F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "_t").withColumn("_t", F.col("_t") + F.col("lag"))
     sums = ahead.join(z.select(*keys, "_t", "_b"), [*keys, "_t"]).groupBy(*keys, "n", "lag").agg(F.sum(F.expr("_a * _b")).alias("_p"))
-    return sums.join(scale, list(keys)).select(*keys, "n", "lag", (F.col("_p") / F.col("_s")).alias("r"))
+    return sums.join(scale, list(keys)).select(*keys, "n", "lag", F.try_divide("_p", "_s").alias("r"))
 
 
 def ljung_box(correlations: DataFrame, keys: Sequence[str]) -> DataFrame:

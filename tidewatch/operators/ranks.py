@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tidewatch.operators.prefix import ordinal_ranks
 
 
+def correlation(x: str | Column, y: str | Column, over: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of the pairs without nulls; null where a side doesn't vary."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    parts = (F.covar_pop(a, b), F.var_pop(a), F.var_pop(b))
+    cov, va, vb = (p.over(over) for p in parts) if over is not None else parts
+    return F.when((va > 0) & (vb > 0), F.try_divide(cov, F.sqrt(va * vb)))
+
+
 def pseudo_observations(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], suffix: str = "_u") -> DataFrame:
     """Ranks over n + 1, ties in time order."""
     out = df
@@ -54,4 +63,4 @@ def bottom_k(df: DataFrame, keys: Sequence[str], by: Sequence[str], k: int) -> D
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, least: int = 10) -> DataFrame:
     """Rank correlation with averaged ties; null below `least` pairs."""
     both = average_ranks(average_ranks(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()), keys, x, "_a"), keys, y, "_b")
-    return both.groupBy(*keys).agg(F.when(F.count("*") >= least, F.corr("_a", "_b")).alias("spearman"), F.count("*").alias("n"))
+    return both.groupBy(*keys).agg(F.when(F.count("*") >= least, correlation("_a", "_b")).alias("spearman"), F.count("*").alias("n"))

@@ -77,10 +77,10 @@ def gauss_lr_scan(df: DataFrame, w: int = 60, ridge: float = 1e-3) -> DataFrame:
 def corr_cusum(df: DataFrame, w: int = 60) -> DataFrame:
     """t / sqrt(n) times the absolute difference of the correlation up to t (of globally standardised values, not centred again) and the whole one."""
     every = Window.partitionBy("series_id")
-    std = df.withColumns({f"z{c}": (F.col(c) - F.avg(c).over(every)) / F.stddev_pop(c).over(every) for c in ("x", "y")})
+    std = df.withColumns({f"z{c}": F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every)) for c in ("x", "y")})
     sums = {"cxy": "zx * zy", "cx": "zx * zx", "cy": "zy * zy"}
     run = with_totals(running_sums(std, KEY, "t", sums), list(sums))
-    rho = lambda s: F.col(f"cxy{s}") / F.sqrt(F.col(f"cx{s}") * F.col(f"cy{s}"))
+    rho = lambda s: F.try_divide(F.col(f"cxy{s}"), F.sqrt(F.col(f"cx{s}") * F.col(f"cy{s}")))
     return on_grid(run, w).select("series_id", "t", (d("t") / F.sqrt(d("n")) * F.abs(rho("") - rho("_all"))).alias("q"))
 
 
@@ -136,8 +136,9 @@ def rank_units(df: DataFrame) -> DataFrame:
 
 
 def median_square_distance(pairs: DataFrame, expr: Column, name: str) -> DataFrame:
-    """The median over i < j per series."""
-    return pairs.filter("i < j").select("series_id", expr.alias("_d")).groupBy("series_id").agg(F.percentile("_d", F.lit(0.5)).alias(name))
+    """The median over i < j per series; 1 where it is 0."""
+    med = F.percentile("_d", F.lit(0.5))
+    return pairs.filter("i < j").select("series_id", expr.alias("_d")).groupBy("series_id").agg(F.when(med > 0, med).otherwise(1.0).alias(name))
 
 
 def gram_order2_scan(df: DataFrame, w: int = 60) -> DataFrame:

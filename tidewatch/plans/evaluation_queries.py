@@ -59,8 +59,9 @@ def j10_quantile_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NULLS = f"""{CURVES}, raw AS (SELECT series_id, quantile_cont(m, 0.95) AS raw FROM (SELECT series_id, replica, max(q) AS m FROM curves GROUP BY ALL) GROUP BY 1),
-mom AS (SELECT series_id, t, avg(q) AS mu, stddev_pop(q) AS sd FROM curves WHERE replica < 20 GROUP BY ALL),
-std AS (SELECT series_id, quantile_cont(m, 0.95) AS studentized FROM (SELECT series_id, replica, max((q - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END) AS m FROM curves JOIN mom USING (series_id, t) WHERE replica >= 20 GROUP BY ALL) GROUP BY 1)"""
+reps AS (SELECT series_id, count(DISTINCT replica) // 2 AS half FROM curves GROUP BY 1),
+mom AS (SELECT series_id, t, avg(q) AS mu, stddev_pop(q) AS sd FROM curves JOIN reps USING (series_id) WHERE replica < half GROUP BY ALL),
+std AS (SELECT series_id, quantile_cont(m, 0.95) AS studentized FROM (SELECT series_id, replica, max((q - mu) / CASE WHEN sd > 0 THEN sd ELSE 1 END) AS m FROM curves JOIN mom USING (series_id, t) JOIN reps USING (series_id) WHERE replica >= half GROUP BY ALL) GROUP BY 1)"""
 
 
 @query(f"WITH {_NULLS} SELECT series_id, round(raw, 4) AS raw, round(studentized, 6) AS studentized FROM raw JOIN std USING (series_id)")

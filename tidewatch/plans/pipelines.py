@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import detection as dt
 from tidewatch.functions import spectra as sp
 from tidewatch.operators import detect, evaluate, segment
+from tidewatch.operators.ranks import correlation
 
 LABELS = ("dependence change", "both change", "marginal change", "no change")
 
@@ -29,7 +30,7 @@ def panel(df: DataFrame, replicas: int, seed: int) -> DataFrame:
     tests = detect.by_series(df, one, "block int, t_max double, tau long, p double").withColumn("family", F.lit(1))
     tests = evaluate.step_up_q(evaluate.step_up_q(tests, ["family"], "p", "q"), ["family"], "p", "q_dependent", True).drop("family")
     cut = df.join(tests.select("series_id", "tau"), "series_id").withColumn("late", F.col("t") > F.col("tau"))
-    side = cut.groupBy("series_id").agg(*(F.corr(F.when(c, F.col("x")), F.when(c, F.col("y"))).alias(n) for c, n in ((~F.col("late"), "r_before"), (F.col("late"), "r_after"))))
+    side = cut.groupBy("series_id").agg(*(correlation(F.when(c, F.col("x")), F.when(c, F.col("y"))).alias(n) for c, n in ((~F.col("late"), "r_before"), (F.col("late"), "r_after"))))
     return tests.join(side, "series_id")
 
 

@@ -281,10 +281,10 @@ def e7_segment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(rounded(out, "mx", "vx"), "cxy", digits=5), "rho_xx", "rho_xy", digits=9)
 
 
-@query(f"WITH {HOURLY}, w AS (SELECT series_id, t, n, corr(x, y) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING) AS r, stddev_pop(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) AS sd FROM hourly) SELECT series_id, t, round(r, 6) AS trailing, round(sd, 3) AS spread FROM w WHERE t > 26")
+@query(f"WITH {HOURLY}, w AS (SELECT series_id, t, n, CASE WHEN var_pop(x) OVER k > 0 AND var_pop(y) OVER k > 0 THEN corr(x, y) OVER k END AS r, stddev_pop(x) OVER (PARTITION BY series_id ORDER BY t ROWS BETWEEN 26 PRECEDING AND 26 FOLLOWING) AS sd FROM hourly WINDOW k AS (PARTITION BY series_id ORDER BY t ROWS BETWEEN 26 PRECEDING AND 1 PRECEDING)) SELECT series_id, t, round(r, 6) AS trailing, round(sd, 3) AS spread FROM w WHERE t > 26")
 def e9_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("series_id").orderBy("t")
-    out = hourly(spark, sf_dir).select("series_id", "t", F.corr("x", "y").over(w.rowsBetween(-26, -1)).alias("trailing"), F.stddev_pop("x").over(w.rowsBetween(-26, 26)).alias("spread"))
+    out = hourly(spark, sf_dir).select("series_id", "t", ranks.correlation("x", "y", w.rowsBetween(-26, -1)).alias("trailing"), F.stddev_pop("x").over(w.rowsBetween(-26, 26)).alias("spread"))
     return rounded(rounded(out.filter("t > 26"), "trailing"), "spread", digits=3)
 
 
@@ -339,7 +339,7 @@ def f10_block_variance_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").withColumns({"yr": F.year("o_orderdate"), "q": F.quarter("o_orderdate")})
     b = rows.groupBy("o_orderstatus", "yr", "q").agg(F.var_pop("o_totalprice").alias("v"), F.count("*").alias("n")).filter("n >= 5")
     g = b.groupBy("o_orderstatus", "q").agg(F.avg("v").alias("gv"), F.count("*").alias("k")).filter("k >= 2")
-    return rounded(g.groupBy("o_orderstatus").agg((F.max("gv") / F.min("gv")).alias("ratio"), F.count("*").alias("k")).filter("k >= 2").drop("k"), "ratio")
+    return rounded(g.groupBy("o_orderstatus").agg(F.try_divide(F.max("gv"), F.min("gv")).alias("ratio"), F.count("*").alias("k")).filter("k >= 2").drop("k"), "ratio")
 
 
 _AVG = lambda c: f"rank() OVER (PARTITION BY yr ORDER BY {c}) + (count(*) OVER (PARTITION BY yr, {c}) - 1) / 2e0"

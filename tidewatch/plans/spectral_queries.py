@@ -10,6 +10,7 @@ from tidewatch.functions import detection as dt
 from tidewatch.functions import spectra as sp
 from tidewatch.functions.special import clopper_pearson, ks_uniform_p
 from tidewatch.operators import detect, evaluate
+from tidewatch.operators.ranks import correlation
 from tidewatch.plans.fixtures import hourly, pairs, rounded, table
 from tidewatch.plans.registry import query
 from tidewatch.plans.scan_queries import short
@@ -377,7 +378,7 @@ def n4_exact_null_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
 def g_generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = [("D1", 0.5, 0), ("D2", 0.7, 1), ("D3", 0.5, 0), ("D4", 0.7, 0), ("M1", 2.0, 0), ("M2", 0.7, 0), ("N1", 0.7, 0), ("N2", 4.0, 0), ("N3", 0.7, 0), ("G2", 0.35, 1), ("G3", 0.35, 1)]
     rows = detect.generated(detect.replicates(spark, cells, 1, False))
-    return rounded(rows.groupBy("scen", F.col("t") > 300).agg(F.corr("x", "y").alias("r"), F.stddev_pop("y").alias("sd"), F.count("*").alias("n")).withColumnRenamed("(t > 300)", "after"), "r", "sd")
+    return rounded(rows.groupBy("scen", F.col("t") > 300).agg(correlation("x", "y").alias("r"), F.stddev_pop("y").alias("sd"), F.count("*").alias("n")).withColumnRenamed("(t > 300)", "after"), "r", "sd")
 
 
 @query()
