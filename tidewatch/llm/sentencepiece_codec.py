@@ -82,8 +82,8 @@ class Codec:
         for p in self.ids:
             if len(p) > 1:
                 sizes.setdefault(p[-2:], set()).add(len(p))
-        #: sizes of the pieces that end with two characters, the largest first
-        self.sizes = {tail: tuple(sorted(own, reverse=True)) for tail, own in sizes.items()}
+        #: sizes of the pieces that end with two characters, the largest first, and of one character
+        self.sizes = {tail: (*sorted(own, reverse=True), 1) for tail, own in sizes.items()}
         self.byte_ids = {int(self.names[i][3:5], 16): i for i in range(n) if lib.is_byte(i)}
         self.unknown, self.unknown_score = lib.unk_id(), min(self.score.values(), default=0.0) - UNKNOWN_COST
         lines_apart = not any("\n" in p for p in self.ids)
@@ -93,7 +93,7 @@ class Codec:
         self._stays: dict[tuple[str, str], bool] = {}
         own = [b"" if lib.is_control(i) else b" \xe2\x81\x87 " if lib.is_unknown(i) else bytes([int(p[3:5], 16)]) if lib.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.names)]
         self.piece_bytes, self.piece_ends = np.frombuffer(b"".join(own), np.uint8), np.cumsum([0, *map(len, own)])
-        self.table = WordTable(lambda words: [np.array(ids, np.int32).tobytes() for ids in self.encode_words(words)], 400_000)
+        self.table = WordTable(lambda words: [np.array(ids, np.int32).tobytes() for ids in self.encode_words(words)], 1_000_000)
 
     def words(self, text: bytes) -> list[bytes]:
         """The words of a marked text, with spaces for marks."""
@@ -114,35 +114,39 @@ class Codec:
         """Whether two neighbouring pieces are still those two when their text is merged by itself."""
         known = self._stays.get((a, b))
         if known is None:
-            if len(self._stays) > 300_000:
+            if len(self._stays) > 1_000_000:
                 self._stays.clear()
             known = self._stays[a, b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
-    def _forward_merged(self, word: str, i: int, sizes: list[int], ends: list[str]) -> None:
-        """The prefix of i characters: the size of its last piece, and that piece."""
-        ids, known_pairs = self.ids, self._stays
-        for size in (*self.sizes.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):
-            if size <= i:
-                piece = word[i - size : i]
-                if size == 1 or piece in ids:
-                    pair = (ends[i - size], piece)
-                    known = known_pairs.get(pair)
-                    if known or known is None and self.stays(*pair):
-                        sizes.append(size)
-                        ends.append(piece)
-                        return
-        raise AssertionError(f"no path for {word[:i]!r}")
-
-    def _forward_scored(self, word: str, i: int, sizes: list[int], best: list[float]) -> None:
-        score, top, found = self.score, -np.inf, 1
-        for size in (*self.sizes.get(word[i - 2 : i], ()), 1) if i > 1 else (1,):  # the longest of equally good last pieces
-            if size <= i:
-                own = score.get(word[i - size : i], self.unknown_score if size == 1 else None)
-                if own is not None and best[i - size] + own > top:
-                    top, found = best[i - size] + own, size
-        sizes.append(found)
-        best.append(top)
+    def _forward_merged(self, word: str, first: int, sizes: list[int], ends: list[str]) -> None:
+        """For the prefixes from `first` characters on: the size of their last piece, and that piece."""
+        ids, known_pairs, sizes_of, single = self.ids, self._stays.get, self.sizes.get, (1,)
+        for i in range(first, len(word) + 1):
+            for size in sizes_of(word[i - 2 : i], single) if i > 1 else single:
+                if size <= i:
+                    piece = word[i - size : i]
+                    if size == 1 or piece in ids:
+                        pair = (ends[i - size], piece)
+                        known = known_pairs(pair)
+                        if known or known is None and self.stays(*pair):
+                            sizes.append(size)
+                            ends.append(piece)
+                            break
+            else:
+                raise AssertionError(f"no path for {word[:i]!r}")
+
+    def _forward_scored(self, word: str, first: int, sizes: list[int], best: list[float]) -> None:
+        score, single = self.score, (1,)
+        for i in range(first, len(word) + 1):
+            top, found = -np.inf, 1
+            for size in self.sizes.get(word[i - 2 : i], single) if i > 1 else single:  # the longest of equally good last pieces
+                if size <= i:
+                    own = score.get(word[i - size : i], self.unknown_score if size == 1 else None)
+                    if own is not None and best[i - size] + own > top:
+                        top, found = best[i - size] + own, size
+            sizes.append(found)
+            best.append(top)
 
     def encode_words(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each word: the sorted words share the forward states of their common prefixes."""
@@ -156,8 +160,7 @@ class Codec:
             while same < most and word[same] == before[same]:
                 same += 1
             del sizes[same + 1 :], state[same + 1 :]
-            for i in range(same + 1, len(word) + 1):
-                forward(word, i, sizes, state)
+            forward(word, same + 1, sizes, state)
             before, at, ids = word, len(word), []
             while at:
                 piece = word[at - sizes[at] : at]
@@ -201,7 +204,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(_model(path))
-        for rows, col in text_steps(batches, 2 << 20, keep=True):
+        for rows, col in text_steps(batches, 8 << 20, keep=True):
             yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(own.encode(col.to_pylist()), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
@@ -228,7 +231,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(_model(path))
-        for rows, col in text_steps(batches, 2 << 20, keep=True):
+        for rows, col in text_steps(batches, 8 << 20, keep=True):
             texts = col.to_pylist()
             ids = own.encode(texts)
             back = own.decode(ids)
