@@ -24,6 +24,8 @@ def by_series(df: DataFrame, make: Callable[[np.ndarray, np.ndarray], dict[str,
         pdf = pdf.sort_values("t", kind="stable")
         found = make(pdf["x"].to_numpy(), pdf["y"].to_numpy())
         size = max((len(v) for v in found.values() if isinstance(v, (list, np.ndarray))), default=1)
+        if not size:
+            return pd.DataFrame()  # an empty text column can't be handed over
         rows = {k: v if isinstance(v, (list, np.ndarray)) else [v] * size for k, v in found.items()}
         return pd.DataFrame({**{k: [pdf[k].iloc[0]] * size for k in keys}, **rows})
 

@@ -13,7 +13,6 @@ from tidewatch.operators import detect, evaluate
 from tidewatch.operators.ranks import correlation
 from tidewatch.plans.fixtures import hourly, pairs, rounded, table
 from tidewatch.plans.registry import query
-from tidewatch.plans.scan_queries import short
 
 UNIT, REPLICAS, CHUNKS = 40, 99, 8
 
@@ -23,7 +22,7 @@ def _features(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scan(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    return rounded(detect.curve(short(spark, sf_dir), make), "q")
+    return rounded(detect.curve(hourly(spark, sf_dir), make), "q")
 
 
 @query()
@@ -45,7 +44,7 @@ def i1_i25_information_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
         share = t / len(x)
         return {"t": t.astype(np.int64), "left": left, "right": right, "process": np.sqrt(share * (1 - share)) * np.abs(len(x) * (left - right))}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "t long, left double, right double, process double"), "left", "right", "process")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "t long, left double, right double, process double"), "left", "right", "process")
 
 
 @query()
@@ -57,7 +56,7 @@ def i2_corrected_information(spark: SparkSession, sf_dir: str) -> DataFrame:
         seen, null = sp.information_sides(fx, fy, t)[0], sp.information_sides(fx, fy[o], t)[0]
         return {"t": t.astype(np.int64), "q": seen - null}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "t long, q double"), "q")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "t long, q double"), "q")
 
 
 @query()
@@ -101,7 +100,7 @@ def i16_gram_order1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         u, v = _units(x, y)
         return dt.gram_curve(u, v, t, *(1 / sp.median_square_distance(a[:, None]) for a in (u, v)), rows=64)
 
-    return rounded(detect.curve(short(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
+    return rounded(detect.curve(hourly(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
 
 
 @query()
@@ -116,7 +115,7 @@ def i19_dcc_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = dt.dcc_path(*(dt.garch_residuals(a) for a in (x, y)))
         return {"t": t.astype(np.int64), "q": dt.mean_cusum(path, t)}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "t long, q double"), "q")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "t long, q double"), "q")
 
 
 @query()
@@ -125,7 +124,7 @@ def i22_renyi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         at, tc = dt.renyi_series(x, y + 1e-9 * np.arange(len(y)))
         return {"t": at.astype(np.int64), "tc1": tc[1.01], "tc2": tc[2.0]}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "t long, tc1 double, tc2 double"), "tc1", "tc2")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "t long, tc1 double, tc2 double"), "tc1", "tc2")
 
 
 @query()
@@ -158,7 +157,7 @@ def i27_feature_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tests(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    return rounded(detect.by_series(short(spark, sf_dir), lambda x, y: dict(zip(("t_max", "tau", "p"), make(x, y))), "t_max double, tau long, p double"), "t_max", "p")
+    return rounded(detect.by_series(hourly(spark, sf_dir), lambda x, y: dict(zip(("t_max", "tau", "p"), make(x, y))), "t_max double, tau long, p double"), "t_max", "p")
 
 
 @query()
@@ -220,7 +219,7 @@ def j12_adaptive_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
         t, tau, p = dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=block)
         return {"block": block or 0, "t_max": t, "tau": tau, "p": p}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "block int, t_max double, tau long, p double"), "t_max", "p")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "block int, t_max double, tau long, p double"), "t_max", "p")
 
 
 @query()
@@ -237,7 +236,7 @@ def j15_whole_procedure_permutation(spark: SparkSession, sf_dir: str) -> DataFra
             null.append(best(z[o])[1])
         return {"tau": t, "gain": g, "p_adjusted": float((1 + dt.reaches(np.array(null), g).sum()) / 20)}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "tau long, gain double, p_adjusted double"), "gain", "p_adjusted")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "tau long, gain double, p_adjusted double"), "gain", "p_adjusted")
 
 
 @query()
@@ -262,7 +261,7 @@ def k6_block_summary_portmanteau(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def l1_state_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(detect.moment_costs(detect.interval_moments(short(spark, sf_dir), UNIT)), "c")
+    return rounded(detect.moment_costs(detect.interval_moments(hourly(spark, sf_dir), UNIT)), "c")
 
 
 @query()
@@ -280,7 +279,7 @@ def l5_l6_calibrated_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
         cuts, beta = dt.calibrated_partition(x, y, 24, [0.5, 1.0, 2.0, 4.0, 8.0, 16.0], 5, 3)
         return {"beta": beta, "cuts": ",".join(map(str, cuts))}
 
-    return detect.by_series(short(spark, sf_dir), one, "beta double, cuts string")
+    return detect.by_series(hourly(spark, sf_dir), one, "beta double, cuts string")
 
 
 @query()
@@ -289,17 +288,17 @@ def l7_binary_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = dt.binary_segmentation(dt.mmd_gain(np.column_stack(_units(x, y)), 30), len(x), 30, 4)
         return {"place": np.arange(len(found)), "tau": np.array([t for t, _ in found]), "gain": np.array([g for _, g in found])}
 
-    return rounded(detect.by_series(short(spark, sf_dir), one, "place long, tau long, gain double"), "gain")
+    return rounded(detect.by_series(hourly(spark, sf_dir), one, "place long, tau long, gain double"), "gain")
 
 
 @query()
 def l8_recursive_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.by_series(short(spark, sf_dir), lambda x, y: {"cuts": ",".join(map(str, dt.recursive_breaks(x, y, 20, 19, 0.05, 1, 2, 100)))}, "cuts string")
+    return detect.by_series(hourly(spark, sf_dir), lambda x, y: {"cuts": ",".join(map(str, dt.recursive_breaks(x, y, 20, 19, 0.05, 1, 2, 100)))}, "cuts string")
 
 
 @query()
 def l9_energy_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.by_series(short(spark, sf_dir), lambda x, y: {"cuts": ",".join(map(str, dt.energy_segments(np.column_stack(_units(x, y)), 19, least=40)))}, "cuts string")
+    return detect.by_series(hourly(spark, sf_dir), lambda x, y: {"cuts": ",".join(map(str, dt.energy_segments(np.column_stack(_units(x, y)), 19, least=40)))}, "cuts string")
 
 
 @query()
@@ -315,7 +314,7 @@ def l11_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = dt.two_stage(x, y, 24, [0.25, 0.5, 1.0, 2.0, 4.0], 72, 19, 5)
         return {"date": np.array([c for c, *_ in found], np.int64), "p": np.array([p for _, p, _ in found], float), "tau": np.array([t for *_, t in found], np.int64)}
 
-    rows = detect.by_series(short(spark, sf_dir), one, "date long, p double, tau long").withColumn("family", F.lit(1))
+    rows = detect.by_series(hourly(spark, sf_dir), one, "date long, p double, tau long").withColumn("family", F.lit(1))
     q = evaluate.step_up_q(rows, ["family"], "p", "q").withColumn("p_marginal", F.lit(1.0))
     return rounded(evaluate.classified(q, "q", "p_marginal", ("dependence change", "both change", "marginal change", "no change")).drop("family", "p_marginal"), "p", "q")
 
@@ -352,7 +351,7 @@ def f14_bootstrap_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def n3_asymptotic_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "c double, n_weights int, t_raw double, crit_raw double, p_raw double, tau_raw long, t_std double, crit_std double, p_std double, tau_std long"
-    return rounded(detect.by_series(short(spark, sf_dir), lambda x, y: dt.asymptotic_test(x, y, 500), schema), "c", "t_raw", "crit_raw", "p_raw", "t_std", "crit_std", "p_std", digits=4)
+    return rounded(detect.by_series(hourly(spark, sf_dir), lambda x, y: dt.asymptotic_test(x, y, 500), schema), "c", "t_raw", "crit_raw", "p_raw", "t_std", "crit_std", "p_std", digits=4)
 
 
 @query()
@@ -411,7 +410,7 @@ def h7_low_rank_gram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         u, v = _units(x, y)
         return dt.low_rank_gram_curve(u, v, t, *(1 / sp.median_square_distance(a[:, None]) for a in (u, v)))
 
-    return rounded(detect.curve(short(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
+    return rounded(detect.curve(hourly(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
 
 
 @query()
@@ -427,7 +426,7 @@ def h9_bias_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.plans.pipelines import panel
 
-    return rounded(panel(short(spark, sf_dir), 19, 3), "t_max", "p", "q", "q_dependent", "r_before", "r_after")
+    return rounded(panel(hourly(spark, sf_dir), 19, 3), "t_max", "p", "q", "q_dependent", "r_before", "r_after")
 
 
 @query()
