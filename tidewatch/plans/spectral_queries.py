@@ -100,7 +100,7 @@ def i16_gram_order1_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         u, v = _units(x, y)
         return dt.gram_curve(u, v, t, *(1 / sp.median_square_distance(a[:, None]) for a in (u, v)), rows=64)
 
-    return rounded(detect.curve(hourly(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
+    return rounded(detect.curve(hourly(spark, sf_dir), make), "q")
 
 
 @query()
@@ -162,12 +162,12 @@ def _tests(spark: SparkSession, sf_dir: str, make) -> DataFrame:
 
 @query()
 def j1_j11_pair_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1))(sp.fraction_grid(len(x))[::8]))
+    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1))(sp.fraction_grid(len(x))))
 
 
 @query()
 def j2_block_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=12))(sp.fraction_grid(len(x))[::8]))
+    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=12))(sp.fraction_grid(len(x))))
 
 
 @query()
@@ -187,7 +187,7 @@ def j4_one_sided_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invalid control: y alone is shuffled."""
 
     def test(x, y):
-        g, rng = sp.fraction_grid(len(x))[::8], np.random.default_rng(3)
+        g, rng = sp.fraction_grid(len(x)), np.random.default_rng(3)
         c = dt.information_of(g)
         return dt.symmetric_test(np.array([c(x, y), *(c(x, rng.permutation(y)) for _ in range(19))]), g)
 
@@ -199,7 +199,7 @@ def j5_reused_features_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features made once and permuted, instead of made anew for each copy."""
 
     def test(x, y):
-        g, rng = sp.fraction_grid(len(x))[::8], np.random.default_rng(1)
+        g, rng = sp.fraction_grid(len(x)), np.random.default_rng(1)
         fx, fy = _features(x, y)
         rows = [dt.information_curve(fx, fy, g)]
         for _ in range(19):
@@ -215,7 +215,7 @@ def j12_adaptive_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(x, y):
         e = dt.exchangeability(x, y, replicas=39)
         block = min(max(e["length"], 1), len(x) // 4) if e["block"] else None
-        g = sp.fraction_grid(len(x))[::8]
+        g = sp.fraction_grid(len(x))
         t, tau, p = dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=block)
         return {"block": block or 0, "t_max": t, "tau": tau, "p": p}
 
@@ -410,7 +410,7 @@ def h7_low_rank_gram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         u, v = _units(x, y)
         return dt.low_rank_gram_curve(u, v, t, *(1 / sp.median_square_distance(a[:, None]) for a in (u, v)))
 
-    return rounded(detect.curve(hourly(spark, sf_dir), make, lambda n: sp.fraction_grid(n)[::8]), "q")
+    return rounded(detect.curve(hourly(spark, sf_dir), make), "q")
 
 
 @query()
