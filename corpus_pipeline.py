@@ -15,7 +15,7 @@ from tidewatch.llm.language import UNDETERMINED, identify, learned
 from tidewatch.llm.packing import packed
 from tidewatch.llm.quality import quality
 from tidewatch.llm.queries import vocabulary
-from tidewatch.llm.simhash import near_duplicates
+from tidewatch.llm.similar import similar
 from tidewatch.llm.suffix_dedup import deduplicated
 
 
@@ -46,9 +46,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of texts that share 80 % of their five-word shingles, or are joined by such, the document with the smallest id stays."""
     rows, _ = _masked(docs)
-    stay = near_duplicates(rows).filter("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    stay = similar(rows).groupBy("component").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
     named = rows.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
     return _restored(named.unionByName(rows.filter("doc_id IS NULL")), docs)
 

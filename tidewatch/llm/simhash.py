@@ -31,12 +31,12 @@ LINK_BITS, SHINGLE, SEED, RUN = 4, 4, 42, 1 << 15
 _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 
-def shingle_hashes(text: bytes) -> list[int]:
-    """XXH64 of each run of four words (of the whole sequence, if shorter; none without words)."""
+def shingle_hashes(text: bytes, k: int = SHINGLE) -> list[int]:
+    """XXH64 of each run of k words (of the whole sequence, if shorter; none without words)."""
     words = text.translate(_LOWER).split()
     if not words:
         return []
-    line, k, h = b" ".join(words), SHINGLE, xxhash.xxh64_intdigest
+    line, h = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= k:
         return [h(line, SEED)]
     starts = list(accumulate([len(w) + 1 for w in words], initial=0))
@@ -45,12 +45,12 @@ def shingle_hashes(text: bytes) -> list[int]:
 
 def fingerprints(col: pa.Array) -> np.ndarray:
     """The fingerprint of every text of a binary array."""
-    hashes, sizes = [], []
-    for text in col.to_pylist():
-        own = shingle_hashes(text)
-        hashes.append(np.array(own, np.uint64))
-        sizes.append(len(own))
-    size = np.array(sizes, np.int64)
+    return majorities([np.array(shingle_hashes(text), np.uint64) for text in col.to_pylist()])
+
+
+def majorities(hashes: list[np.ndarray]) -> np.ndarray:
+    """The bits that most hashes of each array have."""
+    size = np.array([len(own) for own in hashes], np.int64)
     out = np.zeros(len(size), np.uint64)
     full = np.nonzero(size)[0]
     if not len(full):
