@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages from documents to packed sequences.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame with the columns of docs (the last: the pieces).
-Documents are named by doc_id; rows that repeat an id count as one document from the third stage on. Rows without an id have no
+Documents are named by doc_id and text; rows that repeat both count as one document from the third stage on. Rows without an id have no
 group and nothing to lose to others, and go through.
 """
 
@@ -46,17 +46,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts that share 80 % of their five-word shingles, or are joined by such, the document with the smallest id stays."""
+    """Of each group of texts that share 80 % of their five-word shingles, or are joined by such, the document with the smallest
+    id (then text hash) stays. Different texts under one id are documents of their own."""
     rows, _ = _masked(docs)
-    stay = similar(rows).groupBy("component").agg(F.min("doc_id").alias("_stays")).select("_stays").distinct()
-    named = rows.join(stay, F.col("doc_id") == F.col("_stays"), "left_semi").dropDuplicates(["doc_id"])
+    stay = similar(rows).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_stays"), F.col("s.text_hash").alias("_hash")).distinct()
+    hashed = rows.withColumn("_text", F.xxhash64("text"))
+    named = hashed.join(stay, (F.col("doc_id") == F.col("_stays")) & (F.col("_text") == F.col("_hash")), "left_semi").dropDuplicates(["doc_id", "_text"]).drop("_text")
     return _restored(named.unionByName(rows.filter("doc_id IS NULL")), docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has are cut out of the texts (and counted out of n_chars)."""
     rows, names = _masked(docs)
-    found = _restored(deduplicated(rows, keep=names).withColumn("text", F.col("kept_text")), docs)
+    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("_text")).distinct()
+    if texts.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        cuts = deduplicated(rows, keep=names)
+    else:  # an id with several texts doesn't name a text: texts are numbered in the order of their ids
+        numbers = cut(texts.orderBy("doc_id", "_text").select(F.col("doc_id").alias("_of"), F.col("_text").alias("_hash"), F.monotonically_increasing_id().alias("_number")))
+        marked = rows.withColumn("_text", F.xxhash64("text")).join(numbers, (F.col("doc_id") == F.col("_of")) & (F.col("_text") == F.col("_hash")), "left")
+        marked = cut(marked.select(F.col("_number").alias("doc_id"), "text", *names, F.col("doc_id").alias("_named")))
+        cuts = deduplicated(marked, keep=[*names, "_named"]).drop("doc_id").withColumnRenamed("_named", "doc_id")
+    found = _restored(cuts.withColumn("text", F.col("kept_text")), docs)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from corpus_pipeline import near_duplicate_stage
+from corpus_pipeline import near_duplicate_stage, suffix_stage
 from test_corpus_operators import brute_components
 
 
@@ -40,3 +40,20 @@ def test_near_copies_from_similarity_0_8_go(spark):
     docs = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, lang string")
     got = [r.doc_id for r in near_duplicate_stage(spark, docs, "").collect()]
     assert sorted(got) == [k for k in range(len(texts)) if group.get(k, k) == k]
+
+
+def test_texts_under_one_id(spark):
+    """Both stay, join no groups by their id, and each loses its own passages only."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: " ".join(f"p{k}" for k in rng.integers(0, 10**5, n))
+    shared, one, two, three = prose(30), prose(100), prose(120), prose(140)
+    rows = [(1, one + " " + shared), (7, two), (7, shared + " " + three), (7, two), (8, two + " end"), (9, "x " + shared + " " + three), (None, two)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, lang string")
+    near = near_duplicate_stage(spark, docs, "").cache()
+    texts = lambda df: sorted(((r.doc_id or 0, r.text) for r in df.collect()))
+    assert texts(near) == sorted([(0, two), rows[0], (7, two), rows[2]])
+    assert texts(near_duplicate_stage(spark, docs.repartition(5), "")) == texts(near)
+    got = texts(suffix_stage(spark, near, ""))
+    assert len(got) == 4 and {(0, two), rows[0], (7, two)} <= set(got)
+    left = next(t for i, t in got if i == 7 and t != two)
+    assert left.endswith(three) and len(left) < len(three) + 50

@@ -84,14 +84,14 @@ def joined(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, component) of every row of docs (doc_id, text) that has an id; component: a name of the group."""
-    rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS long) AS doc_id", "text")
+    """(doc_id, text_hash, node, component) of every row of docs (doc_id, text) that has an id; component: a name of the group."""
+    rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS long) AS doc_id", "xxhash64(text) AS text_hash", "text")
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own, col in text_steps(batches):
             sets = shingle_sets(col)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), pa.array(set_names(sets)), pa.array(majorities(sets).view(np.int64)), keys], ["doc_id", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_hash"), pa.array(set_names(sets)), pa.array(majorities(sets).view(np.int64)), keys], ["doc_id", "text_hash", "node", "fp", "keys"])
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, col in text_steps(batches):
@@ -103,7 +103,7 @@ def similar(docs: DataFrame) -> DataFrame:
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"node": node, "component": node[joined([np.frombuffer(own, np.uint64) for own in pdf["shingles"]])]})
 
-    marked = cut(mapped(rows, marks, "doc_id long, node long, fp long, keys array<long>"))
+    marked = cut(mapped(rows, marks, "doc_id long, text_hash long, node long, fp long, keys array<long>"))
     nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
@@ -115,4 +115,4 @@ def similar(docs: DataFrame) -> DataFrame:
     asked = nodes.select("node", "doc_id").join(group, "node").select("doc_id").distinct()
     sets = mapped(rows.join(asked, "doc_id", "left_semi").select("text"), contents, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
     found = group.join(sets, "node").groupBy("group_id").applyInPandas(exact, "node long, component long")
-    return marked.select("doc_id", "node").join(found, "node", "left").select("doc_id", "node", F.coalesce("component", "node").alias("component"))
+    return marked.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("component", "node").alias("component"))
