@@ -8,11 +8,11 @@ their triggers at the same places. Phrases run from trigger to trigger and overl
 1. The parse: each document's triggers (hashes) are dealt out by hash, packed per batch of documents; batches report only the
    smallest id of a trigger and whether ids differ in it. A trigger that only one document has can't lie in a repeated string.
 2. The dictionary: for each repeated trigger the distinct phrases around it (the bytes that a 50-byte string with this trigger can reach)
-   go to one place, again once per batch. There the suffixes that begin in front of the trigger are put in order, to a depth of 50 bytes;
-   neighbours that agree to that depth are the same string, and the smallest id of each tells who keeps it.
+   go to one place, again once per batch. There the strings of 50 bytes that begin in front of the trigger are grouped by their hashes,
+   in place of a suffix order, and the smallest id of each group tells who keeps it.
 3. Every document takes back the stretches it loses and cuts them from its text.
 
-The order is made for repeated phrases only and to a depth of 50 bytes: a full suffix array of parse and dictionary would add
+Repeated phrases only are looked at, to a depth of 50 bytes: a full suffix array of parse and dictionary would add
 nothing to who keeps a string, and would have to move each byte's suffix once. Equal strings are told by 64-bit hashes of them within one trigger.
 
 Defined results: null and empty texts have no bytes and lose none; rows without an id neither lose nor claim anything; rows that
