@@ -6,7 +6,8 @@ a place in its sample, wins. Texts are parsed in blocks of `BLOCK` bytes (a phra
 texts advance together, one byte of each at a time, through dense transition tables.
 
 Learning: only text and lang of the given labelled rows. `ROWS` rows per language with the smallest hashes are looked at, of
-those the ones of at most `SAMPLE` bytes are put in until `SAMPLE` bytes a language are reached. Every text is parsed whole.
+those the ones of at most `SAMPLE` bytes are put in until `SAMPLE` bytes a language are reached; a language whose rows are all longer is learnt
+from the beginnings of at most `LONG` of them. Every text is parsed whole.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without lang teach nothing; if no row teaches,
 all are `und`; ties go to the language that sorts first; columns other than the named ones are not read.
@@ -26,19 +27,19 @@ from tidewatch.llm.automaton import SuffixAutomaton
 from tidewatch.llm.common import flat, mapped, only, text_steps
 
 ROWS, SAMPLE, BLOCK, UNDETERMINED = 300, 40_000, 512, "und"
-CLASSES = 48  # byte classes: 0 pads, 1 is anything that isn't a letter, 2 a rare letter byte
+LONG = 8  # rows over SAMPLE bytes that a language without shorter ones is learnt from
 
 
 def byte_classes(sample: dict[str, list[bytes]]) -> np.ndarray:
-    """A class for each byte: the letters of ASCII without case, then the most frequent other bytes of the sample."""
+    """A class for each byte: 0 pads, 1 is anything that isn't a letter, 2 a letter byte that the sample lacks; then the letters of
+    ASCII without case, and every other byte of the sample."""
     kind = np.full(256, 1, np.uint8)
     for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
         kind[c] = kind[c - 32] = 3 + i
     kind[128:] = 2
     seen = np.bincount(np.frombuffer(b"".join(x for own in sample.values() for x in own), np.uint8), minlength=256)[128:]
-    for i, c in enumerate(np.argsort(-seen, kind="stable")[: CLASSES - 29]):
-        if seen[c]:
-            kind[128 + c] = 29 + i
+    for i, c in enumerate(np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]):
+        kind[128 + c] = 29 + i
     return kind
 
 
@@ -48,19 +49,19 @@ class Model:
     def __init__(self, sample: dict[str, list[bytes]]) -> None:
         self.names = sorted(sample)
         self.kind = byte_classes(sample)
-        tables, roots, bits, base = [], [], [], 0
+        tables, roots, bits, base, classes = [], [], [], 0, max(29, int(self.kind.max()) + 1)
         for name in self.names:
             auto = SuffixAutomaton()
             for text in sample[name]:
                 auto.add(self.kind[np.frombuffer(text, np.uint8)].tolist())
-            own = np.full((len(auto.step), CLASSES), -1, np.int32)
+            own = np.full((len(auto.step), classes), -1, np.int32)
             for state, steps in enumerate(auto.step):
                 if steps:
-                    own[state, list(steps)] = [(base + x) * CLASSES for x in steps.values()]
-            fresh = np.where(own[0] < 0, base * CLASSES, own[0])
+                    own[state, list(steps)] = [(base + x) * classes for x in steps.values()]
+            fresh = np.where(own[0] < 0, base * classes, own[0])
             own = np.where(own < 0, ~fresh, own)  # a miss ends the phrase and begins the next one: its state, inverted
             tables.append(own)
-            roots.append(base * CLASSES)
+            roots.append(base * classes)
             bits.append(math.log2(sum(map(len, sample[name])) + 2))
             base += len(own)
         self.next = np.concatenate(tables).ravel()
@@ -96,14 +97,19 @@ def _model(sample: dict[str, list[bytes]]) -> Model:
 
 def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[str, list[bytes]]:
     """The bounded sample (at most `size` bytes a language) of rows (text, lang, and an order column `pick`)."""
-    first = Window.partitionBy("lang").orderBy("pick", "id")
-    picked = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text").between(1, size))
-    ids = picked.select("lang", "pick", "id").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).select("lang", "id", "pick", "place")
-    chosen = [r.id for r in ids.select("id").distinct().collect()]
+    first = Window.partitionBy("lang").orderBy("long", "pick", "id")
+    picked = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text") > 0).withColumn("long", F.octet_length("text") > size)
+    ids = picked.select("lang", "pick", "id", "long").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).select("lang", "id", "long", "place").collect()
+    only_long = {r.lang for r in ids if r.place == 1 and r.long}
+    chosen = list({r.id for r in ids if not r.long or r.lang in only_long and r.place <= LONG})
+    share = {k: size // min(LONG, sum(r.lang == k for r in ids)) for k in only_long}
     out: dict[str, list[bytes]] = {}
-    got = picked.filter(F.col("id").isin(chosen)).select("lang", "pick", "id", "text").collect() if chosen else []
+    wanted = F.col("id").isin(chosen) & (~F.col("long") | F.col("lang").isin(list(only_long)))
+    got = picked.filter(wanted).select("lang", "pick", "id", F.substring("text", 1, size).alias("text")).collect() if chosen else []
     for r in sorted(got, key=lambda r: (r.lang, r.pick, r.id, r.text)):
         own, text = out.setdefault(r.lang, []), r.text.encode()
+        if r.lang in share:
+            text = text[: share[r.lang]].decode(errors="ignore").encode()
         if sum(map(len, own)) + len(text) <= size:
             own.append(text)
     return out
