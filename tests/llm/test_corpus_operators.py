@@ -9,6 +9,7 @@ import sys
 import numpy as np
 import pytest
 from conftest import ROOT, SF
+from pyspark.sql import functions as F
 
 from tidewatch.llm import sharding, simhash, suffix_dedup, topk
 from tidewatch.llm.components import components
@@ -128,6 +129,59 @@ def test_shards(spark):
     assert sharding.shard_documents(docs.limit(0)).count() == 0
 
 
+def brute_permuted(x, n):
+    """The network as it is described, one number at a time."""
+    half = max(1, (max(n - 1, 1).bit_length() + 1) // 2)
+    word = (1 << 64) - 1
+
+    def spread(v):
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 & word
+        v = (v ^ v >> 27) * 0x94D049BB133111EB & word
+        return v ^ v >> 31
+
+    while True:
+        a, b = x >> half, x & (1 << half) - 1
+        for r in range(sharding.ROUNDS):
+            a, b = b, a ^ spread(b + spread(r + 1 + sharding.SEED * sharding.ROUNDS) & word) & (1 << half) - 1
+        x = a << half | b
+        if x < n:
+            return x
+
+
+def test_sharding_query(spark):
+    """Every column of the query over the whole table."""
+    import zlib
+
+    got = QUERIES["op7_sharding"](spark, SF).toPandas()
+    texts = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    n = len(texts)
+    assert sorted(zip(got.doc_id, got["size"], got.text_crc32)) == sorted((i, len(t) + 1, zlib.crc32(t)) for i, t in texts)
+    assert sorted(got.slot * 8 + got.shard) == list(range(n))
+    assert set(got.law) == {"rows"} and got.grown_shard.isna().all()
+    kept = sharding.shard_documents(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert sorted(kept.row_number) == list(range(n))
+    assert all(brute_permuted(int(r.row_number), n) == r.slot * 8 + r.shard for r in kept.itertuples())
+    keys = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert sorted(map(tuple, kept[keys].values.tolist())) == sorted(map(tuple, got[keys].values.tolist()))
+
+
+def test_numbers_of_hot_buckets(spark):
+    """Most rows agree in all keys: their numbers come from counts, and are the same set as those of a sort."""
+    from tidewatch.llm.common import cut
+    from tidewatch.llm.numbering import numbered
+
+    rows = [(1 if i % 3 else i, None if i % 5 else "x") for i in range(600)]
+    kept = cut(spark.createDataFrame(rows, "a long, b string").repartition(5))
+    plain = sorted(map(tuple, numbered(kept, ["a", "b"], "n", per_bucket=1000).select("n", "a", "b").toPandas().astype(str).values.tolist()))
+    assert sorted(r.n for r in numbered(kept, ["a", "b"], "n", per_bucket=20).collect()) == list(range(600))
+    lead = F.when(F.col("b").isNull(), 1).otherwise(0)
+    led = numbered(kept, ["a", "b"], "n", lead, 2, per_bucket=20).collect()
+    assert sorted(r.n for r in led) == list(range(600))
+    assert max(r.n for r in led if r.b) < min(r.n for r in led if r.b is None)
+    again = sorted(map(tuple, numbered(cut(kept.repartition(3)), ["a", "b"], "n", per_bucket=1000).select("n", "a", "b").toPandas().astype(str).values.tolist()))
+    assert again == plain
+
+
 # ---- search
 
 

@@ -4,7 +4,9 @@ Rows get gapless numbers 0..n-1. A Feistel network permutes the smallest even po
 permuted again (cycle walking), which leaves a permutation of 0..n-1. Place p goes to shard p mod shards, slot p div shards: shard
 sizes differ by one row at most, slots have no gap, and both follow from the row number alone.
 
-Defined results: rows may repeat, ids and texts may be null (they are keys like any other); an empty table gives no rows.
+Defined results: rows may repeat (those that agree in all keys are numbered in any order), ids and texts may be null (they are keys like
+any other); an empty table gives no rows; texts of any length are hashed by the JVM as they are; columns named row_number, shard or slot give
+way to the results, those of documents other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -40,7 +42,7 @@ def permuted(numbers: np.ndarray, n: int, seed: int = SEED, rounds: int = ROUNDS
 
 def sharded(rows: DataFrame, keys: list[str], shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All columns of the rows, plus row_number, shard and slot. The rows are read once and kept while they are counted."""
-    kept = cut(rows)
+    kept = cut(rows.drop("row_number", "shard", "slot"))
     n = kept.count()
     with_numbers = numbered(kept, keys, "row_number")
     schema = with_numbers.schema
