@@ -201,10 +201,26 @@ def test_chat_edges(spark):
 
 def test_piece_lengths():
     for n in (1, 2, 4095, 4096, 4097, 10_000):
-        sizes = packing.piece_lengths(n)
+        row, start, lengths = packing.cut_up(np.array([7, n]))
+        sizes = lengths[row == 1].tolist()
+        assert start[row == 1].tolist() == np.cumsum([0, *sizes[:-1]]).tolist() and lengths[row == 0].tolist() == [4, 2, 1]
         assert sum(sizes) == n and all(s & (s - 1) == 0 and s <= 4096 for s in sizes) and sizes == sorted(sizes, reverse=True)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab'stmdrevl 1²½!?\n\t\x85\xa0\x1cÀéßµªº×É—бİ<|>", max_size=30), max_size=4))
+def test_split_equals_library(texts):
+    from tokenizers import Tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    whole = _CACHE.setdefault(path, Tokenizer.from_file(path))
+    ids, cuts = packing.tokens(packing.word_table(path), [t.encode() for t in texts])
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+_CACHE: dict = {}
+
+
 def test_packing_equals_library(edge, nothing, spark):
     from tokenizers import Tokenizer
 

@@ -57,15 +57,17 @@ class WordTable:
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The token ids of each text."""
+        flat, cuts = self.joined([word for words in texts for word in words], np.cumsum([0, *map(len, texts)]))
+        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def joined(self, words: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The token ids of all words, and where those of words[at[0]], words[at[1]], ... begin."""
         self.start()
-        codes = [np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)) for words in texts]
+        every = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         self._learn()
-        every = np.concatenate(codes) if codes else np.zeros(0, np.int64)
         ends = self.ends[every]
         starts = np.where(every > 0, self.ends[every - 1], 0)
         size = ends - starts
         behind = np.cumsum(size)
         flat = self.ids[np.repeat(starts - (behind - size), size) + np.arange(behind[-1] if len(behind) else 0)]
-        at = np.cumsum([0, *map(len, codes)])
-        cuts = np.concatenate([[0], behind])[at]
-        return [flat[a:b] for a, b in zip(cuts, cuts[1:])]
+        return flat, np.concatenate([[0], behind])[at]
