@@ -7,6 +7,7 @@ import ctypes
 import gc
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
@@ -40,10 +41,16 @@ def only(key: Hashable, make: Callable[[], Any]) -> Any:
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
+def _bytes(size: str) -> int:
+    """A size as Spark writes it: 67108864, 64m, 64MB."""
+    number, unit = re.match(r"\s*(-?\d+)\s*([a-z]?)", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit if unit in tuple("kmgtp") else " ")
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with batches of bounded size, so that long texts don't fill the workers' memory."""
     conf = df.sparkSession.conf
-    if not 0 < int(re.match(r"-?\d+", conf.get(BATCH_KEY))[0]) <= BATCH_BYTES:
+    if not 0 < _bytes(conf.get(BATCH_KEY)) <= BATCH_BYTES:  # the plan reads it when it runs, so it can't be set back here
         conf.set(BATCH_KEY, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
@@ -59,11 +66,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has its folder: the cluster's own, or a local one where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoint(), set if it isn't yet: the one that the cluster names, a local one only where all runs on this machine.
+
+    What lies in it goes when the driver ends.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    folder = sc._jsc.sc().getCheckpointDir().get()
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,6 +89,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared checkpoint folder: smaller than a checkpoint, and read by column."""
+    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def keepable(keep: list[str] | None, results: str) -> list[str]:
+    """Columns to keep beside an operator's results; those that are named like a result give way to it."""
+    return [c for c in keep or [] if c not in results.split()]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

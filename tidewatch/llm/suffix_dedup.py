@@ -3,21 +3,27 @@
 A byte goes if it is covered by a string of `WINDOW` = 50 bytes that also starts in a document with a smaller id; strings are judged on the
 input. Texts are parsed into phrases by triggers of a rolling hash: a string of `SEED` bytes triggers if its hash is the smallest of those of
 some 50 bytes around it. So every 50 bytes hold a trigger, what follows from the bytes alone, and equal 50-byte strings have
-their triggers at the same places. Phrases run from trigger to trigger and overlap in the trigger, as prefix-free parsing wants.
+a trigger at the same place. Phrases run from trigger to trigger and overlap in the trigger, as prefix-free parsing wants.
 
-1. The parse: each document's triggers (hashes) are dealt out by hash, packed per batch of documents; batches report only the
-   smallest id of a trigger and whether ids differ in it. A trigger that only one document has can't lie in a repeated string.
+1. The parse: each row's triggers (hashes) are dealt out by hash, packed per batch of rows; a batch asks with the smallest and the largest id
+   of a trigger. A trigger that only one document has can't lie in a repeated string.
 2. The dictionary: for each repeated trigger the distinct phrases around it (the bytes that a 50-byte string with this trigger can reach)
-   go to one place, again once per batch. There the strings of 50 bytes that begin in front of the trigger are grouped by their hashes,
-   in place of a suffix order, and the smallest id of each group tells who keeps it.
-3. Every document takes back the stretches it loses and cuts them from its text.
-
-Repeated phrases only are looked at, to a depth of 50 bytes: a full suffix array of parse and dictionary would add
-nothing to who keeps a string, and would have to move each byte's suffix once. Equal strings are told by 64-bit hashes of them within one trigger.
+   go to one place, once per batch, with their smallest id.
+3. The suffix arrays: at that place the dictionary's phrases, read from the trigger towards the front, are put in order with their longest
+   common parts, and so is what follows the trigger in the parse, towards the end. For each place where a string may begin, the
+   interval of the first array names the suffix of the phrase, that of the second the strings that continue it; both together are the order of the
+   corpus's suffixes behind that trigger, to a depth of 50 bytes. Neighbours of one interval pair hold the same bytes (no hash decides), and the
+   smallest id among them keeps the string.
+4. Every row takes back the stretches it loses and cuts them from its text.
+
+The order is kept trigger by trigger and isn't joined into one array of the whole corpus: only neighbours that agree on 50 bytes matter, and
+they share a trigger. A place that gets more than `HOLD` phrases (a trigger in very many surroundings) passes them on; they are dealt
+out again by the 46 bytes that strings from five neighbouring beginnings share, and where that is still too many, string by string to a Spark aggregate.
 
 Defined results: null and empty texts have no bytes and lose none; rows without an id neither lose nor claim anything; rows that
-repeat an id and a text lose the same bytes, and don't lose them to each other (no smaller id); a cut may split a character, `kept_text` then
-leaves the broken one out, digests are of the exact bytes. Memory is about 100 bytes for each byte of the longest text of a task, 4 MB at least.
+repeat an id don't lose bytes to each other (no smaller id), whether their texts agree or not; ids that aren't integers count in their
+sort order; a cut may split a character, `kept_text` then leaves the broken one out, digests are of the exact bytes; kept columns that are
+named like a result give way to it. Memory is about 100 bytes for each byte of the longest text of a task, 4 MB at least.
 """
 
 from __future__ import annotations
@@ -27,18 +33,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from tidewatch.llm.common import STEP_BYTES, flat, mapped, mixed, partitions, release, text_steps
+from tidewatch.llm.common import STEP_BYTES, flat, keepable, mapped, mixed, partitions, release, stored
 
 WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
-WIDTH = 2 * REACH  # the bytes in front and behind; those of the trigger itself follow from its hash
+SPAN = WINDOW + REACH  # a trigger with its reach
 #: Triggers and phrases that are gathered before they are dealt out (each is asked for once).
 PARSE_TRIGGERS, PHRASES = 600_000, 150_000
+#: Text bytes that a bucket of triggers stands for, phrases that one task holds, phrases that are put in order at once.
+BUCKET, HOLD, SORT = 32 << 20, 1_500_000, 100_000
+#: Neighbouring beginnings that are judged together where a trigger is too frequent.
+STARTS = 5
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BYTES = mixed(np.arange(7, 263, dtype=np.uint64))
 _BASE = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -93,40 +103,47 @@ def _text_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, "right") - 1
 
 
-def _rows(groups: list[tuple[int, dict[str, np.ndarray]]], pack: zstandard.ZstdCompressor) -> pa.RecordBatch:
-    """One row a bucket; the arrays of a bucket lie behind each other, compressed."""
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in groups], pa.int32()), pa.array([pack.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in own.values())) for _, own in groups], pa.binary()), pa.array([len(own["doc"]) for _, own in groups], pa.int64())], ["bucket", "data", "n"])
+#: what the parse sends: 48 bits of the hash, document, row, place of the trigger; what it knows already: row, place
+_PARSE = [("h", "u1", 6), ("doc", "<i8", 0), ("row", "<i8", 0), ("at", "<i4", 1)]
+_KNOWN = [("row", "<i8", 0), ("at", "<i4", 1)]
+#: what the dictionary gets: document, row, place of the trigger, room in front and behind, the trigger with the bytes around
+_PHRASE = [("doc", "<i8", 0), ("row", "<i8", 0), ("at", "<i4", 1), ("front", "u1", 1), ("behind", "u1", 1), ("seen", "u1", SPAN)]
+_LOST = [("row", "<i8", 0), ("lo", "<i4", 1), ("hi", "<i4", 1)]
+_BLOB, _FOUND = "bucket int, data binary, n long", "row long, lo long, hi long, data binary, n long"
+Arrays = dict[str, np.ndarray]
+
 
+def _packed(arrays: Arrays, kinds: list[tuple[str, str, int]], pack: zstandard.ZstdCompressor) -> bytes:
+    """Arrays behind each other, compressed; those of width 0 as differences."""
+    own = [np.diff(arrays[k], prepend=0) if width == 0 else arrays[k] for k, _, width in kinds]
+    return pack.compress(b"".join(np.ascontiguousarray(x.astype(t, copy=False)).tobytes() for x, (_, t, _) in zip(own, kinds)))
 
-def _unpacked(batches: list[pa.RecordBatch], kinds: list[tuple[str, str, int]]) -> dict[str, np.ndarray]:
+
+def _unpacked(blobs: list[tuple[bytes, int]], kinds: list[tuple[str, str, int]]) -> Arrays:
     """The arrays of all rows of a bucket, joined."""
     parts: dict[str, list[np.ndarray]] = {name: [] for name, *_ in kinds}
-    for batch in batches:
-        for data, n in zip(batch.column("data").to_pylist(), batch.column("n").to_pylist()):
-            raw, at = zstandard.ZstdDecompressor().decompress(data), 0
-            for name, kind, width in kinds:
-                own = np.frombuffer(raw, kind, n * width, at)
-                parts[name].append(own if width == 1 else own.reshape(n, width))
-                at += own.nbytes
+    for data, n in blobs:
+        raw, at = zstandard.ZstdDecompressor().decompress(data), 0
+        for name, kind, width in kinds:
+            own = np.frombuffer(raw, kind, n * max(1, width), at)
+            parts[name].append(np.cumsum(own) if width == 0 else own if width == 1 else own.reshape(n, width))
+            at += own.nbytes
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros((0, width) if width > 1 else 0, kind) for name, kind, width in kinds}
 
 
-def _kinds(batches: Iterator[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[pa.RecordBatch]]:
-    """Rows of the buckets, and rows of bucket -1."""
-    every = pa.Table.from_batches(list(batches), pa.schema([("bucket", pa.int32()), ("data", pa.binary()), ("n", pa.int64())]))
-    own = pa.compute.less(every.column("bucket"), 0)
-    return every.filter(pa.compute.invert(own)).to_batches(), every.filter(own).to_batches()
+def _rows(blobs: list[tuple[int, bytes, int]]) -> pa.RecordBatch:
+    bucket, data, n = zip(*blobs)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(data, pa.binary()), pa.array(n, pa.int64())], ["bucket", "data", "n"])
 
 
-def _dealt(arrays: dict[str, np.ndarray], buckets: int, pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
-    bucket = (arrays["h"] % np.uint64(buckets)).astype(np.int64)
+def _dealt(arrays: Arrays, h: np.ndarray, buckets: int, kinds: list[tuple[str, str, int]], pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    """One row for each bucket, which the hashes name."""
+    bucket = (h % np.uint64(buckets)).astype(np.int64)
     by = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    if "at" in arrays and arrays["at"].dtype == np.int32:
-        arrays = arrays | {"h": arrays["h"].view(np.uint8).reshape(-1, 8)[:, :6]}
-    groups = [(b, {k: v[by[cuts[b] : cuts[b + 1]]] for k, v in arrays.items()}) for b in range(buckets) if cuts[b + 1] > cuts[b]]
-    if groups:
-        yield _rows(groups, pack)
+    found = [(b, _packed({k: v[by[cuts[b] : cuts[b + 1]]] for k, v in arrays.items()}, kinds, pack), int(cuts[b + 1] - cuts[b])) for b in np.nonzero(np.diff(cuts))[0].tolist()]
+    if found:
+        yield _rows(found)
 
 
 def _first_of(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,26 +156,19 @@ def _first_of(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.nonzero(new)[0], np.cumsum(new) - 1
 
 
-#: what the parse sends: 48 bits of the hash, document, place of the trigger; what it knows already: document, place
-_PARSE = [("h", "u1", 6), ("doc", "<i8", 1), ("at", "<i4", 1)]
-_KNOWN = [("doc", "<i8", 1), ("at", "<i4", 1)]
-#: what the dictionary gets: hash, document, place of the trigger, room in front and behind, bytes around
-_PHRASE = [("h", "<u8", 1), ("doc", "<i8", 1), ("at", "<i8", 1), ("front", "u1", 1), ("behind", "u1", 1), ("around", "u1", WIDTH)]
-_BLOB = "bucket int, data binary, n long"
-
-
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed, so that the one shuffle that deals them out by document stays small."""
+    """The texts compressed, with their sizes."""
     pack = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         zipped = pa.array([None if t is None else pack.compress(t) for t in texts], pa.binary())
         names = [x for x in batch.schema.names if x != "text"]
-        yield pa.RecordBatch.from_arrays([zipped, *(batch.column(x) for x in names)], ["zip", *names])
+        yield pa.RecordBatch.from_arrays([zipped, pa.array([len(t or b"") for t in texts], pa.int64()), *(batch.column(x) for x in names)], ["zip", "size", *names])
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batches with about `limit` bytes of text, and the texts."""
+    release()
     unpack = zstandard.ZstdDecompressor()
     for batch in batches:
         texts, size, lo = [], 0, 0
@@ -172,32 +182,38 @@ def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Ite
 
 
 def _parse(buckets: int):
-    """Each batch's triggers. A hash that several documents of the batch have is asked for once, its places are told at once (bucket -1)."""
+    """Each batch's triggers. Where several documents of the batch have one, its places are told at once (bucket -1), and the
+    smallest and the largest id ask for it, so that others learn that ids differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            h, doc, place = (np.concatenate(x) for x in zip(*held))
+            h, doc, row, place = (np.concatenate(x) for x in zip(*held))
             held.clear()
             order = np.argsort(h, kind="stable")
             if not len(order):
                 return
             start, group = _first_of(order, h)
+            own = doc[order]
+            low, high = np.minimum.reduceat(own, start)[group], np.maximum.reduceat(own, start)[group]
             several = np.zeros(len(order), bool)
-            several[order] = (np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start))[group]
+            several[order] = low != high
             ask = ~several
-            ask[order[start]] = True
-            yield from _dealt({"h": h[ask], "doc": doc[ask], "at": place[ask]}, buckets, pack)
+            for end in (low, high):  # one row of the group with that id
+                at = np.nonzero((own == end) & (low != high))[0]
+                ask[order[at[np.unique(group[at], return_index=True)[1]]]] = True
+            wide = h.view(np.uint8).reshape(-1, 8)[:, :6]
+            yield from _dealt({"h": wide[ask], "doc": doc[ask], "row": row[ask], "at": place[ask]}, h[ask], buckets, _PARSE, pack)
             if several.any():
-                yield _rows([(-1, {"doc": doc[several], "at": place[several]})], pack)
+                yield _rows([(-1, _packed({"row": row[several], "at": place[several]}, _KNOWN, pack), int(several.sum()))])
 
-        for rows, col in text_steps(batches):
+        for rows, col in _unzipped(batches):
             data, offsets = flat(col)
             at, h = triggers(data, offsets)
             text = _text_of(at, offsets)
-            held.append((h, np.asarray(rows.column("doc_id"))[text], (at - offsets[text]).astype(np.int32)))
+            held.append((h, np.asarray(rows.column("_id"))[text], np.asarray(rows.column("_row"))[text], (at - offsets[text]).astype(np.int32)))
             if sum(len(x[0]) for x in held) >= PARSE_TRIGGERS:
                 yield from told()
         if held:
@@ -207,50 +223,94 @@ def _parse(buckets: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, place) of all triggers that several documents have, for the buckets of one partition."""
+    """(row, place) of all triggers that several documents have, for the bucket of one partition; what is known goes through."""
     release()
-    asked, known = _kinds(batches)
+
+    def out(row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(row), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(row[lo : lo + 200_000]), pa.array(at[lo : lo + 200_000])], ["row", "place"])
+
+    asked: list[tuple[bytes, int]] = []
+    for batch in batches:
+        for bucket, data, n in zip(*(batch.column(k).to_pylist() for k in ("bucket", "data", "n"))):
+            if bucket < 0:
+                x = _unpacked([(data, n)], _KNOWN)
+                yield from out(x["row"], x["at"])
+            else:
+                asked.append((data, n))
     x = _unpacked(asked, _PARSE)
-    h = np.zeros((len(x["doc"]), 8), np.uint8)
-    h[:, :6] = x["h"]
-    h = h.view(np.uint64).ravel()
-    order = np.argsort(h, kind="stable")
-    found = np.zeros(0, np.int64)
-    if len(order):
+    del asked
+    if len(x["doc"]):
+        h = np.zeros((len(x["doc"]), 8), np.uint8)
+        h[:, :6] = x.pop("h")
+        h = h.view(np.uint64).ravel()
+        order = np.argsort(h, kind="stable")
         start, group = _first_of(order, h)
         doc = x["doc"][order]
         found = order[(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))[group]]
-    told = _unpacked(known, _KNOWN)
-    doc, at = np.concatenate([x["doc"][found], told["doc"]]), np.concatenate([x["at"][found], told["at"]])
-    for lo in range(0, len(doc), 200_000):
-        yield pa.RecordBatch.from_arrays([pa.array(doc[lo : lo + 200_000]), pa.array(at[lo : lo + 200_000])], ["doc_id", "place"])
+        yield from out(x["row"][found], x["at"][found])
 
 
-def _phrases(buckets: int):
-    """The bytes around each repeated trigger; one row for each hash and phrase of a batch, that of the smallest id.
+def _hash_rows(x: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    out = np.zeros(len(x), np.uint64)
+    for c in range(x.shape[1]):
+        out = out * _BASE + _BYTES[x[:, c]]
+    return mixed(out)
+
 
-    The other documents of the batch with the same phrase lose all strings of it: they are told at once (bucket -1).
-    """
+def _merged(row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> Arrays:
+    """Stretches of rows, those that touch joined."""
+    order = np.lexsort((hi, lo, row))
+    row, lo, hi = row[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    new = np.ones(len(row), bool)
+    if len(row):
+        high = np.maximum.accumulate(hi + (_first_of(np.arange(len(row)), row)[1] << 36)) & ((1 << 36) - 1)
+        new[1:] = (row[1:] != row[:-1]) | (lo[1:] > high[:-1])
+        start = np.nonzero(new)[0]
+        return {"row": row[start], "lo": lo[start], "hi": high[np.append(start[1:], len(row)) - 1]}
+    return {"row": row, "lo": lo, "hi": hi}
+
+
+def _covered(x: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the first window begins and the last one ends that the phrases can hold, and whether they hold any."""
+    first, last = np.maximum(0, REACH - x["behind"].astype(np.int64)), x["front"].astype(np.int64)
+    return x["at"] - last, x["at"] - first + WINDOW, first <= last
+
+
+def _distinct(x: Arrays, buckets: int, core: np.ndarray, pack: zstandard.ZstdCompressor) -> Iterator[pa.RecordBatch]:
+    """Deals a batch's phrases out by the bytes of `core`, each once, with the smallest id. Other documents of the batch lose all strings
+    of it: what they lose is told at once (bucket -1)."""
+    whole = _hash_rows(np.column_stack([x["seen"], x["front"], x["behind"]]))
+    h = _hash_rows(core)
+    order = np.lexsort((x["at"], x["row"], x["doc"], whole, h))
+    seen = x["seen"][order]
+    new = np.ones(len(order), bool)
+    new[1:] = (seen[1:] != seen[:-1]).any(axis=1)
+    for k in ("front", "behind"):
+        new[1:] |= np.diff(x[k][order].astype(np.int64)) != 0
+    start = np.nonzero(new)[0]
+    later = x["doc"][order] > x["doc"][order[start]][np.cumsum(new) - 1]
+    ask, lost = order[~later], order[later]
+    yield from _dealt({k: v[ask] for k, v in x.items()}, h[ask], buckets, _PHRASE, pack)
+    lo, hi, any_ = _covered({k: x[k][lost] for k in ("at", "front", "behind")})
+    if any_.any():
+        told = _merged(x["row"][lost][any_], lo[any_], hi[any_])
+        yield _rows([(-1, _packed(told, _LOST, pack), len(told["row"]))])
+
+
+def _phrases(buckets: int):
+    """The bytes around each repeated trigger."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[Arrays] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
-            h, whole, doc, place, front, behind, around = (np.concatenate(x) for x in zip(*held))
+            x = {k: np.concatenate([own[k] for own in held]) for k in held[0]}
             held.clear()
-            order = np.lexsort((place, doc, whole, h))
-            if not len(order):
-                return
-            start, group = _first_of(order, h, whole)
-            later = doc[order] > doc[order[start]][group]
-            lost = order[later]
-            # a document may have a phrase twice: its other places ask too
-            ask = order[~later]
-            yield from _dealt({"h": h[ask], "doc": doc[ask], "at": place[ask], "front": front[ask], "behind": behind[ask], "around": around[ask]}, buckets, pack)
-            lost = lost[front[lost].astype(np.int64) + behind[lost] + SEED >= WINDOW]
-            if len(lost):
-                yield _rows([(-1, {"doc": doc[lost], "from": place[lost] - front[lost].astype(np.int64), "to": place[lost] + SEED + behind[lost].astype(np.int64)})], pack)
+            if len(x["at"]):
+                yield from _distinct(x, buckets, x["seen"][:, REACH:WINDOW], pack)
 
         for rows, col in _unzipped(batches):
             data, offsets = flat(col)
@@ -258,20 +318,15 @@ def _phrases(buckets: int):
             size = np.diff(np.asarray(named.offsets))
             text = np.repeat(np.arange(len(col)), size)
             at = offsets[text] + np.asarray(named.flatten())
-            fits = at + SEED <= offsets[text + 1]
-            text, at = text[fits], at[fits]
             place = at - offsets[text]
             front = np.minimum(REACH, place)
             behind = np.minimum(REACH, offsets[text + 1] - at - SEED)
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WINDOW, np.uint8)])
-            seen = np.lib.stride_tricks.sliding_window_view(padded, REACH + WINDOW)[at]
-            h = _hash_rows(seen[:, REACH:WINDOW])
-            around = np.concatenate([seen[:, :REACH], seen[:, WINDOW:]], axis=1)
-            column = np.arange(WIDTH)
-            around[(column < REACH - front[:, None]) | (column >= REACH + behind[:, None])] = 0
-            whole = _hash_rows(around) ^ mixed((front * 64 + behind).astype(np.uint64))
-            held.append((h, whole, np.asarray(rows.column("_id"))[text], place, front.astype(np.uint8), behind.astype(np.uint8), around))
-            if sum(len(x[0]) for x in held) >= PHRASES:
+            seen = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[at]
+            column = np.arange(SPAN)
+            seen[(column < REACH - front[:, None]) | (column >= WINDOW + behind[:, None])] = 0
+            held.append({"doc": np.asarray(rows.column("_id"))[text], "row": np.asarray(rows.column("_row"))[text], "at": place.astype(np.int32), "front": front.astype(np.uint8), "behind": behind.astype(np.uint8), "seen": seen})
+            if sum(len(x["at"]) for x in held) >= PHRASES:
                 yield from dealt()
         if held:
             yield from dealt()
@@ -279,59 +334,142 @@ def _phrases(buckets: int):
     return run
 
 
-def _hash_rows(x: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each row of bytes."""
-    out = np.zeros(len(x), np.uint64)
-    for c in range(x.shape[1]):
-        out = out * _BASE + _BYTES[x[:, c]]
-    return mixed(out)
+def _finer(buckets: int):
+    """Phrases that were too many for their bucket, by the bytes that strings from `STARTS` neighbouring beginnings share."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            for data, n in zip(batch.column("data").to_pylist(), batch.column("n").to_pylist()):
+                x = _unpacked([(data, n)], _PHRASE)
+                column = np.arange(SPAN)
+                for low in range(0, REACH + 1, STARTS):  # strings that begin low to high bytes in front of the trigger
+                    high = min(low + STARTS - 1, REACH)
+                    own = x | {"front": np.minimum(x["front"], high), "behind": np.minimum(x["behind"], REACH - low)}
+                    fits = _covered(own)[2]
+                    own = {k: v[fits] for k, v in own.items()}
+                    if len(own["at"]):
+                        own["seen"] = np.where((column >= REACH - high) & (column < WINDOW + REACH - low), own["seen"], 0).astype(np.uint8)
+                        core = np.column_stack([np.full(len(own["at"]), low, np.uint8), own["seen"][:, REACH - low : WINDOW + REACH - high]])
+                        yield from _distinct(own, buckets, core, pack)
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, end) of stretches that documents lose, for the buckets of one partition."""
-    release()
-    mine, told = _kinds(batches)
-    done = _unpacked(told, [("doc", "<i8", 1), ("from", "<i8", 1), ("to", "<i8", 1)])
-    docs, froms, tos = [done["doc"]], [done["from"]], [done["to"]]
-    x = _unpacked(mine, _PHRASE)
-    n = len(x["h"])
-    if n:
-        front, behind, around = x["front"].astype(np.int64), x["behind"].astype(np.int64), x["around"]
-        key, power = np.zeros(n, np.uint64), np.uint64(pow(int(_BASE), REACH, 1 << 64))
-        for c in range(REACH):
-            key = key * _BASE + _BYTES[around[:, c]]
-        lost = np.zeros((n, REACH + 1), bool)
-        for start in range(REACH + 1):  # suffixes that begin at this place of the phrase, to the depth of a window with its trigger
-            fits = np.nonzero((start >= REACH - front) & (start <= behind))[0]
-            own = mixed(key[fits]) ^ x["h"][fits]
-            order = np.argsort(own, kind="stable")
-            if len(order):
-                first, group = _first_of(order, own)
-                doc = x["doc"][fits][order]
-                lost[fits[order], start] = doc > np.minimum.reduceat(doc, first)[group]
-            if start < REACH:
-                key = key * _BASE - _BYTES[around[:, start]] * power + _BYTES[around[:, start + REACH]]
-        del around, key
-        x["around"] = None
-        row, begin = np.nonzero(lost & ~np.pad(lost, ((0, 0), (1, 0)))[:, :-1])
-        _, end = np.nonzero(lost & ~np.pad(lost, ((0, 0), (0, 1)))[:, 1:])
-        origin = x["at"][row] - REACH
-        docs.append(x["doc"][row])
-        froms.append(origin + begin)
-        tos.append(origin + end + WINDOW)
-    doc, lo, hi = (np.concatenate(v) for v in (docs, froms, tos))
-    if len(doc):
-        order = np.lexsort((hi, lo, doc))
-        doc, lo, hi = doc[order], lo[order], hi[order]
-        # join stretches of a document that touch
-        high = np.maximum.accumulate(hi + (_first_of(np.arange(len(doc)), doc)[1] << 36)) & ((1 << 36) - 1)
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (lo[1:] > high[:-1])
-        start = np.nonzero(new)[0]
-        end = high[np.append(start[1:], len(doc)) - 1]
-        for k in range(0, len(start), 200_000):
-            part = slice(k, k + 200_000)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[start[part]]), pa.array(lo[start[part]]), pa.array(end[part])], ["doc_id", "lo", "hi"])
+    return run
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every string of the phrases as a row: the string, its document, row and place."""
+    for batch in batches:
+        for data, n in zip(batch.column("data").to_pylist(), batch.column("n").to_pylist()):
+            x = _unpacked([(data, n)], _PHRASE)
+            for a in range(REACH + 1):
+                fits = np.nonzero((x["front"] >= a) & (x["behind"].astype(np.int64) >= REACH - a))[0]
+                if len(fits):
+                    own = np.ascontiguousarray(x["seen"][fits, REACH - a : SPAN - a])
+                    strings = pa.Array.from_buffers(pa.binary(), len(fits), [None, pa.py_buffer((np.arange(len(fits) + 1) * WINDOW).astype(np.int32)), pa.py_buffer(own)])
+                    yield pa.RecordBatch.from_arrays([strings, *(pa.array(x[k][fits]) for k in ("doc", "row")), pa.array(x["at"][fits].astype(np.int64) - a)], ["string", "doc", "row", "lo"])
+
+
+def _common(x: np.ndarray) -> np.ndarray:
+    """Bytes that each sorted row shares with the one before it (the first: none)."""
+    out = np.zeros(len(x), np.int64)
+    if len(x) > 1:
+        differ = x[1:] != x[:-1]
+        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), x.shape[1])
+    return out
+
+
+def _ordered(x: np.ndarray) -> np.ndarray:
+    """The lexicographic order of rows of bytes."""
+    return np.argsort(np.ascontiguousarray(x).view(f"S{x.shape[1]}").ravel(), kind="stable")
+
+
+def _with_neighbours(common: np.ndarray) -> np.ndarray:
+    return np.maximum(common, np.append(common[1:], 0))
+
+
+def lost_strings(x: Arrays) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end) of the stretches that the occurrences of phrases lose to documents with a smaller id."""
+    front, behind, doc = x["front"].astype(np.int64), x["behind"].astype(np.int64), x["doc"]
+    # the dictionary: trigger, what is in front of it read towards the front, what is behind it
+    key = np.column_stack([x["seen"][:, REACH:WINDOW], x["seen"][:, :REACH][:, ::-1], x["seen"][:, WINDOW:], x["front"], x["behind"]])
+    order = _ordered(key)
+    common = _common(key[order])
+    start = np.nonzero(common < key.shape[1])[0]
+    phrase = np.empty(len(order), np.int64)
+    phrase[order] = np.cumsum(common < key.shape[1]) - 1
+    low = np.minimum.reduceat(doc[order], start)
+    later = doc > low[phrase]
+    lo, hi, some = _covered({k: x[k][later] for k in ("at", "front", "behind")})
+    rows, los, his = [x["row"][later][some]], [lo[some]], [hi[some]]
+    # the suffix array of the dictionary (by trigger and front), and that of what continues it (by trigger and behind)
+    key, common, front, behind = key[order[start]], common[start], front[order[start]], behind[order[start]]
+    n, trigger = len(start), np.cumsum(common < SEED)
+    after = np.column_stack([trigger.astype(">u4").view(np.uint8).reshape(-1, 4), key[:, WINDOW : WINDOW + REACH]])
+    follow = _ordered(after)
+    common_after = _common(after[follow])
+    deep, deep_after = _with_neighbours(common) - SEED, np.empty(n, np.int64)
+    deep_after[follow] = _with_neighbours(common_after) - 4
+    lost = np.zeros((n, REACH + 1), bool)  # by the place of the phrase where the string begins
+    interval = np.empty(n, np.int64)
+    for a in range(REACH + 1):  # the string begins a bytes in front of the trigger, REACH - a bytes follow it
+        own = np.nonzero((deep >= a) & (deep_after >= REACH - a) & (front >= a) & (behind >= REACH - a))[0]
+        if len(own) > 1:
+            interval[follow] = np.cumsum(common_after < 4 + REACH - a)
+            place = np.cumsum(common < SEED + a)[own] * (n + 1) + interval[own]
+            by = np.argsort(place, kind="stable")
+            first, group = _first_of(by, place)
+            own = own[by]
+            lost[own, REACH - a] = low[own] > np.minimum.reduceat(low[own], first)[group]
+    # occurrences in the document that has the phrase first
+    at = np.nonzero(~later)[0]
+    at = at[lost.any(axis=1)[phrase[at]]]
+    own = lost[phrase[at]]
+    row, begin = np.nonzero(own & ~np.pad(own, ((0, 0), (1, 0)))[:, :-1])
+    _, end = np.nonzero(own & ~np.pad(own, ((0, 0), (0, 1)))[:, 1:])
+    origin = x["at"][at][row].astype(np.int64) - REACH
+    return np.concatenate([*rows, x["row"][at][row]]), np.concatenate([*los, origin + begin]), np.concatenate([*his, origin + end + WINDOW])
+
+
+def _judge(hold: int):
+    """(row, lo, hi) of stretches that rows lose, for the bucket of one partition; if it has more than `hold` phrases, they are passed on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        names = ["row", "lo", "hi", "data", "n"]
+
+        def spans(x: Arrays) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(x["row"]), 200_000):
+                own = [pa.array(np.asarray(x[c][k : k + 200_000], np.int64)) for c in ("row", "lo", "hi")]
+                yield pa.RecordBatch.from_arrays([*own, pa.nulls(len(own[0]), pa.binary()), pa.nulls(len(own[0]), pa.int64())], names)
+
+        def on(blobs: list[tuple[bytes, int]]) -> pa.RecordBatch:
+            none = pa.nulls(len(blobs), pa.int64())
+            return pa.RecordBatch.from_arrays([none, none, none, pa.array([d for d, _ in blobs], pa.binary()), pa.array([n for _, n in blobs], pa.int64())], names)
+
+        mine: list[tuple[bytes, int]] = []
+        size = 0
+        for batch in batches:
+            for bucket, data, n in zip(*(batch.column(k).to_pylist() for k in ("bucket", "data", "n"))):
+                if bucket < 0:
+                    yield from spans(_unpacked([(data, n)], _LOST))
+                    continue
+                size += n
+                mine.append((data, n))
+            if size > hold and mine:
+                yield on(mine)
+                mine = []
+        if mine:
+            x = _unpacked(mine, _PHRASE)
+            del mine
+            parts = -(-len(x["at"]) // SORT)
+            share = (_hash_rows(x["seen"][:, REACH:WINDOW]) >> np.uint64(20)) % np.uint64(parts)
+            by = np.argsort(share, kind="stable")
+            cuts = np.searchsorted(share[by], np.arange(parts + 1, dtype=np.uint64))
+            found = [lost_strings({k: v[by[a:b]] for k, v in x.items()}) for a, b in zip(cuts, cuts[1:]) if a < b]
+            del x
+            yield from spans(_merged(*(np.concatenate(v) for v in zip(*found))))
+
+    return run
 
 
 def _cut(with_text: bool, kept: list[str]):
@@ -361,22 +499,46 @@ def _cut(with_text: bool, kept: list[str]):
     return run
 
 
-def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None = None) -> DataFrame:
+_RESULTS = "doc_id n_bytes n_removed n_spans kept_sha256 spans kept_text"
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """docs with `_id`: the id itself, or its place in the order of all ids where it isn't an integer."""
+    kind = docs.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        return docs.withColumn("_id", F.col("doc_id").cast("long"))
+    ids = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("_of")).distinct().orderBy("_of")
+    return docs.join(stored(ids.withColumn("_id", F.monotonically_increasing_id())), F.col("doc_id") == F.col("_of"), "left").drop("_of")
+
+
+def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None = None, hold: int = HOLD) -> DataFrame:
     """Each document's id (and the columns `keep`) with n_bytes, n_removed, n_spans, kept_sha256, spans and, if wanted, kept_text."""
-    kept = ["doc_id", *(keep or [])]
-    n = partitions(docs.sparkSession)
-    rows = docs.select("text", *(F.col(c) for c in kept)).withColumn("_id", F.col("doc_id").cast("long"))
+    own = keepable(keep, _RESULTS)
+    names = [f"_k{i}" for i in range(len(own))]
+    spark = docs.sparkSession
+    rows = _ranked(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *(docs[f"`{c}`"].alias(k) for c, k in zip(own, names))))
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
-    zipped = lambda part: mapped(part, _zip, ", ".join(["zip binary", *(v for k, v in fields.items() if k != "text")]))
-    texts = zipped(rows.filter("_id IS NOT NULL")).filter("_id IS NOT NULL").repartition(n, "_id")  # both joins take this one exchange
-    parse = mapped(rows.filter("_id IS NOT NULL").select("text", F.col("_id").alias("doc_id")), _parse(n), _BLOB)
+    # a row's number is its name from here on, so the texts are kept with it
+    texts = stored(mapped(rows, _zip, ", ".join(["zip binary, size long", *(v for k, v in fields.items() if k != "text")])))
+    n = max(partitions(spark), int((texts.agg(F.sum("size")).first()[0] or 0) // BUCKET) + 1)
+    dealt = texts.filter("_row IS NOT NULL").repartition(n, "_row")  # both joins take this one exchange, with all its columns
     place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
-    repeated = mapped(parse.repartitionById(n, place), _repeated, "doc_id long, place int")
-    named = repeated.groupBy(F.col("doc_id").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
-    phrases = mapped(texts.join(named, F.col("_id") == F.col("_of")), _phrases(n), _BLOB)
-    lost = mapped(phrases.repartitionById(n, place), _judge, "doc_id long, lo long, hi long")
-    spans = lost.groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    nameless = zipped(rows.filter("_id IS NULL")).withColumn("spans", F.lit(None).cast("array<struct<lo: long, hi: long>>"))
-    every = texts.join(spans, F.col("_id") == F.col("_of"), "left").drop("_of").unionByName(nameless)
-    result = ", ".join([*(fields[k] for k in kept), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
-    return mapped(every, _cut(with_text, kept), result)
+    parse = mapped(texts.filter("_id IS NOT NULL").select("zip", "_id", "_row"), _parse(n), _BLOB)
+    repeated = mapped(parse.repartitionById(n, place), _repeated, "row long, place int")
+    named = repeated.groupBy(F.col("row").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
+    found = mapped(dealt.join(named, F.col("_row") == F.col("_of")), _phrases(n), _BLOB)
+    judged = stored(mapped(found.repartitionById(n, place), _judge(hold), _FOUND))
+    lost = judged.filter("row IS NOT NULL").select("row", "lo", "hi")
+    if not judged.filter("row IS NULL").isEmpty():
+        finer = mapped(judged.filter("row IS NULL").select("data", "n"), _finer(n), _BLOB)
+        again = stored(mapped(finer.repartitionById(n, place), _judge(hold), _FOUND))
+        lost = lost.unionByName(again.filter("row IS NOT NULL").select("row", "lo", "hi"))
+        if not again.filter("row IS NULL").isEmpty():
+            strings = mapped(again.filter("row IS NULL").select("data", "n"), _windows, "string binary, doc long, row long, lo long")
+            low = strings.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").drop("high")
+            lost = lost.unionByName(strings.join(low, "string").filter("doc > low").select("row", "lo", (F.col("lo") + WINDOW).alias("hi")))
+    spans = lost.groupBy(F.col("row").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    every = dealt.join(spans, F.col("_row") == F.col("_of"), "left")
+    result = ", ".join([*(fields[k] for k in ("doc_id", *names)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
+    return mapped(every, _cut(with_text, ["doc_id", *names]), result).withColumnsRenamed(dict(zip(names, own)))
