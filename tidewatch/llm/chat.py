@@ -8,8 +8,9 @@ A template then marks turns; control strings inside roles and texts are escaped,
 behind the first character of each control string. A segment is one formatted turn, and a conversation is its segments in order, so a reader needs
 one turn at a time: conversations of any length are read back as a sorted stream in constant memory.
 
-Defined results: null texts and roles are empty; turns that tie are ordered by role, then text; repeated rows are turns of their own;
-records without a mapping give one turn of the role `unknown` whose text is the record; empty tables give no rows.
+Defined results: null texts and roles are empty; roles stay as they are, but for the senders of layouts that name them so; turns that tie are ordered by role, then text; repeated rows are turns of their own;
+records without a mapping give one turn of the role `unknown` whose text is the record; empty tables give no rows; columns other than the named
+ones are not read, whatever they are called; texts of any length are one segment each.
 """
 
 from __future__ import annotations
@@ -67,8 +68,8 @@ LAYOUTS = [
     _fields(("user", "instruction"), ("assistant", "output")),
     _fields(("system", "instruction"), ("user", "input"), ("assistant", "output")),
 ]
-#: Other names of roles.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Names that layouts with senders (`from`) give to roles; layouts with a `role` say it themselves, and it stays as it is.
+SENDERS = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 MAPPINGS = {fingerprint(f): m for f, m in LAYOUTS}
 
 
@@ -82,11 +83,11 @@ def turns_of(record: str | None) -> list[tuple[str, str]]:
         value = None
     how = MAPPINGS.get(fingerprint(paths(value)), {}) if isinstance(value, dict) else {}
     text = lambda x: "" if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False)
-    role = lambda x: ROLES.get(text(x), text(x))
     if "single" in how:
-        return [(role(value[how["single"][0]]), text(value[how["single"][1]]))]
+        return [(text(value[how["single"][0]]), text(value[how["single"][1]]))]
     if "items" in how:
-        return [(role(x.get(how["role"])), text(x.get(how["text"]))) for x in value[how["items"]]]
+        names = SENDERS if how["role"] == "from" else {}
+        return [(names.get(text(x.get(how["role"])), text(x.get(how["role"]))), text(x.get(how["text"]))) for x in value[how["items"]]]
     if "fields" in how:
         return [(r, text(value[f])) for r, f in how["fields"]]
     return [("unknown", record)]
