@@ -5,8 +5,11 @@ longest match that ends there (matching statistics). Matches of at least `MIN_MA
 several; places of one template in order, with gaps of at most `MAX_GAP` words, are chained into spans. A template counts
 as found if a chain covers at least `COVER` of its words. Base phrases are templates that must match whole; their places are counted.
 
-Defined results: null and empty texts have no words and no labels (score 0); repeated rows give repeated results; a text is
-handled whole; only the named columns are read.
+Templates are whole short licences, notices, and the passages of long ones that files carry (`license_texts`), over 30 licences. Passages that several
+licences share name each of them.
+
+Defined results: null and empty texts have no words and no labels (score 0); repeated rows give repeated results; a text of any length is
+handled whole; only the named columns are read, whatever others are called; ids may be null and of any type.
 """
 
 from __future__ import annotations
@@ -20,38 +23,11 @@ from pyspark.sql import DataFrame
 
 from tidewatch.llm.automaton import SuffixAutomaton
 from tidewatch.llm.common import mapped, only, text_steps
+from tidewatch.llm.license_texts import TEMPLATES
 
 #: Fixed values of the contract: phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Passages of well-known licences and the usual notices that name them.
-TEMPLATES = {
-    "mit": [
-        "released under the mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    ],
-    "apache-2": [
-        "licensed under the apache license version 2 0",
-        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    ],
-    "bsd": [
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    ],
-    "gpl-3": [
-        "licensed under the gnu general public license version 3",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    ],
-    "cc-by-nc": [
-        "licensed under cc by nc 4 0",
-        "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
-    ],
-    "cc-by": ["this work is licensed under a creative commons attribution 4 0 international license"],
-}
-
 MIN_MATCH, MAX_GAP, COVER = 3, 4, 0.8
 _WORD_BYTES = bytes(x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 
@@ -73,6 +49,8 @@ class Scanner:
         for seq, _ in [*self.base, *self.templates]:
             auto.add(seq)
         self.auto = auto
+        #: words in a row that can be a match or a base phrase
+        self.shortest = min([MIN_MATCH, *(len(seq) for seq, _ in self.base)])
         #: for each state the base phrases that end in its strings, and places (template, end) of the strings
         self.ending: list[list[int]] = [[] for _ in auto.step]
         self.places: list[list[tuple[int, int]]] = [[] for _ in auto.step]
@@ -111,7 +89,7 @@ class Scanner:
         matches: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         step, link, length = self.auto.step, self.auto.link, self.auto.length
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if b - a < MIN_MATCH:
+            if b - a < self.shortest:
                 continue
             state = size = 0
             run = ids[a:b].tolist()
