@@ -1,16 +1,21 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton holds a bounded sample of labelled text. A text is parsed against it greedily: each phrase is
-the longest match from where the last one ended; a byte that a language lacks ends the phrase before it. The language that needs the fewest phrases, each weighed by the bits that name
-a place in its sample, wins. Texts are parsed in blocks of `BLOCK` bytes (a phrase ends with its block), so that the blocks of many
-texts advance together, one byte of each at a time, through dense transition tables.
+the longest match from where the last one ended; a byte that a language lacks ends the phrase before it and goes with the next one. The language
+that needs the fewest phrases, each weighed by the bits that name a place in its sample, wins.
 
-Learning: only text and lang of the given labelled rows. `ROWS` rows per language with the smallest hashes are looked at, of
-those the ones of at most `SAMPLE` bytes are put in until `SAMPLE` bytes a language are reached; a language whose rows are all longer is learnt
-from the beginnings of at most `LONG` of them. Every text is parsed whole.
+A parse is a walk through an automaton, one byte after the other. So that many bytes advance together, texts are walked in blocks of `BLOCK`
+bytes, each as if a phrase began with it; then each block is walked again from where the block before it really ended, until both walks
+meet (they stay together from there on), and phrases are corrected. Where they don't meet, the next block is walked once more. So phrases are
+those of the whole text, and don't depend on blocks. States with one way out keep it beside the table of the others: about 10 MB a language.
+
+Learning: only text and lang of the given labelled rows, by distinct text. Of the `ROWS` texts of a language with the smallest hashes
+(of those of at most `SAMPLE` bytes) as many are put in as `SAMPLE` bytes hold; a language whose texts are all longer is learnt
+from the beginnings of at most `LONG` of them. Every text is parsed whole. Letters A-Z count as a-z, every other byte counts as itself.
 
 Defined results: null texts and texts without a letter are `und` with score 0; rows without lang teach nothing; if no row teaches,
-all are `und`; ties go to the language that sorts first; columns other than the named ones are not read.
+all are `und`; ties go to the language that sorts first; ids may repeat, be null and have any type; columns other than the named ones are not
+read; kept columns that are named like a result give way to it.
 """
 
 from __future__ import annotations
@@ -24,71 +29,115 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.automaton import SuffixAutomaton
-from tidewatch.llm.common import flat, mapped, only, text_steps
+from tidewatch.llm.common import flat, keepable, mapped, only, stored, text_steps
 
 ROWS, SAMPLE, BLOCK, UNDETERMINED = 300, 40_000, 512, "und"
-LONG = 8  # rows over SAMPLE bytes that a language without shorter ones is learnt from
+LONG = 8  # texts over SAMPLE bytes that a language without shorter ones is learnt from
+MEET = 8  # steps between looks at which walks have met
 
 
 def byte_classes(sample: dict[str, list[bytes]]) -> np.ndarray:
-    """A class for each byte: 0 pads, 1 is anything that isn't a letter, 2 a letter byte that the sample lacks; then the letters of
-    ASCII without case, and every other byte of the sample."""
-    kind = np.full(256, 1, np.uint8)
-    for i, c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
-        kind[c] = kind[c - 32] = 3 + i
-    kind[128:] = 2
-    seen = np.bincount(np.frombuffer(b"".join(x for own in sample.values() for x in own), np.uint8), minlength=256)[128:]
-    for i, c in enumerate(np.argsort(-seen, kind="stable")[: np.count_nonzero(seen)]):
-        kind[128 + c] = 29 + i
-    return kind
+    """A class for each byte: its own for every byte of the sample (A-Z as a-z), and 0 for those that no language has."""
+    lower = np.arange(256)
+    lower[65:91] += 32
+    seen = np.zeros(256, bool)
+    for own in sample.values():
+        for text in own:
+            seen[lower[np.frombuffer(text, np.uint8)]] = True
+    return np.where(seen, np.cumsum(seen), 0)[lower].astype(np.uint8)
 
 
 class Model:
-    """The automata of all languages as one transition table."""
+    """The automata of all languages, as one table of states and classes."""
 
     def __init__(self, sample: dict[str, list[bytes]]) -> None:
         self.names = sorted(sample)
         self.kind = byte_classes(sample)
-        tables, roots, bits, base, classes = [], [], [], 0, max(29, int(self.kind.max()) + 1)
+        classes = int(self.kind.max()) + 1
+        ways, only_class, only_to, row, roots, bits, base, rows = [], [], [], [], [], [], 0, 0
         for name in self.names:
             auto = SuffixAutomaton()
             for text in sample[name]:
                 auto.add(self.kind[np.frombuffer(text, np.uint8)].tolist())
-            own = np.full((len(auto.step), classes), -1, np.int32)
-            for state, steps in enumerate(auto.step):
-                if steps:
-                    own[state, list(steps)] = [(base + x) * classes for x in steps.values()]
-            fresh = np.where(own[0] < 0, base * classes, own[0])
-            own = np.where(own < 0, ~fresh, own)  # a miss ends the phrase and begins the next one: its state, inverted
-            tables.append(own)
-            roots.append(base * classes)
+            # where a byte leads if no match goes on with it, inverted: it ends the phrase
+            fresh = np.full(classes, ~base, np.int32)
+            fresh[list(auto.step[0])] = [~(base + x) for x in auto.step[0].values()]
+            several = [k for k, steps in enumerate(auto.step) if k == 0 or len(steps) > 1]
+            own = np.tile(fresh, (len(several), 1))
+            for at, k in enumerate(several):
+                own[at, list(auto.step[k])] = [base + x for x in auto.step[k].values()]
+            place = np.full(len(auto.step), rows + len(several), np.int64)  # the others: a row of misses, beside their only way
+            place[several] = np.arange(rows, rows + len(several))
+            ways += [own, fresh[None, :]]
+            one = [next(iter(steps.items())) if k and len(steps) == 1 else (255, -1) for k, steps in enumerate(auto.step)]
+            only_class.append(np.array([c for c, _ in one], np.uint8))
+            only_to.append(np.array([base + x for _, x in one], np.int32))
+            row.append(place * classes)
+            roots.append(base)
             bits.append(math.log2(sum(map(len, sample[name])) + 2))
-            base += len(own)
-        self.next = np.concatenate(tables).ravel()
+            base += len(auto.step)
+            rows += len(several) + 1
+        self.ways = np.concatenate(ways).ravel()
+        self.row = np.concatenate(row).astype(np.int32)
+        self.only_class, self.only_to = np.concatenate(only_class), np.concatenate(only_to)
         self.roots, self.bits = np.array(roots, np.int32)[:, None], np.array(bits)
 
-    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def _step(self, state: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states behind the next bytes, and -1 where they end a phrase."""
+        to = self.ways.take(self.row.take(state) + code)
+        to = np.where(self.only_class.take(state) == code, self.only_to.take(state), to)
+        miss = to >> 31
+        return to ^ miss, miss
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray, block: int = BLOCK) -> np.ndarray:
         """Phrases that each text needs in each language, (texts, languages)."""
         sizes = np.diff(offsets)
-        blocks = -(-sizes // BLOCK)
+        blocks = -(-sizes // block)
         text = np.repeat(np.arange(len(sizes)), blocks)
-        start = np.repeat(offsets[:-1], blocks) + BLOCK * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
-        size = np.minimum(BLOCK, offsets[text + 1] - start)
-        by = np.argsort(-size, kind="stable")  # the longest first: ever fewer lanes stay
-        text, start, size = text[by], start[by], size[by]
-        codes = self.kind[data].astype(np.int32)
-        lanes = np.searchsorted(-size, -np.arange(BLOCK), "left")
+        start = np.repeat(offsets[:-1], blocks) + block * (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        size = np.minimum(block, offsets[text + 1] - start)
+        codes = self.kind[data]
+        by = np.argsort(-size, kind="stable")  # the longest first: ever fewer walks go on
+        first, lanes = start[by], np.searchsorted(-size[by], -np.arange(block), "left")
         state = np.repeat(self.roots, len(text), axis=1)
-        count = np.ones((len(self.names), len(text)), np.int32)
-        for t in range(BLOCK):
+        count = np.zeros((len(self.names), len(text)), np.int32)
+        for t in range(block):
             n = int(lanes[t])
             if not n:
                 break
-            to = self.next.take(state[:, :n] + codes.take(start[:n] + t))
-            miss = to >> 31
+            state[:, :n], miss = self._step(state[:, :n], codes.take(first[:n] + t))
             count[:, :n] -= miss
-            np.bitwise_xor(to, miss, out=state[:, :n])
-        return np.stack([np.bincount(text, weights=c, minlength=len(sizes)) for c in count], axis=1)
+        ends, count_of = np.empty_like(state), np.empty_like(count)
+        ends[:, by], count_of[:, by] = state, count
+        self._join(codes, text, start, size, ends, count_of)
+        total = np.stack([np.bincount(text, weights=c, minlength=len(sizes)) for c in count_of], axis=1)
+        return total + (sizes > 0)[:, None]
+
+    def _join(self, codes: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray, ends: np.ndarray, count: np.ndarray) -> None:
+        """Correct the phrases of blocks, walked from the root, for the state in which the block before each ended."""
+        alone, extra = ends.copy(), np.zeros_like(count)  # ends of the walks from the root
+        todo = np.nonzero(text[1:] == text[:-1])[0] + 1
+        while len(todo):
+            a, b = np.repeat(self.roots, len(todo), axis=1), ends[:, todo - 1]
+            more, found = np.zeros_like(b), alone[:, todo]
+            live, t = np.arange(len(todo)), 0
+            while len(live):
+                code = codes.take(start[todo[live]] + t)
+                a, one = self._step(a, code)
+                b, two = self._step(b, code)
+                more[:, live] += one - two
+                t += 1
+                if t % MEET == 0 or t >= size[todo[live]].min():
+                    over = size[todo[live]] <= t
+                    found[:, live[over]] = b[:, over]
+                    on = ~over & (a != b).any(axis=0)
+                    live, a, b = live[on], a[:, on], b[:, on]
+            extra[:, todo] = more
+            changed = todo[(found != ends[:, todo]).any(axis=0)]
+            ends[:, todo] = found
+            todo = changed[changed < len(text) - 1] + 1
+            todo = todo[text[todo] == text[todo - 1]]
+        count += extra
 
 
 def _model(sample: dict[str, list[bytes]]) -> Model:
@@ -96,28 +145,40 @@ def _model(sample: dict[str, list[bytes]]) -> Model:
 
 
 def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[str, list[bytes]]:
-    """The bounded sample (at most `size` bytes a language) of rows (text, lang, and an order column `pick`)."""
-    first = Window.partitionBy("lang").orderBy("long", "pick", "id")
-    picked = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text") > 0).withColumn("long", F.octet_length("text") > size)
-    ids = picked.select("lang", "pick", "id", "long").withColumn("place", F.row_number().over(first)).filter(F.col("place") <= rows).select("lang", "id", "long", "place").collect()
-    only_long = {r.lang for r in ids if r.place == 1 and r.long}
-    chosen = list({r.id for r in ids if not r.long or r.lang in only_long and r.place <= LONG})
-    share = {k: size // min(LONG, sum(r.lang == k for r in ids)) for k in only_long}
+    """The bounded sample (at most `size` bytes a language) of rows (text, lang): those with the smallest hashes among distinct texts.
+
+    What comes to the driver are counts, at most `rows` hashes a language and the sample, whatever the table and however often rows repeat.
+    """
+    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text") > 0)
+    known = known.select("lang", "text", F.xxhash64("text").alias("pick"), (F.octet_length("text") > size).alias("long"))
+    counts = known.groupBy("lang", "long").agg(F.approx_count_distinct("pick").alias("n")).collect()
+    if not counts:
+        return {}
+    reach = [(r.lang, r.long, min(2**63 - 1, int(-(2**63) + 2.0**64 * 2 * rows / max(1, r.n)))) for r in counts]
+    limits = labelled.sparkSession.createDataFrame(reach, "of string, is_long boolean, reach long")
+    near = known.join(limits, (F.col("lang") == F.col("of")) & (F.col("long") == F.col("is_long"))).filter(F.col("pick") <= F.col("reach"))
+    near = stored(near.groupBy("lang", "long", "pick").agg(F.min(F.substring("text", 1, size)).alias("text")))
+    order = Window.partitionBy("lang").orderBy("long", "pick")
+    first = near.select("lang", "long", "pick", F.octet_length("text").alias("size")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
+    chosen: dict[str, list] = {}
+    for r in sorted(first.collect(), key=lambda r: (r.lang, r.place)):
+        own = chosen.setdefault(r.lang, [])
+        if own and r.long != own[0].long:
+            continue
+        if len(own) < LONG if r.long else sum(x.size for x in own) + r.size <= size:
+            own.append(r)
+    picks = {(r.lang, r.long, r.pick) for own in chosen.values() for r in own}
+    texts = {(r.lang, r.long, r.pick): r.text.encode() for r in near.filter(F.col("pick").isin([p for *_, p in picks])).collect() if (r.lang, r.long, r.pick) in picks}
     out: dict[str, list[bytes]] = {}
-    wanted = F.col("id").isin(chosen) & (~F.col("long") | F.col("lang").isin(list(only_long)))
-    got = picked.filter(wanted).select("lang", "pick", "id", F.substring("text", 1, size).alias("text")).collect() if chosen else []
-    for r in sorted(got, key=lambda r: (r.lang, r.pick, r.id, r.text)):
-        own, text = out.setdefault(r.lang, []), r.text.encode()
-        if r.lang in share:
-            text = text[: share[r.lang]].decode(errors="ignore").encode()
-        if sum(map(len, own)) + len(text) <= size:
-            own.append(text)
+    for lang, own in chosen.items():
+        share = size // len(own) if own[0].long else size
+        out[lang] = [texts[r.lang, r.long, r.pick][:share].decode(errors="ignore").encode() for r in own]
     return out
 
 
 def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(doc_id, further kept columns, lang_pred, score): score is how much cheaper the winner is than the next language."""
-    kept = [c for c in keep or [] if c != text_col]
+    kept = [c for c in keepable(keep, f"{id_col} lang_pred score") if c != text_col]
     own = text_col if text_col in (keep or []) else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(sample)  # at most SAMPLE bytes a language
 
@@ -155,6 +216,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id") -> dict[str, list[bytes]]:
-    """The sample of the documents that aren't held out."""
-    rows = docs.filter(~held_out(id_col)).select("text", "lang", F.col(id_col).alias("id"), F.xxhash64(F.col(id_col)).alias("pick"))
-    return sampled(rows.filter("id IS NOT NULL"))
+    """The sample of the documents that aren't held out (those without an id teach nothing)."""
+    return sampled(docs.filter(~held_out(id_col)).filter(F.col(id_col).isNotNull()).select("text", "lang"))
