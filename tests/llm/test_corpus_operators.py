@@ -205,6 +205,42 @@ def test_top_k_edges(spark):
     assert topk.top_k(frame.filter("vec_id IN (50, 51, 52)"), "id % 50 = 0").count() == 2
 
 
+def brute_top_k(rows, every=50, k=5):
+    whole = [(i, [int(np.floor(256.0 * x)) if abs(x) < 1e300 else int(np.clip(np.floor(256.0 * x), -1.7e308, 1.7e308)) for x in v]) for i, v in rows]
+    top = 2**63 - 1
+    out = []
+    with np.errstate(over="ignore"):
+        for i, v in whole:
+            if i % every == 0:
+                best = sorted((-max(-top, min(top, sum(a * b for a, b in zip(v, w)))), j) for j, w in whole if j != i)[:k]
+                out += [(i, n, j, -s) for n, (s, j) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("large", [1e9, 1e15, 1e300])
+def test_top_k_of_large_components(spark, large):
+    """Exact beyond what doubles and 64-bit integers hold; scores beyond 64 bits tie at their bound."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=3)]) for i in range(130)]
+    rows += [(200, [large, 1.0, 0.0]), (201, [large, 2.0, 0.0]), (202, [-large, 1.0, 0.5]), (250, [large, -large, 1.0]), (203, [large / 3, large / 3 + 1.0, 7.0]), (300, [1.0, 1.0, 1.0]), (301, [1e7, -1e7, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in topk.top_k(frame, "id % 50 = 0").collect())
+    assert got == brute_top_k(rows)
+
+
+def test_top_k_in_groups_of_queries(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(v) for v in rng.normal(size=5)]) for i in range(400)] + [(400 + i, [0.25] * 5) for i in range(150)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    assert sorted(tuple(r) for r in topk.top_k(frame, "id % 10 = 0", queries=7).collect()) == brute_top_k(rows, every=10)
+    twice = frame.unionByName(frame.filter("vec_id % 50 = 0")).repartition(4)
+    got = topk.top_k(twice, "id % 10 = 0", queries=7).toPandas()
+    assert (got.groupby("query_id").size() == 5).all() and (got.groupby("query_id")["rank"].max() == 5).all()
+    plain = topk.top_k(twice, "id % 10 = 0").toPandas()
+    key = lambda f: sorted(map(tuple, f[["query_id", "rank", "vec_id", "score"]].values.tolist()))
+    assert key(got) == key(plain)
+
+
 # ---- suffix arrays
 
 

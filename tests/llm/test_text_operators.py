@@ -93,14 +93,84 @@ def test_license_places(words):
     assert (n, sorted(a for a, _ in places)) == brute_places(text)
 
 
+def brute_spans(words, templates):
+    """Matches that can't grow to the right, by comparing words; then chains of places of one template."""
+    own = [t.split() for t in templates]
+    ends = {}  # by end in the text: the longest string of any template that ends there
+    for i in range(1, len(words) + 1):
+        ends[i] = max((n for t in own for e in range(1, len(t) + 1) for n in [next((k for k in range(min(i, e)) if words[i - 1 - k] != t[e - 1 - k]), min(i, e))]), default=0)
+    spans = []
+    for k, t in enumerate(own):
+        places = []
+        for i, n in ends.items():
+            if n >= licenses.MIN_MATCH and ends.get(i + 1, 0) != n + 1:
+                places += [(i - n, i, e) for e in range(n, len(t) + 1) if t[e - n : e] == words[i - n : i]]
+        chain = None  # first word, last word, words of the template reached, words covered
+        done = []
+        for a, b, e in sorted(places):
+            if chain:
+                first, last, reached, covered = chain
+                new = min(b - a, e - reached, b - last)
+                if a <= last + licenses.MAX_GAP and new > 0 and e - (b - a) >= reached - (b - a):
+                    chain = first, max(last, b), e, covered + new
+                    continue
+                done.append(chain)
+            chain = a, b, e, b - a
+        spans += [(k, first, last, covered / len(t)) for first, last, _, covered in [*done, *([chain] if chain else [])] if covered >= licenses.COVER * len(t)]
+    return spans
+
+
+@settings(max_examples=120, deadline=None)
+@given(st.data())
+def test_license_spans(data):
+    templates = ["a b c d e f g h i j", "c d e x y z a b c", "u v w", "a b c d e"]
+    pieces = st.sampled_from(["a b c d e f g h i j", "a b c d e", "f g h i j", "c d e x y z", "a b c", "u v w", "q", "c", "x y", "d e f g h"])
+    words = " ".join(data.draw(st.lists(pieces, max_size=8))).split()
+    scan = licenses.Scanner({"u": "one", "x y": "two"}, {str(k): [t] for k, t in enumerate(templates)})
+    n, places, spans = scan.scan(" ".join(words).encode())
+    assert n == len(words)
+    assert sorted(places) == sorted([(i, 0) for i, w in enumerate(words) if w == "u"] + [(i, 1) for i in range(len(words)) if words[i : i + 2] == ["x", "y"]])
+    assert [(k, a, b, pytest.approx(c)) for k, a, b, c in spans] == brute_spans(words, templates)
+
+
+def test_license_texts_are_found():
+    scan = licenses.scanner(licenses.BASE, licenses.TEMPLATES)
+    assert len(licenses.TEMPLATES) >= 30
+    for label, own in licenses.TEMPLATES.items():
+        for text in own:
+            spans = scan.scan(f"some words before {text} and some behind".encode())[2]
+            assert any(scan.templates[k][1] == label and c == 1 for k, *_, c in spans), (label, text)
+    assert scan.scan(b"a novel about the sea and the software of a ship that any person may use free of charge")[2] == []
+
+
+def test_license_base_fields_equal_sql(spark, database):
+    """Base columns of the query over the whole table; labels hold the base ones, and agree with the spans of the operator."""
+    like = "CASE " + " ".join(f"WHEN array_to_string(w[i : i + {len(p.split()) - 1}], ' ') = '{p}' THEN '{label}'" for p, label in licenses.BASE.items()) + " END"
+    sql = f"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT doc_id, i, {like} AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d))
+    SELECT d.doc_id, CAST(len(any_value(w)) AS BIGINT) AS n_words, count(label) AS n_base, min(CASE WHEN label IS NOT NULL THEN i - 1 END) AS first_word,
+      max(CASE WHEN label IS NOT NULL THEN i - 1 END) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+    FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id"""
+    got = QUERIES["op3_license_scans"](spark, SF).toPandas()
+    expected = database.sql(sql).df()
+    assert plain(got[expected.columns]) == plain(expected)
+    spans = {r.doc_id: r for r in licenses.scan_licenses(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in got.itertuples():
+        labels = sorted({*filter(None, r.base_labels.split(",")), *(s.label for s in spans[r.doc_id].spans)})
+        assert r.labels == ",".join(labels)
+        assert r.score == (1.0 if r.base_labels else max((s.covered for s in spans[r.doc_id].spans), default=0.0))
+
+
 def test_license_edges(edge, nothing):
     rows = {r.doc_id: r for r in licenses.scan_licenses(edge).collect()}
     assert (rows[8].n_base, rows[8].first_word, rows[8].base_labels, rows[8].labels, rows[8].score) == (1, 3, "mit", "mit", 1.0)
     assert (rows[0].n_words, rows[0].n_base, rows[0].first_word, rows[0].labels, rows[0].score) == (0, 0, None, "", 0.0)
     assert licenses.scan_licenses(nothing).count() == 0
     long = licenses.TEMPLATES["bsd"][0]
+    n = len(licenses.words(long.encode()))
     found = licenses.scanner(licenses.BASE, licenses.TEMPLATES).scan(f"intro {long} outro".encode())[2]
-    assert [(licenses.scanner(licenses.BASE, licenses.TEMPLATES).templates[k][1], a, b) for k, a, b, _ in found] == [("bsd", 1, 1 + len(long.split()))]
+    assert [(licenses.scanner(licenses.BASE, licenses.TEMPLATES).templates[k][1], a, b) for k, a, b, _ in found] == [("bsd", 1, 1 + n)]
     broken = long.split()
     broken[5] = "xyz"
     assert licenses.scanner(licenses.BASE, licenses.TEMPLATES).scan(" ".join(broken).encode())[2]
@@ -109,31 +179,51 @@ def test_license_edges(edge, nothing):
 # ---- language
 
 
-def brute_phrases(text: bytes, sample: list[bytes], kind) -> int:
-    code = lambda b: bytes(kind[np.frombuffer(b, np.uint8)])
-    whole, count = [code(s) for s in sample], 0
-    for lo in range(0, len(text), language.BLOCK):
-        block, at = code(text[lo : lo + language.BLOCK]), 0
-        while at < len(block):
-            size = 0
-            while at + size < len(block) and any(block[at : at + size + 1] in s for s in whole):
-                size += 1
-            at += size
-            count += 1
-            if at < len(block) and not any(block[at : at + 1] in s for s in whole):
-                at += 1  # a byte that the language lacks goes with the phrase that it ends
+def brute_phrases(text, sample):
+    """Cross-parsing as it is described, with string search."""
+    low = lambda x: re.sub(b"[A-Z]", lambda m: m[0].lower(), x)
+    text, sample, count, now = low(text), [low(x) for x in sample], bool(text), b""
+    for k in range(len(text)):
+        c = text[k : k + 1]
+        if any(now + c in x for x in sample):
+            now += c
+        else:
+            count, now = count + 1, c if any(c in x for x in sample) else b""
     return count
 
 
-def test_language_phrases():
-    sample = {"x": [b"the cat sat on the mat", b"dogs"], "y": [b"der hund und die katze"]}
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abAB é1.", max_size=90), min_size=1, max_size=4), st.lists(st.text(alphabet="aab é.", min_size=1, max_size=40), min_size=1, max_size=3), st.sampled_from([1, 2, 7, 16]))
+def test_language_phrases_are_exact(texts, sample, block):
+    sample = {"x": [t.encode() for t in sample], "y": [b"abab ba"]}
+    model = language.Model(sample)
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    got = model.phrases(data, offsets, block)
+    assert got.tolist() == [[brute_phrases(t, sample[name]) for name in model.names] for t in raw]
+
+
+def test_language_phrases_of_long_texts():
+    """Lengths around the blocks, and texts whose walks don't meet."""
+    rng = np.random.default_rng(2)
+    prose = lambda n: bytes(rng.choice(list(b"etaoin shrdlu.,0"), n).tolist())
+    sample = {"x": [prose(300), b"a" * 5], "y": [prose(200), b"ab" * 9], "z": ["жзик".encode()]}
     model = language.Model(sample)
-    texts = [b"the dog sat", b"und der mat", b"zzz", b"c" * 700, b"a"]
+    texts = [prose(n) for n in (0, 1, 511, 512, 513, 1023, 1024, 1025, 3000)] + [b"a" * 1600, b"ab" * 900, "жзи ".encode() * 300, b"#" * 700]
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    got = model.phrases(data, offsets)
-    for k, name in enumerate(model.names):
-        for i, t in enumerate(texts):
-            assert abs(got[i, k] - brute_phrases(t, sample[name], model.kind)) <= -(-len(t) // language.BLOCK), (name, t)
+    assert model.phrases(data, offsets).tolist() == [[brute_phrases(t, sample[name]) for name in model.names] for t in texts]
+
+
+def test_language_sample_of_repeated_rows(spark):
+    """Copies of a row, or of an id, are one text of the sample, and only the sample comes to the driver."""
+    rows = [(7, "the same text again and again", "en")] * 3000 + [(7, f"another text number {k} of one id", "en") for k in range(40)] + [(9, "ein satz", "de"), (9, None, "de"), (9, "", "de"), (9, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+    sample = language.sampled(frame)
+    assert sorted(sample) == ["de", "en"] and sample["de"] == [b"ein satz"]
+    assert len(sample["en"]) == len(set(sample["en"])) == 41
+    few = language.sampled(frame, rows=10)
+    assert len(few["en"]) == 10 and few == language.sampled(frame.repartition(3), rows=10)
+    assert sum(map(len, language.sampled(frame, size=100)["en"])) <= 100
 
 
 def test_language_edges(edge, nothing, spark):
@@ -185,6 +275,20 @@ def test_layouts_become_turns():
     assert chat.turns_of(None) == []
 
 
+def test_roles_stay_as_they_are(spark, tmp_path):
+    """The query on roles that other layouts rename, against its SQL."""
+    import duckdb
+
+    rows = [(1, 0, "human", "hi"), (1, 1, "gpt", "there"), (2, 0, "user", "q"), (2, 1, "model", "m"), (2, 2, "assistant", "a"), (3, 0, "bot", None), (3, 1, None, "x<|text|>"), (3, 2, "Assistant", "\\-")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = QUERIES["op1_chat_formatting"](spark, str(tmp_path)).toPandas()
+    assert plain(got) == plain(con.sql(ORACLE_SQL["op1_chat_formatting"]).df())
+    assert got.set_index("conv_id").loss_chars.to_dict() == {-1: 21, 1: 0, 2: 1, 3: 0}
+
+
 def test_chat_edges(spark):
     rows = [(1, 0, None, None), (1, 1, "assistant", "b\n"), (1, 1, "assistant", "a"), (None, None, "user", "z"), (2, 5, "assistant", "<|end|>\\"), (2, 5, "assistant", "<|end|>\\")]
     table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
