@@ -1,17 +1,21 @@
 """Curves of change statistics over the split t of a series (rows 1..t against the rest).
 
 Every function takes rows (series_id, t, x, y, n) with t = 1..n and returns (series_id, t, q) for the splits w <= t <= n - w. Segments
-are differences of running sums; weights are as named. Statistics on pairs of rows cost n^2 per series: aggregate to a few
-thousand positions first (they run series by series, so many series scale out).
+are differences of running sums; weights are as named. Statistics on pairs of rows cost n^2 per series, in tiles (`tiles`): a long series is many
+tasks, and pairs are never rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.functions.spectra import fraction_grid
+from tidewatch.operators import tiles
 from tidewatch.operators.prefix import ordinal_ranks, running_sums
 
 KEY = ["series_id"]
@@ -116,19 +120,6 @@ def row_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.join(other, KEY)
 
 
-def block_sums_of(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
-    """For symmetric pair values: sums over the left square, the right square and the whole, at each t.
-
-    Pairs are summed by their larger and by their smaller index, so only two values per position and name are accumulated.
-    """
-    up = pairs.groupBy("series_id", "n", F.greatest("i", "j").alias("t")).agg(*(F.sum(c).alias(c) for c in names))
-    down = pairs.groupBy("series_id", F.least("i", "j").alias("t")).agg(*(F.sum(c).alias(f"{c}_d") for c in names))
-    to = Window.partitionBy("series_id").orderBy("t")
-    after = to.rowsBetween(1, Window.unboundedFollowing)
-    both = up.join(down, ["series_id", "t"])
-    return both.select("series_id", "n", "t", *(F.sum(c).over(to).alias(f"{c}_l") for c in names), *(F.coalesce(F.sum(f"{c}_d").over(after), F.lit(0.0)).alias(f"{c}_r") for c in names), *(F.sum(c).over(Window.partitionBy("series_id")).alias(f"{c}_a") for c in names))
-
-
 def rank_units(df: DataFrame) -> DataFrame:
     """x and y replaced by their ranks over n + 1."""
     ranked = ordinal_ranks(ordinal_ranks(df, KEY, ["x", "t"], "_rx"), KEY, ["y", "t"], "_ry")
@@ -143,11 +134,14 @@ def median_square_distance(pairs: DataFrame, expr: Column, name: str) -> DataFra
 
 def gram_order2_scan(df: DataFrame, w: int = 60) -> DataFrame:
     """sqrt(weight) |I_L - I_R| with I = log(S_xy m^2 / (S_x S_y)) over squared Gaussian kernels of ranks."""
-    p = row_pairs(rank_units(df), ["x", "y"])
-    dx, dy = (F.pow(F.col(f"{c}i") - F.col(f"{c}j"), 2) for c in "xy")
-    med = median_square_distance(p, dx, "mx").join(median_square_distance(p, dy, "my"), KEY)
-    k = p.join(med, KEY).withColumns({"kx": F.exp(-2.0 * dx / F.col("mx")), "ky": F.exp(-2.0 * dy / F.col("my"))}).withColumn("kxy", F.col("kx") * F.col("ky"))
-    s = on_grid(block_sums_of(k, ["kx", "ky", "kxy"]), w)
+
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        med = tiles.rank_square_median(len(v["x"]))
+        kx, ky = (np.exp(-2.0 * (v[c][rows, None] - v[c]) ** 2 / med) for c in "xy")
+        return tiles.square_parts(rows, kx, "kx") | tiles.square_parts(rows, ky, "ky") | tiles.square_parts(rows, kx * ky, "kxy")
+
+    names = ["kx", "ky", "kxy"]
+    s = on_grid(tiles.squares(tiles.tiled(rank_units(df), "xy", tile, [f"{c}_{k}" for c in names for k in ("up", "down")]), names), w)
     i2 = lambda part, m: F.log(F.col(f"kxy_{part}") * m * m / (F.col(f"kx_{part}") * F.col(f"ky_{part}")))
     return s.select("series_id", "t", (F.sqrt(weight()) * F.abs(i2("l", d("t")) - i2("r", d("n") - d("t")))).alias("q"))
 
@@ -156,82 +150,120 @@ def mmd_scan(df: DataFrame, w: int = 60, mult: float = 1.0) -> DataFrame:
     """weight * max(mean k_LL + mean k_RR - 2 mean k_LR, 0), Gaussian kernel of (x, y) at the median distance."""
     p = row_pairs(df, ["x", "y"])
     dist = F.pow(F.col("xi") - F.col("xj"), 2) + F.pow(F.col("yi") - F.col("yj"), 2)
-    k = p.join(median_square_distance(p, dist, "m"), KEY).withColumn("k", F.exp(-dist / (F.col("m") * F.lit(mult))))
-    s = on_grid(block_sums_of(k, ["k"]), w)
+    scaled = df.join(median_square_distance(p, dist, "med"), KEY)
+
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        far = sum((v[c][rows, None] - v[c]) ** 2 for c in "xy")
+        return tiles.square_parts(rows, np.exp(-far / (v["med"][0] * mult)), "k")
+
+    s = on_grid(tiles.squares(tiles.tiled(scaled, ["x", "y", "med"], tile, ["k_up", "k_down"]), ["k"]), w)
     left, right = d("t"), d("n") - d("t")
     cross = (F.col("k_a") - F.col("k_l") - F.col("k_r")) / 2.0
     value = F.col("k_l") / (left * left) + F.col("k_r") / (right * right) - 2.0 * cross / (left * right)
     return s.select("series_id", "t", (weight() * F.greatest(value, F.lit(0.0))).alias("q"))
 
 
-def row_products(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """At each t the sums over rows i of (row sum of a) * (row sum of b) within the left square, and within the right square."""
-    row = Window.partitionBy("series_id", "i").orderBy("j")
-    run = pairs.withColumns({"_a": F.sum(a).over(row), "_b": F.sum(b).over(row)})
-    total = Window.partitionBy("series_id", "i")
-    run = run.withColumns({"_ra": F.sum(a).over(total) - F.col("_a"), "_rb": F.sum(b).over(total) - F.col("_b")})
-    left = F.sum(F.when(F.col("i") <= F.col("j"), F.col("_a") * F.col("_b")))
-    right = F.sum(F.when(F.col("i") > F.col("j"), F.col("_ra") * F.col("_rb")))
-    return run.groupBy("series_id", F.col("j").alias("t")).agg(left.alias("rows_l"), F.coalesce(right, F.lit(0.0)).alias("rows_r"))
-
-
 def hsic_gram_scan(df: DataFrame, w: int = 60, mult: float = 1.0) -> DataFrame:
     """|HSIC_L - HSIC_R| (biased, no weight), Gaussian kernels of ranks with sigma = median distance * mult."""
-    p = row_pairs(rank_units(df), ["x", "y"])
-    dx, dy = (F.abs(F.col(f"{c}i") - F.col(f"{c}j")) for c in "xy")
-    med = median_square_distance(p, dx, "mx").join(median_square_distance(p, dy, "my"), KEY)
-    kernel = lambda v, m: F.exp(-v * v / (2.0 * F.pow(F.greatest(F.col(m) * F.lit(mult), F.lit(1e-12)), 2)))
-    k = p.join(med, KEY).withColumns({"kx": kernel(dx, "mx"), "ky": kernel(dy, "my")}).withColumn("kxy", F.col("kx") * F.col("ky"))
-    s = on_grid(block_sums_of(k, ["kx", "ky", "kxy"]).join(row_products(k, "kx", "ky"), ["series_id", "t"]), w)
+
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        sigma = max(tiles.rank_distance_median(len(v["x"])) * mult, 1e-12)
+        kx, ky = (np.exp(-((v[c][rows, None] - v[c]) ** 2) / (2 * sigma**2)) for c in "xy")
+        parts = tiles.square_parts(rows, kx, "kx") | tiles.square_parts(rows, ky, "ky") | tiles.square_parts(rows, kx * ky, "kxy")
+        return parts | tiles.row_product_parts(rows, kx, ky, "rows")
+
+    names = ["kx", "ky", "kxy"]
+    s = on_grid(tiles.squares(tiles.tiled(rank_units(df), "xy", tile, [*(f"{c}_{k}" for c in names for k in ("up", "down")), "rows_l", "rows_r"]), names), w)
     value = lambda p_, m: (F.col(f"kxy_{p_}") - 2.0 * F.col(f"rows_{p_}") / m + F.col(f"kx_{p_}") * F.col(f"ky_{p_}") / (m * m)) / (m * m)
     return s.select("series_id", "t", F.abs(value("l", d("t")) - value("r", d("n") - d("t"))).alias("q"))
 
 
 def dcor_scan(df: DataFrame, w: int = 60) -> DataFrame:
     """sqrt(weight) |dCor_L - dCor_R| on ranks: distance covariances from sums of products, of rows and of all."""
-    p = row_pairs(rank_units(df), ["x", "y"])
-    k = p.withColumns({"a": F.abs(F.col("xi") - F.col("xj")), "b": F.abs(F.col("yi") - F.col("yj"))}).withColumns({"ab": F.expr("a * b"), "aa": F.expr("a * a"), "bb": F.expr("b * b")})
-    s = block_sums_of(k, ["a", "b", "ab", "aa", "bb"])
-    for one, two in (("a", "b"), ("a", "a"), ("b", "b")):
-        rows = row_products(k, one, two)
-        s = s.join(rows.withColumnsRenamed({"rows_l": f"w{one}{two}_l", "rows_r": f"w{one}{two}_r"}), ["series_id", "t"])
-    s = on_grid(s, w)
+    names, both = ["a", "b", "ab", "aa", "bb"], ["ab", "aa", "bb"]
 
-    def cov(one: str, two: str, part: str, m: Column) -> Column:
-        return F.col(f"{one}{two}_{part}") / (m * m) - 2.0 * F.col(f"w{one}{two}_{part}") / (m * m * m) + F.col(f"{one}_{part}") * F.col(f"{two}_{part}") / (m * m * m * m)
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        m = {"a": np.abs(v["x"][rows, None] - v["x"]), "b": np.abs(v["y"][rows, None] - v["y"])}
+        parts = {}
+        for c in names:
+            parts |= tiles.square_parts(rows, m[c[0]] * m[c[1]] if len(c) == 2 else m[c], c)
+        for c in both:
+            parts |= tiles.row_product_parts(rows, m[c[0]], m[c[1]], f"w{c}")
+        return parts
+
+    made = [*(f"{c}_{k}" for c in names for k in ("up", "down")), *(f"w{c}_{k}" for c in both for k in "lr")]
+    s = on_grid(tiles.squares(tiles.tiled(rank_units(df), "xy", tile, made), names), w)
+
+    def cov(c: str, part: str, m: Column) -> Column:
+        return F.col(f"{c}_{part}") / (m * m) - 2.0 * F.col(f"w{c}_{part}") / (m * m * m) + F.col(f"{c[0]}_{part}") * F.col(f"{c[1]}_{part}") / (m * m * m * m)
 
     def dcor(part: str, m: Column) -> Column:
-        return F.sqrt(F.greatest(cov("a", "b", part, m), F.lit(0.0)) / F.sqrt(cov("a", "a", part, m) * cov("b", "b", part, m) + F.lit(1e-18)))
+        return F.sqrt(F.greatest(cov("ab", part, m), F.lit(0.0)) / F.sqrt(cov("aa", part, m) * cov("bb", part, m) + F.lit(1e-18)))
 
     return s.select("series_id", "t", (F.sqrt(weight()) * F.abs(dcor("l", d("t")) - dcor("r", d("n") - d("t")))).alias("q"))
 
 
+def _dominated(rows: np.ndarray, v: dict[str, np.ndarray]) -> np.ndarray:
+    """Which positions lie at or below each of a tile's rows, in both coordinates."""
+    return (v["x"] <= v["x"][rows, None]) & (v["y"] <= v["y"][rows, None])
+
+
+def dominance_counts(df: DataFrame) -> DataFrame:
+    """(series_id, t, dominated): how many rows of the series have neither a larger x nor a larger y."""
+
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        out = np.zeros(len(v["x"]))
+        out[rows] = _dominated(rows, v).sum(axis=1)
+        return {"dominated": out}
+
+    return tiles.tiled(df, "xy", tile, ["dominated"]).select("series_id", "t", F.col("dominated").cast("long").alias("dominated"))
+
+
 def copula_cvm_scan(df: DataFrame, w: int = 60) -> DataFrame:
     """weight * mean over rows j of (C_L(U_j) - C_R(U_j))^2 with whole-series ranks; dominance counts are exact integers."""
-    ranked = ordinal_ranks(ordinal_ranks(df, KEY, ["x", "t"], "rx"), KEY, ["y", "t"], "ry")
-    p = row_pairs(ranked, ["rx", "ry"]).withColumn("hit", (F.expr("rxi <= rxj AND ryi <= ryj")).cast("long"))
-    run = p.withColumns({"c": F.sum("hit").over(Window.partitionBy("series_id", "j").orderBy("i")), "all": F.sum("hit").over(Window.partitionBy("series_id", "j"))})
-    g = run.groupBy("series_id", "n", F.col("i").alias("t")).agg(F.sum(F.expr("c * c")).alias("cc"), F.sum(F.expr("c * all")).alias("ca"), F.sum(F.expr("all * all")).alias("aa"))
+
+    def tile(rows: np.ndarray, v: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        c = np.cumsum(_dominated(rows, v), axis=1, dtype=float)
+        every = c[:, -1:]
+        return {"cc": (c * c).sum(axis=0), "ca": (c * every).sum(axis=0), "aa": np.full(c.shape[1], float((every * every).sum()))}
+
+    g = tiles.tiled(rank_units(df), "xy", tile, ["cc", "ca", "aa"])
     t, r, n = d("t"), d("n") - d("t"), d("n")
     # (c/t - (all-c)/r)^2 = (c n/(t r) - all/r)^2
     mean = (d("cc") * n * n / (t * t * r * r) - 2.0 * d("ca") * n / (t * r * r) + d("aa") / (r * r)) / n
     return on_grid(g, w).select("series_id", "t", (weight() * mean).alias("q"))
 
 
-def copula_cvm_subsample_scan(df: DataFrame, splits: Sequence[int]) -> DataFrame:
-    """S_n(k) with ranks made anew on either side: (k (n-k) / n^1.5)^2 times the mean squared difference of the sides' empirical copulas."""
-    ranked = ordinal_ranks(ordinal_ranks(df, KEY, ["x", "t"], "gx"), KEY, ["y", "t"], "gy").select("series_id", "t", "n", "gx", "gy")
-    cut = ranked.withColumn("k", F.explode(F.array(*map(F.lit, splits)))).withColumn("side", (F.col("t") > F.col("k")).cast("int"))
-    own = ["series_id", "k", "side"]
-    sub = ordinal_ranks(ordinal_ranks(cut, own, ["gx"], "rx"), own, ["gy"], "ry").withColumn("m", F.count("*").over(Window.partitionBy(*own)))
-    points = ranked.select("series_id", F.col("gx").alias("px"), F.col("gy").alias("py"))
-    # rank / m <= g / n, in integers
-    hit = F.sum(F.expr("CASE WHEN rx * n <= px * m AND ry * n <= py * m THEN 1 ELSE 0 END"))
-    c = sub.join(points, KEY).groupBy(*own, "n", "m", "px").agg((hit / F.col("m")).alias("c"))
-    signed = F.when(F.col("side") == 0, F.col("c")).otherwise(-F.col("c"))
-    diff = c.groupBy("series_id", "k", "n", "px").agg(F.sum(signed).alias("e"))
-    k, n = d("k"), d("n")
-    return diff.groupBy("series_id", "k", "n").agg(F.avg(F.col("e") * F.col("e")).alias("v")).select("series_id", F.col("k").cast("long").alias("t"), (F.pow(k * (n - k) / F.pow(n, F.lit(1.5)), 2) * F.col("v")).alias("q"))
+def copula_cvm_subsample_scan(df: DataFrame, grid: Callable[[int], np.ndarray] = fraction_grid, splits: int = 16) -> DataFrame:
+    """S_n(k) with ranks made anew on either side: (k (n-k) / n^1.5)^2 times the mean squared difference of the sides' empirical copulas.
+
+    Splits of `grid`; so many of them, with the series, are one task.
+    """
+    whole = tiles.columns(rank_units(df), "xy")
+    chunks = whole.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.col("n") / splits).cast("int")))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, chunk = int(pdf["n"].iloc[0]), int(pdf["chunk"].iloc[0])
+        g = np.rint(np.column_stack([pdf["x"].iloc[0], pdf["y"].iloc[0]]) * (n + 1)).astype(np.int64)  # whole-series ranks
+        out = []
+        for k in grid(n)[chunk * splits : (chunk + 1) * splits]:
+            sides = []
+            for part in (g[:k], g[k:]):
+                m = len(part)
+                at = np.argsort(np.argsort(part, axis=0), axis=0) + 1
+                # rank / m <= g / n, in integers: a place of the side's grid for each point of the whole
+                limit = g * m // n
+                counts = np.zeros((m + 1, m + 1), np.int64)
+                counts[at[:, 0], at[:, 1]] = 1
+                counts = counts.cumsum(axis=0).cumsum(axis=1)
+                sides.append(counts[limit[:, 0], limit[:, 1]] / m)
+            out.append((int(k), (k * (n - k) / n**1.5) ** 2 * float(np.mean((sides[0] - sides[1]) ** 2))))
+        if not out:
+            return pd.DataFrame()  # an empty text column can't be handed over
+        return pd.DataFrame({"series_id": [pdf["series_id"].iloc[0]] * len(out), "t": np.array([k for k, _ in out], np.int64), "q": np.array([q for _, q in out], float)})
+
+    kind = df.schema["series_id"].dataType.simpleString()
+    return chunks.groupBy("series_id", "chunk").applyInPandas(run, f"series_id {kind}, t long, q double")
 
 
 def arg_max(curve: DataFrame, keys: Sequence[str] = KEY, digits: int = 9) -> DataFrame:

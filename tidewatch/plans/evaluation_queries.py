@@ -89,13 +89,13 @@ def m2_power_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.power_summary(_verdicts(spark, sf_dir), KEY), "power", "detect_rate", digits=9)
 
 
-_CUTS = "c AS (SELECT o_custkey, list_sort(list(DISTINCT CAST(o_orderkey % 100 AS INTEGER)) FILTER (o_orderstatus = 'F')) AS tr, list_sort(list(DISTINCT CAST(o_orderkey % 100 AS INTEGER)) FILTER (o_orderstatus = 'O')) AS es FROM orders WHERE o_custkey % 5 = 0 GROUP BY 1), k AS (SELECT o_custkey, coalesce(tr, []) AS tr, coalesce(es, []) AS es FROM c)"
+_CUTS = "c AS (SELECT o_custkey, list_sort(list(DISTINCT CAST(o_orderkey % 100 AS INTEGER)) FILTER (o_orderstatus = 'F')) AS tr, list_sort(list(DISTINCT CAST(o_orderkey % 100 AS INTEGER)) FILTER (o_orderstatus = 'O')) AS es FROM orders GROUP BY 1), k AS (SELECT o_custkey, coalesce(tr, []) AS tr, coalesce(es, []) AS es FROM c)"
 
 
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = (F.col("o_orderkey") % 100).cast("int")
     one = lambda s: F.array_sort(F.collect_set(F.when(F.col("o_orderstatus") == s, at)))
-    return table(spark, sf_dir, "orders").filter("o_custkey % 5 = 0").groupBy("o_custkey").agg(one("F").alias("tr"), one("O").alias("es")).withColumn("n", F.lit(100))
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(one("F").alias("tr"), one("O").alias("es")).withColumn("n", F.lit(100))
 
 
 @query(f"WITH {_CUTS} SELECT o_custkey, CAST(CASE WHEN len(tr) = 0 AND len(es) = 0 THEN 0 WHEN len(tr) = 0 OR len(es) = 0 THEN 100 ELSE greatest(list_max(list_transform(tr, lambda x: list_min(list_transform(es, lambda y: abs(x - y))))), list_max(list_transform(es, lambda x: list_min(list_transform(tr, lambda y: abs(x - y)))))) END AS DOUBLE) AS hausdorff FROM k")
@@ -117,15 +117,16 @@ def m5_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: p-values of a family per order status: ranks of prices, distinct by construction.
-_P = "pv AS (SELECT o_orderstatus AS family, o_orderkey AS id, pow((row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey)) / 40e0, 2) / 60 AS p FROM orders WHERE o_orderkey % 97 = 0), pk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM (SELECT * FROM pv WHERE p < 1))"
+_P = "pv AS (SELECT o_orderstatus AS family, o_orderkey AS id, pow(row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice, o_orderkey) / (count(*) OVER (PARTITION BY o_orderstatus) + 1e0), 6) AS p FROM orders), pk AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY p) AS k, count(*) OVER (PARTITION BY family) AS m FROM pv)"
 
 
 def _p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("o_orderstatus").orderBy("o_totalprice", "o_orderkey"))
-    return table(spark, sf_dir, "orders").filter("o_orderkey % 97 = 0").select(F.col("o_orderstatus").alias("family"), F.col("o_orderkey").alias("id"), (F.pow(rank / F.lit(40.0), 2) / 60).alias("p")).filter("p < 1")
+    share = rank / (F.count("*").over(Window.partitionBy("o_orderstatus")) + F.lit(1.0))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("family"), F.col("o_orderkey").alias("id"), F.pow(share, 6).alias("p"))
 
 
-@query(f"WITH {_P} SELECT family, id, round(least(1, min(p * m / k) OVER w), 9) AS bh, round(least(1, min(p * m * list_sum(list_transform(range(1, m + 1), lambda i: 1e0 / i)) / k) OVER w), 9) AS q_by FROM pk WINDOW w AS (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
+@query(f"WITH {_P} SELECT family, id, round(least(1, min(p * m / k) OVER w), 9) AS bh, round(least(1, min(p * m * h / k) OVER w), 9) AS q_by FROM pk JOIN (SELECT family, list_sum(list_transform(range(1, max(m) + 1), lambda i: 1e0 / i)) AS h FROM pk GROUP BY 1) USING (family) WINDOW w AS (PARTITION BY family ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)")
 def m6_step_up_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _p_values(spark, sf_dir)
     out = evaluate.step_up_q(evaluate.step_up_q(p, ["family"], "p", "bh"), ["family"], "p", "q_by", True)

@@ -107,17 +107,8 @@ def i23_bg_tstat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(scans.bg_tstat(pairs(spark, sf_dir)))
 
 
-# ---- pair statistics, on hourly sums (at most 24 positions a day)
-SHORT = f"{HOURLY}, short AS (SELECT series_id, t, n, x, y FROM (SELECT series_id, t, least(n, 240) AS n, x, y FROM hourly) WHERE t <= n AND series_id IN ('click', 'error'))"
-
-
-def short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten days of two hourly series: n^2 statistics are for aggregated series."""
-    df = hourly(spark, sf_dir).withColumn("n", F.least("n", F.lit(240).cast("long")))
-    return df.filter((F.col("t") <= F.col("n")) & F.col("series_id").isin("click", "error")).select("series_id", "t", "n", "x", "y")
-
-
-_UNITS = "units AS (SELECT series_id, t, n, row_number() OVER (PARTITION BY series_id ORDER BY x, t) / (n + 1e0) AS x, row_number() OVER (PARTITION BY series_id ORDER BY y, t) / (n + 1e0) AS y FROM short)"
+# ---- pair statistics, on hourly sums (at most 24 positions a day), every series and every hour
+_UNITS = "units AS (SELECT series_id, t, n, row_number() OVER (PARTITION BY series_id ORDER BY x, t) / (n + 1e0) AS x, row_number() OVER (PARTITION BY series_id ORDER BY y, t) / (n + 1e0) AS y FROM hourly)"
 
 
 def _pairs_sql(source: str) -> str:
@@ -125,69 +116,74 @@ def _pairs_sql(source: str) -> str:
 
 
 def _square_sums(names: list[str]) -> str:
-    left = ", ".join(f"sum(CASE WHEN i <= g.t AND j <= g.t THEN {c} END) AS {c}_l, sum(CASE WHEN i > g.t AND j > g.t THEN {c} END) AS {c}_r, sum(CASE WHEN i <= g.t AND j > g.t THEN {c} END) AS {c}_x" for c in names)
-    return f"s AS (SELECT k.series_id, k.n, g.t, CAST(g.t AS DOUBLE) AS m, CAST(k.n - g.t AS DOUBLE) AS r, {left} FROM k JOIN (SELECT DISTINCT series_id, t FROM short WHERE t BETWEEN {W_SHORT} AND n - {W_SHORT}) g USING (series_id) GROUP BY ALL)"
+    """Sums over the left square, the right square and the whole, from pairs by their larger and their smaller index."""
+    both = ", ".join(f"sum({c}) AS {c}" for c in names)
+    run = ", ".join(f"sum(u.{c}) OVER l AS {c}_l, coalesce(sum(d.{c}) OVER r, 0) AS {c}_r, sum(u.{c}) OVER s AS {c}_a" for c in names)
+    return f"""up AS (SELECT series_id, n, greatest(i, j) AS t, {both} FROM k GROUP BY ALL), down AS (SELECT series_id, least(i, j) AS t, {both} FROM k GROUP BY ALL),
+s AS (SELECT * FROM (SELECT u.series_id, u.n, u.t, CAST(u.t AS DOUBLE) AS m, CAST(u.n - u.t AS DOUBLE) AS r, {run} FROM up u JOIN down d USING (series_id, t)
+  WINDOW l AS (PARTITION BY u.series_id ORDER BY u.t ROWS UNBOUNDED PRECEDING), r AS (PARTITION BY u.series_id ORDER BY u.t ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), s AS (PARTITION BY u.series_id)) WHERE t BETWEEN {W_SHORT} AND n - {W_SHORT})"""
 
 
-@query(f"""WITH {SHORT}, {_UNITS}, {_pairs_sql('units')}, med AS (SELECT series_id, quantile_cont(pow(xi - xj, 2), 0.5) AS mx, quantile_cont(pow(yi - yj, 2), 0.5) AS my FROM p WHERE i < j GROUP BY 1),
+@query(f"""WITH {HOURLY}, {_UNITS}, {_pairs_sql('units')}, med AS (SELECT series_id, quantile_cont(pow(xi - xj, 2), 0.5) AS mx, quantile_cont(pow(yi - yj, 2), 0.5) AS my FROM p WHERE i < j GROUP BY 1),
 k AS (SELECT *, kx * ky AS kxy FROM (SELECT p.*, exp(-2 * pow(xi - xj, 2) / mx) AS kx, exp(-2 * pow(yi - yj, 2) / my) AS ky FROM p JOIN med USING (series_id))), {_square_sums(['kx', 'ky', 'kxy'])}
 SELECT series_id, t, round(sqrt(m * r / n) * abs(ln(kxy_l * m * m / (kx_l * ky_l)) - ln(kxy_r * r * r / (kx_r * ky_r))), 6) AS q FROM s""")
 def i17_gram_order2_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.gram_order2_scan(short(spark, sf_dir), W_SHORT))
+    return scan(scans.gram_order2_scan(hourly(spark, sf_dir), W_SHORT))
 
 
-@query(f"""WITH {SHORT}, {_pairs_sql('short')}, med AS (SELECT series_id, quantile_cont(pow(xi - xj, 2) + pow(yi - yj, 2), 0.5) AS md FROM p WHERE i < j GROUP BY 1),
+@query(f"""WITH {HOURLY}, {_pairs_sql('hourly')}, med AS (SELECT series_id, quantile_cont(pow(xi - xj, 2) + pow(yi - yj, 2), 0.5) AS md FROM p WHERE i < j GROUP BY 1),
 k AS (SELECT p.*, exp(-(pow(xi - xj, 2) + pow(yi - yj, 2)) / md) AS k FROM p JOIN med USING (series_id)), {_square_sums(['k'])}
-SELECT series_id, t, round(m * r / n * greatest(k_l / (m*m) + k_r / (r*r) - 2 * k_x / (m*r), 0), 6) AS q FROM s""")
+SELECT series_id, t, round(m * r / n * greatest(k_l / (m*m) + k_r / (r*r) - (k_a - k_l - k_r) / (m*r), 0), 6) AS q FROM s""")
 def i14_mmd_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.mmd_scan(short(spark, sf_dir), W_SHORT))
+    return scan(scans.mmd_scan(hourly(spark, sf_dir), W_SHORT))
 
 
-def _centred(a: str, b: str, side: str, m: str) -> str:
-    """The mean of the product of doubly centred matrices, by rows of one side."""
-    return f"""SELECT series_id, t, sum(ab) / ({m}*{m}) - 2 * sum(ra * rb) / ({m}*{m}*{m}) + sum(ra) * sum(rb) / ({m}*{m}*{m}*{m}) AS v
-      FROM (SELECT k.series_id, g.t, i, max(CAST(g.t AS DOUBLE)) AS ml, max(CAST(k.n - g.t AS DOUBLE)) AS mr, sum({a} * {b}) AS ab, sum({a}) AS ra, sum({b}) AS rb FROM k JOIN grid g USING (series_id) WHERE {side} GROUP BY ALL)
-      GROUP BY series_id, t, {m}"""
+def _row_products(a: str, b: str, name: str) -> str:
+    """At each t the sums over rows of products of their sums within the left, and within the right square."""
+    return f"""{name} AS (SELECT series_id, j AS t, sum(CASE WHEN i <= j THEN ra * rb ELSE 0 END) AS l, sum(CASE WHEN i > j THEN (ta - ra) * (tb - rb) ELSE 0 END) AS r FROM (
+  SELECT series_id, i, j, sum({a}) OVER o AS ra, sum({b}) OVER o AS rb, sum({a}) OVER e AS ta, sum({b}) OVER e AS tb FROM k WINDOW o AS (PARTITION BY series_id, i ORDER BY j), e AS (PARTITION BY series_id, i)) GROUP BY ALL)"""
 
 
-_L, _R = "i <= g.t AND j <= g.t", "i > g.t AND j > g.t"
-_GRID = f"grid AS (SELECT DISTINCT series_id, t, n FROM short WHERE t BETWEEN {W_SHORT} AND n - {W_SHORT})"
+@query(f"""WITH {HOURLY}, {_UNITS}, {_pairs_sql('units')}, med AS (SELECT series_id, quantile_cont(abs(xi - xj), 0.5) AS mx, quantile_cont(abs(yi - yj), 0.5) AS my FROM p WHERE i < j GROUP BY 1),
+k AS (SELECT *, kx * ky AS kxy FROM (SELECT p.*, exp(-pow(xi - xj, 2) / (2 * mx * mx)) AS kx, exp(-pow(yi - yj, 2) / (2 * my * my)) AS ky FROM p JOIN med USING (series_id))), {_square_sums(['kx', 'ky', 'kxy'])}, {_row_products('kx', 'ky', 'w')}
+SELECT series_id, t, round(abs((kxy_l - 2 * w.l / m + kx_l * ky_l / (m*m)) / (m*m) - (kxy_r - 2 * w.r / s.r + kx_r * ky_r / (s.r*s.r)) / (s.r*s.r)), 6) AS q FROM s JOIN w USING (series_id, t)""")
+def i8_hsic_gram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(scans.hsic_gram_scan(hourly(spark, sf_dir), W_SHORT))
 
 
-@query(f"""WITH {SHORT}, {_UNITS}, {_GRID}, {_pairs_sql('units')}, med AS (SELECT series_id, quantile_cont(abs(xi - xj), 0.5) AS mx, quantile_cont(abs(yi - yj), 0.5) AS my FROM p WHERE i < j GROUP BY 1),
-k AS (SELECT p.*, exp(-pow(xi - xj, 2) / (2 * mx * mx)) AS kx, exp(-pow(yi - yj, 2) / (2 * my * my)) AS ky FROM p JOIN med USING (series_id)),
-l AS ({_centred('kx', 'ky', _L, 'ml')}), r AS ({_centred('kx', 'ky', _R, 'mr')})
-SELECT series_id, t, round(abs(l.v - r.v), 6) AS q FROM l JOIN r USING (series_id, t)""")
-def i8_hsic_gram_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.hsic_gram_scan(short(spark, sf_dir), W_SHORT))
+def _cov(c: str, side: str, m: str) -> str:
+    return f"({c}_{side} / ({m}*{m}) - 2 * w{c}.{side} / ({m}*{m}*{m}) + {c[0]}_{side} * {c[1]}_{side} / ({m}*{m}*{m}*{m}))"
+
+
+def _dcor(side: str, m: str) -> str:
+    return f"sqrt(greatest({_cov('ab', side, m)}, 0) / sqrt({_cov('aa', side, m)} * {_cov('bb', side, m)} + 1e-18))"
 
 
-@query(f"""WITH {SHORT}, {_UNITS}, {_GRID}, {_pairs_sql('units')}, k AS (SELECT p.*, abs(xi - xj) AS a, abs(yi - yj) AS b FROM p),
-lab AS ({_centred('a', 'b', _L, 'ml')}), laa AS ({_centred('a', 'a', _L, 'ml')}), lbb AS ({_centred('b', 'b', _L, 'ml')}),
-rab AS ({_centred('a', 'b', _R, 'mr')}), raa AS ({_centred('a', 'a', _R, 'mr')}), rbb AS ({_centred('b', 'b', _R, 'mr')})
-SELECT series_id, t, round(sqrt(t * (n - t) / CAST(n AS DOUBLE)) * abs(sqrt(greatest(lab.v, 0) / sqrt(laa.v * lbb.v + 1e-18)) - sqrt(greatest(rab.v, 0) / sqrt(raa.v * rbb.v + 1e-18))), 6) AS q
-FROM grid JOIN lab USING (series_id, t) JOIN laa USING (series_id, t) JOIN lbb USING (series_id, t) JOIN rab USING (series_id, t) JOIN raa USING (series_id, t) JOIN rbb USING (series_id, t)""")
+@query(f"""WITH {HOURLY}, {_UNITS}, {_pairs_sql('units')}, k AS (SELECT *, a * b AS ab, a * a AS aa, b * b AS bb FROM (SELECT p.*, abs(xi - xj) AS a, abs(yi - yj) AS b FROM p)), {_square_sums(['a', 'b', 'ab', 'aa', 'bb'])},
+{_row_products('a', 'b', 'wab')}, {_row_products('a', 'a', 'waa')}, {_row_products('b', 'b', 'wbb')}
+SELECT series_id, t, round(sqrt(m * s.r / n) * abs({_dcor('l', 'm')} - {_dcor('r', 's.r')}), 6) AS q FROM s JOIN wab USING (series_id, t) JOIN waa USING (series_id, t) JOIN wbb USING (series_id, t)""")
 def i12_dcor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.dcor_scan(short(spark, sf_dir), W_SHORT))
+    return scan(scans.dcor_scan(hourly(spark, sf_dir), W_SHORT))
 
 
-@query(f"""WITH {SHORT}, {_UNITS}, {_GRID}, p AS (SELECT i.series_id, g.t, j.t AS j, i.n, avg(CASE WHEN i.t <= g.t THEN CAST(i.x <= j.x AND i.y <= j.y AS INT) END) AS cl, avg(CASE WHEN i.t > g.t THEN CAST(i.x <= j.x AND i.y <= j.y AS INT) END) AS cr
-  FROM units i JOIN units j USING (series_id) JOIN grid g USING (series_id) GROUP BY ALL)
-SELECT series_id, t, round(t * (n - t) / CAST(n AS DOUBLE) * avg(pow(cl - cr, 2)), 6) AS q FROM p GROUP BY series_id, t, n""")
+@query(f"""WITH {HOURLY}, {_UNITS}, p AS (SELECT i.series_id, i.n, i.t AS i, j.t AS j, CAST(i.x <= j.x AND i.y <= j.y AS BIGINT) AS hit FROM units i JOIN units j USING (series_id)),
+c AS (SELECT series_id, n, i AS t, CAST(sum(hit) OVER (PARTITION BY series_id, j ORDER BY i) AS DOUBLE) AS c, CAST(sum(hit) OVER (PARTITION BY series_id, j) AS DOUBLE) AS e FROM p)
+SELECT series_id, t, round(t * (n - t) / CAST(n AS DOUBLE) * avg(pow(c / t - (e - c) / (n - t), 2)), 6) AS q FROM c WHERE t BETWEEN {W_SHORT} AND n - {W_SHORT} GROUP BY series_id, t, n""")
 def i10_copula_cvm_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.copula_cvm_scan(short(spark, sf_dir), W_SHORT))
+    return scan(scans.copula_cvm_scan(hourly(spark, sf_dir), W_SHORT))
 
 
-SPLITS = (80, 100, 120, 140)
+#: the splits at shares 0.1, 0.105, ... 0.9 of a series, each rounded to the nearest whole number (halves to the even one)
+_SHARES = "v AS (SELECT DISTINCT series_id, n, CAST(round_even(n * (20 + s) * 5 / 1000e0, 0) AS BIGINT) AS k FROM (SELECT DISTINCT series_id, n FROM hourly), range(0, 161) AS r(s))"
 
 
-@query(f"""WITH {SHORT}, g AS (SELECT series_id, t, n, row_number() OVER (PARTITION BY series_id ORDER BY x, t) AS gx, row_number() OVER (PARTITION BY series_id ORDER BY y, t) AS gy FROM short),
-c AS (SELECT g.*, k, t > k AS side FROM g, (VALUES {", ".join(f"({k})" for k in SPLITS)}) AS v(k)),
+@query(f"""WITH {HOURLY}, {_SHARES}, g AS (SELECT series_id, t, n, row_number() OVER (PARTITION BY series_id ORDER BY x, t) AS gx, row_number() OVER (PARTITION BY series_id ORDER BY y, t) AS gy FROM hourly),
+c AS (SELECT g.*, k, t > k AS side FROM g JOIN v USING (series_id, n) WHERE k BETWEEN 2 AND n - 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY series_id, k, side ORDER BY gx) AS rx, row_number() OVER (PARTITION BY series_id, k, side ORDER BY gy) AS ry, count(*) OVER (PARTITION BY series_id, k, side) AS m FROM c),
 e AS (SELECT r.series_id, r.k, r.n, p.gx, sum(CASE WHEN side THEN -1e0 / m ELSE 1e0 / m END * CAST(rx * r.n <= p.gx * m AND ry * r.n <= p.gy * m AS INT)) AS e FROM r JOIN g p USING (series_id) GROUP BY ALL)
 SELECT series_id, CAST(k AS BIGINT) AS t, round(pow(k * (n - k) / pow(n, 1.5), 2) * avg(e * e), 6) AS q FROM e GROUP BY series_id, k, n""")
 def i11_copula_cvm_subsample_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.copula_cvm_subsample_scan(short(spark, sf_dir), SPLITS))
+    return scan(scans.copula_cvm_subsample_scan(hourly(spark, sf_dir)))
 
 
 def _unit(col: str, ws: tuple, bs: tuple, name: str) -> str:

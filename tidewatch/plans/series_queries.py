@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,11 +56,11 @@ def a7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct(code).alias("fingerprints"), F.min(code).alias("first"))
 
 
-@query("""SELECT 'orders' AS source, CAST(o_orderkey AS BIGINT) AS key, o_totalprice AS price, NULL::DOUBLE AS discount FROM orders WHERE o_orderkey % 50 = 0
-UNION ALL SELECT 'lineitem', CAST(l_orderkey AS BIGINT), l_extendedprice, l_discount FROM lineitem WHERE l_orderkey % 50 = 0""")
+@query("""SELECT 'orders' AS source, CAST(o_orderkey AS BIGINT) AS key, o_totalprice AS price, NULL::DOUBLE AS discount FROM orders
+UNION ALL SELECT 'lineitem', CAST(l_orderkey AS BIGINT), l_extendedprice, l_discount FROM lineitem""")
 def b1_schema_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").selectExpr("'orders' AS source", "o_orderkey AS key", "o_totalprice AS price")
-    b = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").selectExpr("'lineitem' AS source", "l_orderkey AS key", "l_extendedprice AS price", "l_discount AS discount")
+    a = table(spark, sf_dir, "orders").selectExpr("'orders' AS source", "o_orderkey AS key", "o_totalprice AS price")
+    b = table(spark, sf_dir, "lineitem").selectExpr("'lineitem' AS source", "l_orderkey AS key", "l_extendedprice AS price", "l_discount AS discount")
     return a.unionByName(b, allowMissingColumns=True)
 
 
@@ -197,20 +198,19 @@ def d3_asof_previous(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.latest_before(a, b, "day", "y", "previous")
 
 
-@query(f"WITH {HOURLY}, s AS (SELECT * FROM hourly WHERE t <= 100) SELECT a.series_id, CAST(sum(abs(a.y - b.y)) AS BIGINT) AS total, count(*) AS n FROM s a JOIN s b USING (series_id) GROUP BY 1")
+@query(f"WITH {HOURLY} SELECT a.series_id, CAST(sum(abs(a.y - b.y)) AS BIGINT) AS total, count(*) AS n FROM hourly a JOIN hourly b USING (series_id) GROUP BY 1")
 def d5_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewatch.operators.scans import row_pairs
+    from tidewatch.operators.tiles import tiled
 
-    p = row_pairs(hourly(spark, sf_dir).filter("t <= 100"), ["y"])
-    return p.groupBy("series_id").agg(F.sum(F.abs(F.col("yi") - F.col("yj"))).cast("long").alias("total"), F.count("*").alias("n"))
+    rows = tiled(hourly(spark, sf_dir), "y", lambda i, v: {"far": (lambda m: np.bincount(i, m.sum(axis=1), len(v["y"])))(np.abs(v["y"][i, None] - v["y"]))}, ["far"])
+    return rows.groupBy("series_id").agg(F.sum("far").cast("long").alias("total"), F.sum("n").cast("long").alias("n"))
 
 
-@query(f"WITH {HOURLY}, s AS (SELECT * FROM hourly WHERE t <= 200) SELECT a.series_id, a.t, count(b.t) AS dominated FROM s a LEFT JOIN s b ON a.series_id = b.series_id AND b.x <= a.x AND b.y <= a.y GROUP BY ALL")
+@query(f"WITH {HOURLY} SELECT a.series_id, a.t, count(b.t) AS dominated FROM hourly a LEFT JOIN hourly b ON a.series_id = b.series_id AND b.x <= a.x AND b.y <= a.y GROUP BY ALL")
 def d6_dominance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewatch.operators.scans import row_pairs
+    from tidewatch.operators.scans import dominance_counts
 
-    p = row_pairs(hourly(spark, sf_dir).filter("t <= 200"), ["x", "y"])
-    return p.groupBy("series_id", F.col("j").alias("t")).agg(F.sum(F.expr("CAST(xi <= xj AND yi <= yj AS BIGINT)")).alias("dominated"))
+    return dominance_counts(hourly(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, c_name, n_name, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'")
@@ -270,11 +270,11 @@ def e5_segment_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {PAIRS}, c AS (SELECT series_id, t, n, avg(x) OVER l AS mx, avg(y) OVER l AS my, avg(x*x) OVER l AS xx, avg(x*y) OVER l AS xy, avg(y*y) OVER l AS yy FROM pairs WINDOW l AS (PARTITION BY series_id ORDER BY t ROWS UNBOUNDED PRECEDING))
-SELECT series_id, t, round(mx, 6) AS mx, round(xx - mx*mx, 6) AS vx, round(xy - mx*my, 5) AS cxy, round(xx / (xx + yy), 9) AS rho_xx, round(xy / (xx + yy), 9) AS rho_xy FROM c WHERE t % 100 = 0""")
+SELECT series_id, t, round(mx, 6) AS mx, round(xx - mx*mx, 6) AS vx, round(xy - mx*my, 5) AS cxy, round(xx / (xx + yy), 9) AS rho_xx, round(xy / (xx + yy), 9) AS rho_xy FROM c""")
 def e7_segment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.operators.prefix import running_sums
 
-    run = running_sums(pairs(spark, sf_dir), KEY, "t", {"sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y"}).filter("t % 100 = 0")
+    run = running_sums(pairs(spark, sf_dir), KEY, "t", {"sx": "x", "sy": "y", "sxx": "x*x", "sxy": "x*y", "syy": "y*y"})
     m = {k: F.col(f"s{k}") / F.col("t") for k in ("x", "y", "xx", "xy", "yy")}
     trace = m["xx"] + m["yy"]
     out = run.select("series_id", "t", m["x"].alias("mx"), (m["xx"] - m["x"] * m["x"]).alias("vx"), (m["xy"] - m["x"] * m["y"]).alias("cxy"), (m["xx"] / trace).alias("rho_xx"), (m["xy"] / trace).alias("rho_xy"))
