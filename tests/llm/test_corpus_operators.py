@@ -44,7 +44,7 @@ def linked(fps):
 
 
 @pytest.mark.parametrize("run", [1 << 15, 40])
-def test_links_connect_what_is_within_four_bits(spark, run, monkeypatch):
+def test_links_connect_what_is_within_four_bits(spark, run):
     """Also with keys that are too large to be held, so that they are indexed again."""
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**63, 12, dtype=np.uint64)
@@ -54,44 +54,34 @@ def test_links_connect_what_is_within_four_bits(spark, run, monkeypatch):
             fps.add(int(s) ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 7)), replace=False)))
     fps = sorted(fps)
     signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
-    if run != simhash.RUN:  # functions are sent to the workers with this module's values inside
-        return _held_small(fps, run)
-    pairs = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()]
+    pairs = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), run).collect()]
     got = brute_components([(a % 2**64, b % 2**64) for a, b in pairs])
     expected = brute_components([(fps[i], fps[j]) for i, j in linked(fps)])
     assert got == expected
 
 
-def _held_small(fps, run):
-    """The same stream as the job's, with little memory for a key."""
-    import pyarrow as pa
-
-    old, simhash.RUN = simhash.RUN, run
-    try:
-        own = np.array(fps, np.uint64)
-        keys, vals = simhash._variants(own)
-        parts, found = np.zeros(len(keys), np.int64), []
-        for depth in (1, 2, 3):
-            by = np.lexsort((parts, keys))
-            batch = pa.RecordBatch.from_arrays([pa.array(keys[by]), pa.array(parts[by]), pa.array(vals[by].view(np.int64))], ["key", "part", "fp"])
-            pieces = [batch.slice(k, 37) for k in range(0, batch.num_rows, 37)]
-            out = pa.Table.from_batches(list(simhash._link(depth == 3, depth == 1)(iter(pieces)))).to_pandas()
-            found += [(a % 2**64, b % 2**64) for a, b in out[out.kind == 0][["a", "b"]].itertuples(index=False)]
-            large = out[out.kind == 1]
-            if large.empty or depth == 3:
-                break
-            left = []
-            for s in range(3):
-                bits = [x for x in range(64) if x not in simhash.SEGMENTS[s]]
-                for _ in range(depth - 1):
-                    bits = [x for i, seg in enumerate(simhash._cut_bits(bits)) if i for x in seg]
-                left.append(bits)
-            pair = np.column_stack([large.key.to_numpy() >> 32, simhash.mixed(large.key.to_numpy().view(np.uint64) + simhash.mixed(large.part.to_numpy().view(np.uint64))).view(np.int64)])
-            k2, vals = simhash._again(pair, large.a.to_numpy().view(np.uint64), left)
-            keys, parts = k2[:, 0] << 32, k2[:, 1]
-        assert brute_components(found) == brute_components([(fps[i], fps[j]) for i, j in linked(fps)])
-    finally:
-        simhash.RUN = old
+def test_links_where_every_key_is_large(spark):
+    """All fingerprints agree on 50 bits, so every key of the first indexes holds them all."""
+    fps = [(0x0123456789ABCDEF & ~0x3FFF) | k * 3 % 0x4000 for k in range(0, 0x4000, 83)]
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in fps]
+    pairs = [(r.a, r.b) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 64).collect()]
+    assert brute_components([(a % 2**64, b % 2**64) for a, b in pairs]) == brute_components([(fps[i], fps[j]) for i, j in linked(fps)])
+
+
+def test_near_duplicates_whole_table(spark):
+    """Every column of the query against brute force."""
+    import xxhash
+
+    def fingerprint(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+    docs = {r.doc_id: fingerprint(r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids = sorted(docs)
+    group = brute_components([(ids[i], ids[j]) for i, j in linked([docs[k] for k in ids])])
+    got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in QUERIES["op6_simhash_near_dedup"](spark, SF).collect())
+    assert got == [(i, f"{docs[i]:016x}", group.get(i, i)) for i in ids]
 
 
 def test_near_duplicates_edges(spark):

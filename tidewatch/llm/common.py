@@ -89,13 +89,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_by(df: DataFrame, n: int, column: str) -> DataFrame:
+    """The same rows, kept like cut() in n hash partitions of a column; joins by it then need no further exchange of them."""
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan doesn't tell how its rows lie
+    try:
+        return cut(df.repartition(n, column))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """The same rows as a table in the shared checkpoint folder: smaller than a checkpoint, and read by column."""
     folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df itself if it reads files or a checkpoint row by row, else its rows as a table: their order is then the same however often they are read."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return stored(df) if "Exchange" in plan or "Limit" in plan else df
+
+
 def keepable(keep: list[str] | None, results: str) -> list[str]:
     """Columns to keep beside an operator's results; those that are named like a result give way to it."""
     return [c for c in keep or [] if c not in results.split()]

@@ -5,10 +5,10 @@ input. Texts are parsed into phrases by triggers of a rolling hash: a string of
 some 50 bytes around it. So every 50 bytes hold a trigger, what follows from the bytes alone, and equal 50-byte strings have
 a trigger at the same place. Phrases run from trigger to trigger and overlap in the trigger, as prefix-free parsing wants.
 
-1. The parse: each row's triggers (hashes) are dealt out by hash, packed per batch of rows; a batch asks with the smallest and the largest id
-   of a trigger. A trigger that only one document has can't lie in a repeated string.
-2. The dictionary: for each repeated trigger the distinct phrases around it (the bytes that a 50-byte string with this trigger can reach)
-   go to one place, once per batch, with their smallest id.
+1. The parse: each row's triggers (hashes) are dealt out by hash, packed per batch of rows; a batch asks with the first and the last row
+   of a trigger. A trigger that only one row has can't lie in a repeated string.
+2. The dictionary: for each repeated trigger the distinct phrases around it (the bytes that 50-byte strings reach in which this trigger
+   is the smallest, so that each string is looked at once) go to one place, once per batch, with their smallest id.
 3. The suffix arrays: at that place the dictionary's phrases, read from the trigger towards the front, are put in order with their longest
    common parts, and so is what follows the trigger in the parse, towards the end. For each place where a string may begin, the
    interval of the first array names the suffix of the phrase, that of the second the strings that continue it; both together are the order of the
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from tidewatch.llm.common import STEP_BYTES, flat, keepable, mapped, mixed, partitions, release, stored
+from tidewatch.llm.common import STEP_BYTES, cut_by, flat, keepable, mapped, mixed, partitions, release, settled, stored, text_steps
 
 WINDOW, SEED = 50, 16
 REACH = WINDOW - SEED  # bytes on either side of a trigger that a window with it can reach
@@ -63,6 +63,13 @@ def _slide(x: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return best(out[: len(x) - n + 1], out[n - done : n - done + len(x) - n + 1]) if done < n else out
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return np.minimum(x, _NONE - np.uint64(1))
+
+
 def seed_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The hash of the SEED bytes at every place; the largest number where they would leave the text."""
     n = len(data)
@@ -73,10 +80,7 @@ def seed_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             own = own[:-size] * base + own[size:]
             base = base * base
             size *= 2
-        own ^= own >> np.uint64(32)
-        own *= np.uint64(0xD6E8FEB86659FD93)
-        own ^= own >> np.uint64(32)
-        out[: len(own)] = np.minimum(own, _NONE - np.uint64(1))
+        out[: len(own)] = _spread(own)
     for k in range(1, SEED):
         at = offsets[1:] - k
         out[at[at >= offsets[:-1]]] = _NONE
@@ -103,9 +107,10 @@ def _text_of(at: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, at, "right") - 1
 
 
-#: what the parse sends: 48 bits of the hash, document, row, place of the trigger; what it knows already: row, place
-_PARSE = [("h", "u1", 6), ("doc", "<i8", 0), ("row", "<i8", 0), ("at", "<i4", 1)]
-_KNOWN = [("row", "<i8", 0), ("at", "<i4", 1)]
+#: what the parse sends: 32 bits of the hash beside its bucket (which stands for a bounded number of triggers), row, number of the trigger
+#: in it; what it knows already: row, number
+_PARSE = [("h", "<u4", 1), ("row", "<i8", 0), ("k", "<i4", 0)]
+_KNOWN = [("row", "<i8", 0), ("k", "<i4", 0)]
 #: what the dictionary gets: document, row, place of the trigger, room in front and behind, the trigger with the bytes around
 _PHRASE = [("doc", "<i8", 0), ("row", "<i8", 0), ("at", "<i4", 1), ("front", "u1", 1), ("behind", "u1", 1), ("seen", "u1", SPAN)]
 _LOST = [("row", "<i8", 0), ("lo", "<i4", 1), ("hi", "<i4", 1)]
@@ -113,10 +118,15 @@ _BLOB, _FOUND = "bucket int, data binary, n long", "row long, lo long, hi long,
 Arrays = dict[str, np.ndarray]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte: first the lowest byte of each, then the next; high bytes, mostly zero, then take no room when compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
 def _packed(arrays: Arrays, kinds: list[tuple[str, str, int]], pack: zstandard.ZstdCompressor) -> bytes:
     """Arrays behind each other, compressed; those of width 0 as differences."""
-    own = [np.diff(arrays[k], prepend=0) if width == 0 else arrays[k] for k, _, width in kinds]
-    return pack.compress(b"".join(np.ascontiguousarray(x.astype(t, copy=False)).tobytes() for x, (_, t, _) in zip(own, kinds)))
+    own = [(np.diff(arrays[k], prepend=0) if width == 0 else np.ascontiguousarray(arrays[k])).astype(t, copy=False) for k, t, width in kinds]
+    return pack.compress(b"".join([x.tobytes() if width > 1 else _planes(x) for x, (*_, width) in zip(own, kinds)]))
 
 
 def _unpacked(blobs: list[tuple[bytes, int]], kinds: list[tuple[str, str, int]]) -> Arrays:
@@ -125,9 +135,11 @@ def _unpacked(blobs: list[tuple[bytes, int]], kinds: list[tuple[str, str, int]])
     for data, n in blobs:
         raw, at = zstandard.ZstdDecompressor().decompress(data), 0
         for name, kind, width in kinds:
-            own = np.frombuffer(raw, kind, n * max(1, width), at)
-            parts[name].append(np.cumsum(own) if width == 0 else own if width == 1 else own.reshape(n, width))
-            at += own.nbytes
+            size = np.dtype(kind).itemsize * max(1, width) * n
+            own = np.frombuffer(raw, np.uint8, size, at)
+            own = own.reshape(n, width) if width > 1 else np.ascontiguousarray(own.reshape(-1, n).T).view(kind).ravel() if n else np.zeros(0, kind)
+            parts[name].append(np.cumsum(own, dtype=kind) if width == 0 else own)
+            at += size
     return {name: np.concatenate(parts[name]) if parts[name] else np.zeros((0, width) if width > 1 else 0, kind) for name, kind, width in kinds}
 
 
@@ -157,13 +169,31 @@ def _first_of(order: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _zip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts compressed, with their sizes."""
-    pack = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        zipped = pa.array([None if t is None else pack.compress(t) for t in texts], pa.binary())
-        names = [x for x in batch.schema.names if x != "text"]
-        yield pa.RecordBatch.from_arrays([zipped, pa.array([len(t or b"") for t in texts], pa.int64()), *(batch.column(x) for x in names)], ["zip", "size", *names])
+    """The texts compressed, with the distances of their triggers (a byte each: at most REACH + 1)."""
+    pack = zstandard.ZstdCompressor(level=9)
+    for rows, col in text_steps(batches):
+        data, offsets = flat(col)
+        at, _ = triggers(data, offsets)
+        text = _text_of(at, offsets)
+        counts = np.bincount(text, minlength=len(col))
+        place = at - offsets[text]
+        gaps = np.diff(place, prepend=0)
+        first = np.searchsorted(text, np.arange(len(col)))[counts > 0]
+        gaps[first] = place[first]
+        ends = pa.py_buffer(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        gaps = pa.Array.from_buffers(pa.binary(), len(col), [None, ends, pa.py_buffer(gaps.astype(np.uint8))])
+        null = rows.column("text").is_null().to_pylist()
+        zipped = pa.array([None if none else pack.compress(t) for t, none in zip(col.to_pylist(), null)], pa.binary())
+        names = [x for x in rows.schema.names if x != "text"]
+        yield pa.RecordBatch.from_arrays([zipped, gaps, *(rows.column(x) for x in names)], ["zip", "gaps", *names])
+
+
+def _places(gaps: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The text and the place in it of every trigger."""
+    data, offsets = flat(gaps)
+    size = np.diff(offsets)
+    run = np.concatenate([[0], np.cumsum(data, dtype=np.int64)])
+    return np.repeat(np.arange(len(size)), size), run[1:] - np.repeat(run[offsets[:-1]], size)
 
 
 def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -181,39 +211,62 @@ def _unzipped(batches: Iterator[pa.RecordBatch], limit: int = STEP_BYTES) -> Ite
         release()
 
 
+def _hashes_at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The hashes of the SEED bytes at some places, as seed_hashes has them."""
+    seen = np.lib.stride_tricks.sliding_window_view(data, SEED)[at]
+    out = np.zeros(len(at), np.uint64)
+    for c in range(SEED):
+        out = out * _BASE + _BYTES[seen[:, c]]
+    return _spread(out)
+
+
+def _room(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far strings reach in front of and behind each trigger that hold no smaller one (of equal ones, the first counts)."""
+    n = len(at)
+    front, behind = np.full(n, REACH), np.full(n, REACH)
+    for k in range(1, REACH + 1):  # triggers are at most REACH + 1 bytes apart, and at least one
+        far = at[k:] - at[:-k]
+        near = far <= REACH
+        if not near.any():
+            break
+        left, right = near & (h[:-k] <= h[k:]), near & (h[k:] < h[:-k])
+        front[k:][left] = np.minimum(front[k:][left], far[left] - 1)
+        behind[:-k][right] = np.minimum(behind[:-k][right], far[right] - 1)
+    return front, behind
+
+
 def _parse(buckets: int):
-    """Each batch's triggers. Where several documents of the batch have one, its places are told at once (bucket -1), and the
-    smallest and the largest id ask for it, so that others learn that ids differ."""
+    """Each batch's triggers. Where several rows of the batch have one, they are told at once (bucket -1), and the first and
+    the last of these rows ask for it, so that others learn that there are two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         held: list[tuple[np.ndarray, ...]] = []
 
         def told() -> Iterator[pa.RecordBatch]:
-            h, doc, row, place = (np.concatenate(x) for x in zip(*held))
+            h, row, number = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            order = np.argsort(h, kind="stable")
+            order = np.argsort(h, kind="stable")  # rows come in the order of the batch
             if not len(order):
                 return
             start, group = _first_of(order, h)
-            own = doc[order]
-            low, high = np.minimum.reduceat(own, start)[group], np.maximum.reduceat(own, start)[group]
+            last = np.append(start[1:], len(order)) - 1
+            differ = row[order[start]] != row[order[last]]
             several = np.zeros(len(order), bool)
-            several[order] = low != high
+            several[order] = differ[group]
             ask = ~several
-            for end in (low, high):  # one row of the group with that id
-                at = np.nonzero((own == end) & (low != high))[0]
-                ask[order[at[np.unique(group[at], return_index=True)[1]]]] = True
-            wide = h.view(np.uint8).reshape(-1, 8)[:, :6]
-            yield from _dealt({"h": wide[ask], "doc": doc[ask], "row": row[ask], "at": place[ask]}, h[ask], buckets, _PARSE, pack)
+            ask[order[start]] = ask[order[last]] = True
+            short = (h // np.uint64(buckets)).astype(np.uint32)
+            yield from _dealt({"h": short[ask], "row": row[ask], "k": number[ask]}, h[ask], buckets, _PARSE, pack)
             if several.any():
-                yield _rows([(-1, _packed({"row": row[several], "at": place[several]}, _KNOWN, pack), int(several.sum()))])
+                yield _rows([(-1, _packed({"row": row[several], "k": number[several]}, _KNOWN, pack), int(several.sum()))])
 
         for rows, col in _unzipped(batches):
             data, offsets = flat(col)
-            at, h = triggers(data, offsets)
-            text = _text_of(at, offsets)
-            held.append((h, np.asarray(rows.column("_id"))[text], np.asarray(rows.column("_row"))[text], (at - offsets[text]).astype(np.int32)))
+            text, place = _places(rows.column("gaps"))
+            if len(text):
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                held.append((_hashes_at(data, offsets[text] + place), np.asarray(rows.column("_row"))[text], number.astype(np.int32)))
             if sum(len(x[0]) for x in held) >= PARSE_TRIGGERS:
                 yield from told()
         if held:
@@ -223,32 +276,29 @@ def _parse(buckets: int):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, place) of all triggers that several documents have, for the bucket of one partition; what is known goes through."""
+    """(row, number) of all triggers that several rows have, for the bucket of one partition; what is known goes through."""
     release()
 
-    def out(row: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def out(row: np.ndarray, number: np.ndarray) -> Iterator[pa.RecordBatch]:
         for lo in range(0, len(row), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(row[lo : lo + 200_000]), pa.array(at[lo : lo + 200_000])], ["row", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(row[lo : lo + 200_000]), pa.array(number[lo : lo + 200_000])], ["row", "number"])
 
     asked: list[tuple[bytes, int]] = []
     for batch in batches:
         for bucket, data, n in zip(*(batch.column(k).to_pylist() for k in ("bucket", "data", "n"))):
             if bucket < 0:
                 x = _unpacked([(data, n)], _KNOWN)
-                yield from out(x["row"], x["at"])
+                yield from out(x["row"], x["k"])
             else:
                 asked.append((data, n))
     x = _unpacked(asked, _PARSE)
     del asked
-    if len(x["doc"]):
-        h = np.zeros((len(x["doc"]), 8), np.uint8)
-        h[:, :6] = x.pop("h")
-        h = h.view(np.uint64).ravel()
-        order = np.argsort(h, kind="stable")
-        start, group = _first_of(order, h)
-        doc = x["doc"][order]
-        found = order[(np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start))[group]]
-        yield from out(x["row"][found], x["at"][found])
+    if len(x["row"]):
+        order = np.argsort(x["h"], kind="stable")
+        start, group = _first_of(order, x["h"])
+        row = x["row"][order]
+        found = order[(np.minimum.reduceat(row, start) != np.maximum.reduceat(row, start))[group]]
+        yield from out(x["row"][found], x["k"][found])
 
 
 def _hash_rows(x: np.ndarray) -> np.ndarray:
@@ -300,10 +350,10 @@ def _distinct(x: Arrays, buckets: int, core: np.ndarray, pack: zstandard.ZstdCom
 
 
 def _phrases(buckets: int):
-    """The bytes around each repeated trigger."""
+    """The bytes around each repeated trigger that strings reach in which it is the smallest: a string is looked at by that trigger only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=6)
         held: list[Arrays] = []
 
         def dealt() -> Iterator[pa.RecordBatch]:
@@ -314,13 +364,16 @@ def _phrases(buckets: int):
 
         for rows, col in _unzipped(batches):
             data, offsets = flat(col)
-            named = rows.column("places")
-            size = np.diff(np.asarray(named.offsets))
-            text = np.repeat(np.arange(len(col)), size)
-            at = offsets[text] + np.asarray(named.flatten())
-            place = at - offsets[text]
-            front = np.minimum(REACH, place)
-            behind = np.minimum(REACH, offsets[text + 1] - at - SEED)
+            text, place = _places(rows.column("gaps"))
+            at, named = offsets[text] + place, rows.column("numbers")
+            of = np.repeat(np.arange(len(col)), np.diff(np.asarray(named.offsets)))
+            use = np.zeros(len(at), bool)
+            use[np.searchsorted(text, of) + np.asarray(named.flatten())] = True
+            if not use.any():
+                continue
+            front, behind = _room(at, _hashes_at(data, at))
+            text, place, at, front, behind = (v[use] for v in (text, place, at, front, behind))
+            front, behind = np.minimum(front, place), np.minimum(behind, offsets[text + 1] - at - SEED)
             padded = np.concatenate([np.zeros(REACH, np.uint8), data, np.zeros(WINDOW, np.uint8)])
             seen = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[at]
             column = np.arange(SPAN)
@@ -517,17 +570,17 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
     names = [f"_k{i}" for i in range(len(own))]
     spark = docs.sparkSession
     rows = _ranked(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), *(docs[f"`{c}`"].alias(k) for c, k in zip(own, names))))
+    rows = settled(rows)
+    n = max(partitions(spark), int((rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET) + 1)
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
     fields = {f.name: f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema}
-    # a row's number is its name from here on, so the texts are kept with it
-    texts = stored(mapped(rows, _zip, ", ".join(["zip binary, size long", *(v for k, v in fields.items() if k != "text")])))
-    n = max(partitions(spark), int((texts.agg(F.sum("size")).first()[0] or 0) // BUCKET) + 1)
-    dealt = texts.filter("_row IS NOT NULL").repartition(n, "_row")  # both joins take this one exchange, with all its columns
+    # a row's number is its name from here on, so the texts are kept with it; they lie by it, for both joins
+    texts = cut_by(mapped(rows, _zip, ", ".join(["zip binary, gaps binary", *(v for k, v in fields.items() if k != "text")])), n, "_row")
     place = F.when(F.col("bucket") < 0, F.pmod(F.xxhash64("data"), F.lit(n))).otherwise(F.col("bucket")).cast("int")
-    parse = mapped(texts.filter("_id IS NOT NULL").select("zip", "_id", "_row"), _parse(n), _BLOB)
-    repeated = mapped(parse.repartitionById(n, place), _repeated, "row long, place int")
-    named = repeated.groupBy(F.col("row").alias("_of")).agg(F.sort_array(F.collect_set("place")).alias("places"))
-    found = mapped(dealt.join(named, F.col("_row") == F.col("_of")), _phrases(n), _BLOB)
+    parse = mapped(texts.filter("_id IS NOT NULL").select("zip", "gaps", "_row"), _parse(n), _BLOB)
+    repeated = mapped(parse.repartitionById(n, place), _repeated, "row long, number int")
+    named = repeated.groupBy(F.col("row").alias("_of")).agg(F.collect_set("number").alias("numbers"))
+    found = mapped(texts.join(named.hint("merge"), F.col("_row") == F.col("_of")), _phrases(n), _BLOB)
     judged = stored(mapped(found.repartitionById(n, place), _judge(hold), _FOUND))
     lost = judged.filter("row IS NOT NULL").select("row", "lo", "hi")
     if not judged.filter("row IS NULL").isEmpty():
@@ -539,6 +592,6 @@ def deduplicated(docs: DataFrame, with_text: bool = True, keep: list[str] | None
             low = strings.groupBy("string").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").drop("high")
             lost = lost.unionByName(strings.join(low, "string").filter("doc > low").select("row", "lo", (F.col("lo") + WINDOW).alias("hi")))
     spans = lost.groupBy(F.col("row").alias("_of")).agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
-    every = dealt.join(spans, F.col("_row") == F.col("_of"), "left")
+    every = texts.join(spans.hint("merge"), F.col("_row") == F.col("_of"), "left")
     result = ", ".join([*(fields[k] for k in ("doc_id", *names)), "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: long, end: long>>, kept_text string"])
     return mapped(every, _cut(with_text, ["doc_id", *names]), result).withColumnsRenamed(dict(zip(names, own)))
