@@ -42,6 +42,18 @@ def test_near_copies_from_similarity_0_8_go(spark):
     assert sorted(got) == [k for k in range(len(texts)) if group.get(k, k) == k]
 
 
+def test_groups_that_no_task_holds(spark):
+    """Groups of candidates dealt into blocks are the same groups."""
+    from pyspark.sql import functions as F
+
+    from tidewatch.llm.similar import similar
+
+    texts = near_copies(seed=9, bases=6, copies=25)
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    named = lambda df: sorted(tuple(sorted(r.ids)) for r in df.groupBy("component").agg(F.collect_set("doc_id").alias("ids")).collect())
+    assert named(similar(docs, held=12_000)) == named(similar(docs))
+
+
 def test_texts_under_one_id(spark):
     """Both stay, join no groups by their id, and each loses its own passages only."""
     rng = np.random.default_rng(2)

@@ -76,6 +76,13 @@ def test_quality_edges(edge, nothing):
     assert quality.quality(nothing).count() == 0
 
 
+def test_kept_columns_that_are_named_like_results(spark):
+    rows = spark.createDataFrame([(1, "one two three four", 5, 6, "x")], "doc_id long, text string, n_words int, lang_pred int, other string")
+    for out, name in ((quality.quality(rows, keep=["n_words", "other", "text"]), "n_words"), (language.identify(rows, {"en": [b"one two"]}, keep=["lang_pred", "other"]), "lang_pred")):
+        assert len(set(out.columns)) == len(out.columns)
+        assert (out.first()[name], out.first().other) == ({"n_words": 4, "lang_pred": "en"}[name], "x")
+
+
 # ---- licences
 
 

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import flat, mapped, mixed, text_steps
+from tidewatch.llm.common import keepable, flat, mapped, mixed, text_steps
 
 #: Fixed values of the contract: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -158,13 +158,13 @@ def measure(col: pa.Array, min_repeat: int) -> dict[str, np.ndarray]:
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_repeat: int = MAX_REPEAT, keep: list[str] | None = None) -> DataFrame:
     """One row per document with its counts, the base rules' verdict and the final one.
 
-    keep: further columns to hand through (all rows' columns stay apart from the measured names).
+    keep: further columns to hand through; those that are named like a result give way to it.
     """
-    kept = [c for c in keep or [] if c != text_col]
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
+    kept = [c for c in keepable(keep, " ".join([id_col, *counts, "base_failed", "kept"])) if c != text_col]
     own = text_col if text_col in (keep or []) else "_text"
     given_text = [text_col] if own == text_col else []
     schema = docs.select(id_col, *kept, *given_text).schema
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest_repeat")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, col in text_steps(batches, name=own):

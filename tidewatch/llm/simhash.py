@@ -6,11 +6,12 @@ bits with that bit as a wildcard; linked fingerprints then share a key, which an
 verifies. A pair is reported under its first such key only.
 
 Only distinct fingerprints are indexed. A key's fingerprints are read in sorted order as a stream; up to `RUN` of them are linked in
-memory by spanning edges (not by all pairs). The fingerprints of a larger key are indexed again by the bits that the key
-leaves open, at most three times, after which 2^23 different fingerprints can share a key at most.
+memory by spanning edges (not by all pairs). The fingerprints of a larger key are dealt into blocks of about `RUN`; each pair of blocks is one
+task's stream, so none holds more than two blocks.
 
 Defined results: null and empty texts have the fingerprint zero and link like any other; rows without a doc_id get a fingerprint
-and the component of that fingerprint, but don't name or join components; repeated rows give repeated results.
+and the component of that fingerprint, but don't name or join components; repeated rows give repeated results; texts of any length are
+hashed whole; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -92,19 +93,6 @@ def _variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.ravel(), np.tile(fps, len(_TABLES))
 
 
-def _again(keys: np.ndarray, fps: np.ndarray, left: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys within each key, from the bits that it leaves open (by first segment)."""
-    out_k, out_f = [], []
-    for s in range(3):
-        own = np.nonzero(np.array([_TABLES[t][0] for t in keys[:, 0]]) == s)[0] if len(keys) else np.zeros(0, np.int64)
-        for i, seg in enumerate(_cut_bits(left[s])):
-            for p in seg:
-                part = fps[own] & (_mask(seg) & ~_mask([p]))
-                out_k.append(np.column_stack([keys[own, 0], mixed(keys[own, 1].astype(np.uint64) + mixed(part + np.uint64(977 * i + p + 1))).astype(np.int64)]))
-                out_f.append(fps[own])
-    return (np.concatenate(out_k) if out_k else np.zeros((0, 2), np.int64)), (np.concatenate(out_f) if out_f else np.zeros(0, np.uint64))
-
-
 def _reported(x: np.ndarray, table: int) -> np.ndarray:
     """Whether differences x link, and whether this table is the first that holds the pair."""
     s, p = _TABLES[table]
@@ -154,17 +142,15 @@ def _small_runs(keys: np.ndarray, fps: np.ndarray, length: np.ndarray) -> tuple[
 
 
 SMALL = 8
-_PAIR = "kind int, key long, part long, a long, b long"
+_PAIR = "kind int, key long, a long, b long"
 
 
-def _rows(kind: int, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None, part: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
-    none = np.zeros(n, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(none if key is None else key), pa.array(none if part is None else part), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "key", "part", "a", "b"])
+def _rows(kind: int, a: np.ndarray, b: np.ndarray, key: np.ndarray | None = None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(np.zeros(len(a), np.int64) if key is None else key), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["kind", "key", "a", "b"])
 
 
-def _link(last: bool, first: bool):
-    """Turns a stream that is sorted by (key, part) into links (kind 0) and members of too large keys (kind 1)."""
+def _link(first: bool, run_length: int = RUN):
+    """Turns a stream that is sorted by (key, part) into links (kind 0) and, at first, members of too large keys (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -182,8 +168,8 @@ def _link(last: bool, first: bool):
                 yield _rows(0, a, b)
             for s, n in zip(at[sizes > (SMALL if first else 1)], sizes[sizes > (SMALL if first else 1)]):
                 own = slice(s, s + n)
-                if n > RUN and not last:
-                    yield _rows(1, fps[own], fps[own], keys[own], parts[own])
+                if first and n > run_length:
+                    yield _rows(1, fps[own], fps[own], keys[own])
                 else:
                     yield _rows(0, *_spanning(np.sort(fps[own]), int(keys[s]) >> 32 if first else None))
 
@@ -193,10 +179,9 @@ def _link(last: bool, first: bool):
             keys, parts = (np.asarray(batch.column(c)) for c in ("key", "part"))
             fps = np.asarray(batch.column("fp")).view(np.uint64)
             if state["large"] is not None:  # a key that was too large before goes on
-                same = (keys == state["large"][0]) & (parts == state["large"][1])
-                n = len(keys) if same.all() else int(np.argmin(same))
+                n = len(keys) if (keys == state["large"]).all() else int(np.argmin(keys == state["large"]))
                 if n:
-                    yield _rows(1, fps[:n], fps[:n], keys[:n], parts[:n])
+                    yield _rows(1, fps[:n], fps[:n], keys[:n])
                 keys, parts, fps = keys[n:], parts[n:], fps[n:]
                 if not len(keys):
                     continue
@@ -207,16 +192,16 @@ def _link(last: bool, first: bool):
             if tail:
                 yield from finish(keys[:tail], parts[:tail], fps[:tail])
             held = [(keys[tail:].copy(), parts[tail:].copy(), fps[tail:].copy())]
-            if len(keys) - tail > RUN and not last:
-                yield _rows(1, fps[tail:], fps[tail:], keys[tail:], parts[tail:])
-                state["large"], held = (int(keys[-1]), int(parts[-1])), []
+            if first and len(keys) - tail > run_length:
+                yield _rows(1, held[0][2], held[0][2], held[0][0])
+                state["large"], held = int(keys[-1]), []
         if held:
             yield from finish(*held[0])
 
     return run
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, run_length: int = RUN) -> DataFrame:
     """Pairs (a, b) of the distinct fingerprints `fp` whose graph connects what all links of 4 bits or fewer connect."""
     n = partitions(distinct.sparkSession)
 
@@ -227,34 +212,17 @@ def links(distinct: DataFrame) -> DataFrame:
                 keys, own = _variants(fps[lo : lo + 4096])
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.zeros(len(keys), np.int64)), pa.array(own.view(np.int64))], ["key", "part", "fp"])
 
-    def again(depth: int):
-        left = []
-        for s in range(3):
-            bits = [x for x in range(64) if x not in SEGMENTS[s]]
-            for _ in range(depth - 1):
-                bits = [x for i, seg in enumerate(_cut_bits(bits)) if i for x in seg]
-            left.append(bits)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                fps = np.asarray(batch.column("a")).view(np.uint64)
-                pair = np.column_stack([np.asarray(batch.column("key")) >> 32, mixed(np.asarray(batch.column("key")).view(np.uint64) + mixed(np.asarray(batch.column("part")).view(np.uint64))).view(np.int64)])
-                for lo in range(0, len(fps), 4096):
-                    keys, own = _again(pair[lo : lo + 4096], fps[lo : lo + 4096], left)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0] << 32), pa.array(keys[:, 1]), pa.array(own.view(np.int64))], ["key", "part", "fp"])
-
-        return run
-
-    rows, found = mapped(distinct.select("fp"), index, "key long, part long, fp long"), None
-    for depth in (1, 2, 3):
-        out = cut(mapped(rows.repartition(n, "key", "part").sortWithinPartitions("key", "part"), _link(depth == 3, depth == 1), _PAIR))
-        own = out.filter("kind = 0").select("a", "b")
-        found = own if found is None else found.unionAll(own)
-        large = out.filter("kind = 1")
-        if depth == 3 or large.isEmpty():
-            return found
-        rows = mapped(large, again(depth), "key long, part long, fp long")
-    return found
+    def linked(rows: DataFrame, first: bool) -> DataFrame:
+        return cut(mapped(rows.repartition(n, "key", "part").sortWithinPartitions("key", "part"), _link(first, run_length), _PAIR))
+
+    out = linked(mapped(distinct.select("fp"), index, "key long, part long, fp long"), True)
+    found, large = out.filter("kind = 0").select("a", "b"), out.filter("kind = 1").select("key", F.col("a").alias("fp"))
+    if large.isEmpty():
+        return found
+    blocks = large.groupBy("key").agg(F.ceil(F.count("*") / run_length).alias("blocks"))
+    dealt = large.join(blocks, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    part = F.shiftleft(F.least("own", "other"), 31) + F.greatest("own", "other")
+    return found.unionAll(linked(dealt.select("key", part.alias("part"), "fp"), False).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,7 +2,8 @@
 
 SimHash alone doesn't reach 0.8: such a pair differs by about ten of 64 bits. Candidates come from SimHash links (4 bits) and from
 `BANDS` keys of `ROWS` minima of the shingles each, of which a pair at 0.8 shares none once in 350. Candidates only decide which texts are
-compared: the shingle sets of each group of candidates are brought together, once per set, and compared exactly.
+compared: the shingle sets of each group of candidates are brought together, once per set, and compared exactly. A group with more than `HELD`
+bytes of shingles is dealt into blocks, each pair of blocks is one task, and reports spanning edges only.
 
 Texts with the same shingles are one node, named by a hash of the set, whatever their ids.
 """
@@ -22,7 +23,7 @@ from tidewatch.llm.common import cut, mapped, mixed, text_steps
 from tidewatch.llm.components import components
 from tidewatch.llm.simhash import SEED, links, majorities, shingle_hashes
 
-WORDS, BANDS, ROWS = 5, 32, 8
+WORDS, BANDS, ROWS, HELD = 5, 32, 8, 32 << 20
 _FACTORS, _SHIFTS = np.random.default_rng(SEED).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 _FACTORS |= np.uint64(1)
 
@@ -83,7 +84,7 @@ def joined(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar(docs: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, held: int = HELD) -> DataFrame:
     """(doc_id, text_hash, node, component) of every row of docs (doc_id, text) that has an id; component: a name of the group."""
     rows = docs.filter("doc_id IS NOT NULL").selectExpr("cast(doc_id AS long) AS doc_id", "xxhash64(text) AS text_hash", "text")
 
@@ -114,5 +115,16 @@ def similar(docs: DataFrame) -> DataFrame:
     group = cut(components(edges.unionAll(near.select("ra", "rb"))).withColumnRenamed("component", "group_id"))
     asked = nodes.select("node", "doc_id").join(group, "node").select("doc_id").distinct()
     sets = mapped(rows.join(asked, "doc_id", "left_semi").select("text"), contents, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    found = group.join(sets, "node").groupBy("group_id").applyInPandas(exact, "node long, component long")
+    sets = cut(group.join(sets, "node"))
+    sizes = sets.groupBy("group_id").agg(F.sum(F.octet_length("shingles") + 64).alias("size")).withColumn("blocks", F.ceil(F.col("size") / held))
+    large = sizes.filter("blocks > 1").select("group_id", "blocks")
+    if large.isEmpty():
+        found = sets.groupBy("group_id").applyInPandas(exact, "node long, component long")
+    else:
+        found = sets.join(large, "group_id", "left_anti").groupBy("group_id").applyInPandas(exact, "node long, component long")
+        block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+        dealt = sets.join(large, "group_id").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        dealt = dealt.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+        edges = cut(dealt.groupBy("group_id", "low", "high").applyInPandas(exact, "node long, component long").filter("node <> component").distinct())
+        found = found.unionAll(components(edges.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     return marked.select("doc_id", "text_hash", "node").join(found, "node", "left").select("doc_id", "text_hash", "node", F.coalesce("component", "node").alias("component"))
