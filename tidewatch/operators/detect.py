@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import detection as dt
 from tidewatch.functions import spectra as sp
+from tidewatch.operators import tiles
 from tidewatch.operators.ranks import pseudo_observations
 
 KEY = "series_id"
@@ -45,14 +46,13 @@ def curve(df: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np
 # ---- one long series over many tasks: ranks in Spark, moments per interval, then a few hundred small matrices
 
 
-def interval_moments(df: DataFrame, unit: int | None = None, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED) -> DataFrame:
-    """(series_id, interval, cnt, mx, my, mj): moment sums of the features of whole-series ranks per run of `unit` rows, or per
-    one of so many equal pieces of each series, whatever its length.
+def ranked_intervals(df: DataFrame, unit: int | None = None, pieces: int = 160, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+    """(series_id, interval, t, x, y, gx, gy): whole-series ranks with the bandwidths of both sides, by run of `unit` rows, or by one of so
+    many equal pieces of each series, whatever its length.
 
-    Ranks are windows; the bandwidths come from the 400 rows that seed and length choose; each interval is a task's matrix product, so no
-    series has to fit into one task and 4,096 products per row are never rows.
+    Ranks are windows, of long series in ranges of about `block` rows; the bandwidths come from the 400 rows that seed and length choose.
     """
-    u = pseudo_observations(df, [KEY], "t", ["x", "y"]).select(KEY, "t", "n", F.col("x_u").alias("x"), F.col("y_u").alias("y"))
+    u = pseudo_observations(df, [KEY], "t", ["x", "y"], block=block).select(KEY, "t", "n", F.col("x_u").alias("x"), F.col("y_u").alias("y"))
 
     def chosen(batches):
         for pdf in batches:
@@ -73,7 +73,16 @@ def interval_moments(df: DataFrame, unit: int | None = None, pieces: int = 160,
 
     gammas = values.groupBy(KEY, "side").applyInPandas(width, f"{KEY} {kind}, side string, gamma double").groupBy(KEY).agg(F.max(F.when(F.col("side") == "x", F.col("gamma"))).alias("gx"), F.max(F.when(F.col("side") == "y", F.col("gamma"))).alias("gy"))
     place = F.floor((F.col("t") - 1) / unit) if unit else F.floor((F.col("t") - 1) * pieces / F.col("n"))
-    rows = u.withColumn("interval", place.cast("long")).join(gammas, KEY)
+    return u.withColumn("interval", place.cast("long")).join(gammas, KEY).select(KEY, "interval", "t", "x", "y", "gx", "gy")
+
+
+def interval_moments(df: DataFrame, unit: int | None = None, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+    """(series_id, interval, cnt, mx, my, mj): moment sums of the features of whole-series ranks per interval.
+
+    Each interval is a task's matrix product, so no series has to fit into one task (its ranks neither, with `block`) and 4,096 products per
+    row are never rows.
+    """
+    rows, kind = ranked_intervals(df, unit, pieces, seed, block), df.schema[KEY].dataType.simpleString()
 
     def moments(pdf: pd.DataFrame) -> pd.DataFrame:
         fx = sp.features(pdf["x"].to_numpy()[:, None], size, seed, pdf["gx"].iloc[0])
@@ -139,6 +148,82 @@ def moment_test(moments: DataFrame, replicas: int, chunks: int, seed: int, block
     return permutation_p(studentized_maxima(curves, [KEY]), [KEY])
 
 
+def dense_curve(df: DataFrame, w: int = 60, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+    """(series_id, t, q): the weighted difference of information at every split w <= t <= n - w.
+
+    An interval's task starts from the moments in front of it and adds its own rows one by one, so a long series is as many tasks as pieces.
+    """
+    rows, kind = ranked_intervals(df, None, pieces, seed, block), df.schema[KEY].dataType.simpleString()
+
+    def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("interval")
+        out = {KEY: pdf[KEY], "interval": pdf["interval"], "n": pdf["cnt"].sum()}
+        for c in ("mx", "my", "mj"):
+            sums = np.cumsum(np.stack(pdf[c].to_numpy()), axis=0)
+            out |= {c: list(np.concatenate([np.zeros_like(sums[:1]), sums[:-1]])), f"{c}_all": [sums[-1]] * len(pdf)}
+        return pd.DataFrame(out)
+
+    arrays = ", ".join(f"{c} array<double>, {c}_all array<double>" for c in ("mx", "my", "mj"))
+    before = interval_moments(df, None, pieces, size, seed, block).groupBy(KEY).applyInPandas(ahead, f"{KEY} {kind}, interval long, n long, {arrays}")
+
+    def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        own, first = own.sort_values("t"), start.iloc[0]
+        t, n = own["t"].to_numpy(), int(first["n"])
+        fx = sp.features(own["x"].to_numpy()[:, None], size, seed, own["gx"].iloc[0])
+        fy = sp.features(own["y"].to_numpy()[:, None], size, seed + 1, own["gy"].iloc[0])
+        found = []
+        for lo in range(0, len(t), 64):  # 64 rows' moments at a time
+            sides = []
+            for c, f in (("mx", fx), ("my", fy), ("mj", sp.products(fx, fy))):
+                d = f.shape[1]
+                f0, part = f[:lo], f[lo : lo + 64]
+                left = np.reshape(first[c], (d, d)) + f0.T @ f0 + np.cumsum(part[:, :, None] * part[:, None, :], axis=0)
+                sides.append((left, np.reshape(first[f"{c}_all"], (d, d)) - left))
+            ok = (t[lo : lo + 64] >= w) & (t[lo : lo + 64] <= n - w)
+            if ok.any():
+                left, right = (sp.mutual_information(*(s[k][ok] for s in sides)) for k in (0, 1))
+                at = t[lo : lo + 64][ok]
+                found.append(pd.DataFrame({KEY: own[KEY].iloc[0], "t": at, "q": np.sqrt(at * (n - at) / n) * np.abs(left - right)}))
+        return pd.concat(found) if found else pd.DataFrame()
+
+    return rows.groupBy(KEY, "interval").cogroup(before.groupBy(KEY, "interval")).applyInPandas(run, f"{KEY} {kind}, t long, q double")
+
+
+Shuffle = Callable[[np.ndarray, np.ndarray, int, np.random.Generator], tuple[np.ndarray, np.ndarray]]
+
+
+def pairs_shuffled(x: np.ndarray, y: np.ndarray, block: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs in another order, or blocks of pairs if `block` isn't 0 (a short last block stays last)."""
+    o = dt.block_order(len(x), block, rng) if block else dt.pair_order(len(x), rng)
+    return x[o], y[o]
+
+
+def replica_curves(df: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], replicas: int, chunks: int, seed: int, shuffled: Shuffle = pairs_shuffled, grid: Callable[[int], np.ndarray] = sp.fraction_grid) -> DataFrame:
+    """(series_id, replica, t, q): the curve of each series (replica 0) and of its shuffled copies, rows (series_id, t, n, x, y and, if
+    blocks are wanted, block). Each copy has a seed of its own, and a series' copies are dealt to `chunks` tasks."""
+    blocks = df.groupBy(KEY).agg(F.max("block" if "block" in df.columns else F.lit(0)).cast("int").alias("block"))
+    spread = tiles.columns(df, "xy").join(blocks, KEY).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    kind = df.schema[KEY].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, block, out = np.array(pdf["x"].iloc[0]), np.array(pdf["y"].iloc[0]), int(pdf["block"].iloc[0]), []
+        t = grid(len(x))
+        for k in range(int(pdf["chunk"].iloc[0]), replicas + 1, chunks):
+            a, b = (x, y) if k == 0 else shuffled(x, y, block, np.random.default_rng([seed, k]))
+            out.append(pd.DataFrame({KEY: pdf[KEY].iloc[0], "replica": k, "t": t.astype(np.int64), "q": make(a, b, t)}))
+        return pd.concat(out) if out and len(t) else pd.DataFrame()
+
+    return spread.groupBy(KEY, "chunk").applyInPandas(run, f"{KEY} {kind}, replica long, t long, q double")
+
+
+def permutation_test(df: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], replicas: int, chunks: int, seed: int, shuffled: Shuffle = pairs_shuffled) -> DataFrame:
+    """(series_id, t_max, tau, p): everything is made anew for each copy; studentizing and counting are aggregates over all copies."""
+    from tidewatch.operators.evaluate import permutation_p, studentized_maxima
+
+    found = permutation_p(studentized_maxima(replica_curves(df, make, replicas, chunks, seed, shuffled), [KEY]), [KEY])
+    return found.withColumnRenamed("observed", "t_max")
+
+
 def moment_costs(moments: DataFrame) -> DataFrame:
     """(series_id, i, j, c): trace times entropy of every run of intervals, from moment sums of the joint features."""
 

@@ -30,6 +30,13 @@ def running_sums(df: DataFrame, keys: Sequence[str], order: str, sums: dict[str,
     return out.withColumns(zero).drop("_run", *(f"_{n}" for n in sums))
 
 
+def rank_splits(df: DataFrame, column: str, block: int) -> list[float]:
+    """Values that cut all rows into ranges of about `block` rows (a value that very many rows share stays in one range)."""
+    parts = -(-df.count() // block)
+    found = df.approxQuantile(column, [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    return sorted({float(v) for v in found})
+
+
 def ordinal_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, splits: Sequence[float] | None = None) -> DataFrame:
     """Add the ordinal rank 1..n within the keys. With `splits` (ascending values of the first order column) the ranking is
     made within the ranges between them and shifted by the sizes of the lower ranges, so that one series is several tasks."""

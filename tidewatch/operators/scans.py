@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions.spectra import fraction_grid
 from tidewatch.operators import tiles
-from tidewatch.operators.prefix import ordinal_ranks, running_sums
+from tidewatch.operators.prefix import ordinal_ranks, rank_splits, running_sums
 
 KEY = ["series_id"]
 
@@ -29,29 +29,42 @@ def on_grid(df: DataFrame, w: int) -> DataFrame:
     return df.filter((F.col("t") >= w) & (F.col("t") <= F.col("n") - w))
 
 
-def with_totals(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Add each running sum's value at the end of the series as <name>_all."""
-    last = df.filter(F.col("t") == F.col("n")).select("series_id", *(F.col(c).alias(f"{c}_all") for c in names))
-    return df.join(last, KEY)
+def accumulated(df: DataFrame, sums: dict[str, str], block: int | None = None) -> DataFrame:
+    """Running sums and, as <name>_all, those of the whole series (a long series' as one row of aggregates)."""
+    run = running_sums(df, KEY, "t", sums, block)
+    if block is None:
+        every = Window.partitionBy("series_id").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return run.withColumns({f"{c}_all": F.last(c).over(every) for c in sums})
+    return run.join(df.groupBy(*KEY).agg(*(F.sum(F.expr(e)).alias(f"{c}_all") for c, e in sums.items())), KEY)
 
 
 def weight() -> Column:
     return d("t") * (d("n") - d("t")) / d("n")
 
 
-def centred_ranks(df: DataFrame) -> DataFrame:
-    """Integers a = 2 rank(x) - (n + 1) and b for y: sums of their products are exact up to series of a million rows."""
-    ranked = ordinal_ranks(ordinal_ranks(df, KEY, ["x", "t"], "_rx"), KEY, ["y", "t"], "_ry")
-    return ranked.withColumns({"a": 2 * F.col("_rx") - F.col("n") - 1, "b": 2 * F.col("_ry") - F.col("n") - 1}).drop("_rx", "_ry")
+def ranked(df: DataFrame, block: int | None = None) -> DataFrame:
+    """Ordinal ranks _rx and _ry of x and y, ties in order of time; those of long series within ranges of about `block` rows."""
+    for c in ("x", "y"):
+        df = ordinal_ranks(df, KEY, [c, "t"], f"_r{c}", rank_splits(df, c, block) if block else None)
+    return df
+
+
+def centred_ranks(df: DataFrame, block: int | None = None) -> DataFrame:
+    """Integers a = 2 rank(x) - (n + 1) and b for y."""
+    return ranked(df, block).withColumns({"a": 2 * F.col("_rx") - F.col("n") - 1, "b": 2 * F.col("_ry") - F.col("n") - 1}).drop("_rx", "_ry")
 
 
 def spearman_scan(df: DataFrame, w: int = 60, block: int | None = None) -> DataFrame:
-    """sqrt(weight) times the absolute difference of the segments' correlations of whole-series ranks."""
-    sums = {"sa": "a", "sb": "b", "saa": "a * a", "sbb": "b * b", "sab": "a * b"}
-    run = with_totals(running_sums(centred_ranks(df), KEY, "t", sums, block), list(sums))
+    """sqrt(weight) times the absolute difference of the segments' correlations of whole-series ranks.
+
+    Sums of products are exact whatever the length: in two words, the upper one counting 2^31.
+    """
+    sums = {"sa": "a", "sb": "b"} | {f"s{p}_{word}": how.format(" * ".join(p)) for p in ("aa", "bb", "ab") for word, how in (("h", "shiftright({}, 31)"), ("l", "({}) & 2147483647L"))}
+    run = accumulated(centred_ranks(df, block), sums, block)
 
     def rho(part: str, m: Column) -> Column:
-        of = lambda c: d(c) if part == "left" else d(F.col(f"{c}_all") - F.col(c))
+        one = lambda c: d(c) if part == "left" else d(F.col(f"{c}_all") - F.col(c))
+        of = lambda c: one(c) if len(c) == 2 else one(f"{c}_h") * 2147483648.0 + one(f"{c}_l")
         unit = 4.0 * (d("n") + 1) * (d("n") + 1)
         ma, mb = of("sa") / m, of("sb") / m
         return ((of("sab") / m - ma * mb) / unit) / F.sqrt((of("saa") / m - ma * ma) / unit * ((of("sbb") / m - mb * mb) / unit) + F.lit(1e-12))
@@ -63,7 +76,7 @@ def spearman_scan(df: DataFrame, w: int = 60, block: int | None = None) -> DataF
 def gauss_lr_scan(df: DataFrame, w: int = 60, ridge: float = 1e-3) -> DataFrame:
     """n logdet C - n1 logdet C1 - n2 logdet C2 with ridged 2x2 covariances in closed form."""
     sums = {"sx": "x", "sy": "y", "sxx": "x * x", "syy": "y * y", "sxy": "x * y"}
-    run = on_grid(with_totals(running_sums(df, KEY, "t", sums), list(sums)), w)
+    run = on_grid(accumulated(df, sums), w)
 
     def logdet(part: str, m: Column) -> Column:
         of = lambda c: {"left": d(c), "right": d(f"{c}_all") - d(c), "all": d(f"{c}_all")}[part]
@@ -83,7 +96,7 @@ def corr_cusum(df: DataFrame, w: int = 60) -> DataFrame:
     every = Window.partitionBy("series_id")
     std = df.withColumns({f"z{c}": F.try_divide(F.col(c) - F.avg(c).over(every), F.stddev_pop(c).over(every)) for c in ("x", "y")})
     sums = {"cxy": "zx * zy", "cx": "zx * zx", "cy": "zy * zy"}
-    run = with_totals(running_sums(std, KEY, "t", sums), list(sums))
+    run = accumulated(std, sums)
     rho = lambda s: F.try_divide(F.col(f"cxy{s}"), F.sqrt(F.col(f"cx{s}") * F.col(f"cy{s}")))
     return on_grid(run, w).select("series_id", "t", (d("t") / F.sqrt(d("n")) * F.abs(rho("") - rho("_all"))).alias("q"))
 
@@ -91,7 +104,7 @@ def corr_cusum(df: DataFrame, w: int = 60) -> DataFrame:
 def scale_scan(df: DataFrame, lo: int = 3) -> DataFrame:
     """From interval sums (series_id, t, s1, s2, cnt; n intervals): weighted difference of log standard deviations."""
     sums = {"c1": "s1", "c2": "s2", "cn": "cnt"}
-    run = on_grid(with_totals(running_sums(df, KEY, "t", sums), list(sums)), lo)
+    run = on_grid(accumulated(df, sums), lo)
     nl, nr = d("cn"), d("cn_all") - d("cn")
     vl = F.col("c2") / nl - F.pow(F.col("c1") / nl, 2)
     vr = (F.col("c2_all") - F.col("c2")) / nr - F.pow((F.col("c1_all") - F.col("c1")) / nr, 2)
@@ -102,7 +115,7 @@ def scale_scan(df: DataFrame, lo: int = 3) -> DataFrame:
 def bg_tstat(df: DataFrame, l0: int = 25) -> DataFrame:
     """Pooled-variance t statistic of the difference of means of x."""
     sums = {"c1": "x", "c2": "x * x"}
-    run = on_grid(with_totals(running_sums(df, KEY, "t", sums), list(sums)), l0)
+    run = on_grid(accumulated(df, sums), l0)
     nl, nr = d("t"), d("n") - d("t")
     ml, mr = F.col("c1") / nl, (F.col("c1_all") - F.col("c1")) / nr
     ss = F.greatest(F.col("c2") - nl * ml * ml, F.lit(0.0)) + F.greatest(F.col("c2_all") - F.col("c2") - nr * mr * mr, F.lit(0.0))
@@ -122,8 +135,7 @@ def row_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def rank_units(df: DataFrame) -> DataFrame:
     """x and y replaced by their ranks over n + 1."""
-    ranked = ordinal_ranks(ordinal_ranks(df, KEY, ["x", "t"], "_rx"), KEY, ["y", "t"], "_ry")
-    return ranked.select("series_id", "t", "n", (F.col("_rx") / (F.col("n") + 1.0)).alias("x"), (F.col("_ry") / (F.col("n") + 1.0)).alias("y"))
+    return ranked(df).select("series_id", "t", "n", (F.col("_rx") / (F.col("n") + 1.0)).alias("x"), (F.col("_ry") / (F.col("n") + 1.0)).alias("y"))
 
 
 def median_square_distance(pairs: DataFrame, expr: Column, name: str) -> DataFrame:
@@ -290,7 +302,7 @@ def feature_scan(df: DataFrame, features: tuple[Sequence[float], Sequence[float]
     """
     rows, fx, fy = _unit_features(rank_units(df), features)
     sums = {f"s_{a}_{b}": f"{a} * {b}" for a in fx for b in fy} | {f"s_{a}": a for a in (*fx, *fy)} if kind == "hsic" else {f"s_{a}_{b}": f"{a} * {b}" for a in fx for b in fx if a <= b}
-    run = on_grid(with_totals(running_sums(rows.select("series_id", "t", "n", *fx, *fy), KEY, "t", sums), list(sums)), w)
+    run = on_grid(accumulated(rows.select("series_id", "t", "n", *fx, *fy), sums), w)
     left, right = d("t"), d("n") - d("t")
     of = lambda c, part: F.col(c) / left if part == "left" else (F.col(f"{c}_all") - F.col(c)) / right
     if kind == "hsic":
@@ -307,7 +319,7 @@ def order2_information_scan(df: DataFrame, features: tuple[Sequence[float], Sequ
     px, py = half(fx), half(fy)
     sums = {f"x_{a}_{b}": f"{a} * {b}" for a, b in px} | {f"y_{a}_{b}": f"{a} * {b}" for a, b in py}
     sums |= {f"j_{a}_{b}_{c}_{e}": f"{a} * {b} * {c} * {e}" for a, b in px for c, e in py}
-    run = on_grid(with_totals(running_sums(rows.select("series_id", "t", "n", *fx, *fy), KEY, "t", sums), list(sums)), w)
+    run = on_grid(accumulated(rows.select("series_id", "t", "n", *fx, *fy), sums), w)
     left, right = d("t"), d("n") - d("t")
     of = lambda c, part: F.col(c) / left if part == "left" else (F.col(f"{c}_all") - F.col(c)) / right
     times = lambda *p: float(2 ** sum(a != b for a, b in p))

@@ -16,18 +16,23 @@ from tidewatch.operators.ranks import correlation
 LABELS = ("dependence change", "both change", "marginal change", "no change")
 
 
-def panel(df: DataFrame, replicas: int, seed: int) -> DataFrame:
-    """Series (series_id, t, x, y, n) to verdicts: exchangeability decides pair or block permutations, one test a series, q-values over
-    the panel, and what the two segments look like."""
+def adaptive(df: DataFrame, replicas: int, chunks: int, seed: int, least: int = 1, diagnostic_seed: int = 0) -> DataFrame:
+    """(series_id, block, t_max, tau, p): exchangeability decides between permutations of pairs and of blocks, then the test of one break."""
 
     def one(x: np.ndarray, y: np.ndarray) -> dict:
-        e = dt.exchangeability(x, y, replicas=39, seed=seed)
-        block = min(max(e["length"], 2), max(len(x) // 4, 1)) if e["block"] else None
-        grid = sp.fraction_grid(len(x))
-        t, tau, p = dt.break_test(x, y, grid, dt.information_of(grid), replicas, seed, block=block)
-        return {"block": block or 0, "t_max": t, "tau": tau, "p": p}
+        e = dt.exchangeability(x, y, replicas=39, seed=diagnostic_seed)
+        return {"block": min(max(e["length"], least), max(len(x) // 4, 1)) if e["block"] else 0}
+
+    blocks = detect.by_series(df, one, "block int")
+    make = lambda x, y, t: dt.information_curve(*sp.pair_features(x, y, dt.DIM, dt.SEED), t)
+    tests = detect.permutation_test(df.join(blocks, "series_id"), make, replicas, chunks, seed)
+    return blocks.join(tests, "series_id")
 
-    tests = detect.by_series(df, one, "block int, t_max double, tau long, p double").withColumn("family", F.lit(1))
+
+def panel(df: DataFrame, replicas: int, chunks: int, seed: int) -> DataFrame:
+    """Series (series_id, t, x, y, n) to verdicts: exchangeability decides pair or block permutations, one test a series, q-values over
+    the panel, and what the two segments look like."""
+    tests = adaptive(df, replicas, chunks, seed, least=2, diagnostic_seed=seed).withColumn("family", F.lit(1))
     tests = evaluate.step_up_q(evaluate.step_up_q(tests, ["family"], "p", "q"), ["family"], "p", "q_dependent", True).drop("family")
     cut = df.join(tests.select("series_id", "tau"), "series_id").withColumn("late", F.col("t") > F.col("tau"))
     side = cut.groupBy("series_id").agg(*(correlation(F.when(c, F.col("x")), F.when(c, F.col("y"))).alias(n) for c, n in ((~F.col("late"), "r_before"), (F.col("late"), "r_after"))))

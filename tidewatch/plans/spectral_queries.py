@@ -36,6 +36,12 @@ def i3_information_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(detect.moment_curve(detect.interval_moments(pairs(spark, sf_dir))), "q")
 
 
+@query()
+def i3_dense_information_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every split of every hourly series."""
+    return rounded(detect.dense_curve(hourly(spark, sf_dir), w=20, pieces=16), "q")
+
+
 @query()
 def i1_i25_information_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     def one(x, y):
@@ -156,18 +162,22 @@ def i27_feature_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scan(spark, sf_dir, make)
 
 
-def _tests(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    return rounded(detect.by_series(hourly(spark, sf_dir), lambda x, y: dict(zip(("t_max", "tau", "p"), make(x, y))), "t_max double, tau long, p double"), "t_max", "p")
+def _information(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    return dt.information_curve(*_features(x, y), t)
+
+
+def _tests(df: DataFrame, replicas: int, seed: int, make=_information, **shuffled) -> DataFrame:
+    return rounded(detect.permutation_test(df, make, replicas, CHUNKS, seed, **shuffled), "t_max", "p")
 
 
 @query()
 def j1_j11_pair_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1))(sp.fraction_grid(len(x))))
+    return _tests(hourly(spark, sf_dir), 19, 1)
 
 
 @query()
 def j2_block_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tests(spark, sf_dir, lambda x, y: (lambda g: dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=12))(sp.fraction_grid(len(x))))
+    return _tests(hourly(spark, sf_dir).withColumn("block", F.lit(12)), 19, 1)
 
 
 @query()
@@ -185,41 +195,31 @@ def j3_stratified_permutation_test(spark: SparkSession, sf_dir: str) -> DataFram
 @query()
 def j4_one_sided_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The invalid control: y alone is shuffled."""
-
-    def test(x, y):
-        g, rng = sp.fraction_grid(len(x)), np.random.default_rng(3)
-        c = dt.information_of(g)
-        return dt.symmetric_test(np.array([c(x, y), *(c(x, rng.permutation(y)) for _ in range(19))]), g)
-
-    return _tests(spark, sf_dir, test)
+    return _tests(hourly(spark, sf_dir), 19, 3, shuffled=lambda x, y, _, rng: (x, rng.permutation(y)))
 
 
 @query()
 def j5_reused_features_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features made once and permuted, instead of made anew for each copy."""
+    """Features made once and permuted, instead of made anew for each copy: copies are orders of the feature rows."""
 
-    def test(x, y):
-        g, rng = sp.fraction_grid(len(x)), np.random.default_rng(1)
-        fx, fy = _features(x, y)
-        rows = [dt.information_curve(fx, fy, g)]
-        for _ in range(19):
-            o = rng.permutation(len(x))
-            rows.append(dt.information_curve(fx[o], fy[o], g))
-        return dt.symmetric_test(np.array(rows), g)
+    def ordered(x, y, _, rng):
+        return np.column_stack([x, y]), rng.permutation(len(x))
 
-    return _tests(spark, sf_dir, test)
+    def make(x, y, t):
+        if x.ndim == 1:
+            return _information(x, y, t)
+        fx, fy = _features(*x.T)
+        return dt.information_curve(fx[y], fy[y], t)
+
+    return _tests(hourly(spark, sf_dir), 19, 1, make=make, shuffled=ordered)
 
 
 @query()
 def j12_adaptive_protocol(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def one(x, y):
-        e = dt.exchangeability(x, y, replicas=39)
-        block = min(max(e["length"], 1), len(x) // 4) if e["block"] else None
-        g = sp.fraction_grid(len(x))
-        t, tau, p = dt.break_test(x, y, g, dt.information_of(g), 19, 1, block=block)
-        return {"block": block or 0, "t_max": t, "tau": tau, "p": p}
+    """The diagnostic decides between pairs and blocks, then the test."""
+    from tidewatch.plans.pipelines import adaptive
 
-    return rounded(detect.by_series(hourly(spark, sf_dir), one, "block int, t_max double, tau long, p double"), "t_max", "p")
+    return rounded(adaptive(hourly(spark, sf_dir), 19, CHUNKS, 1, least=1), "t_max", "p")
 
 
 @query()
@@ -426,7 +426,7 @@ def h9_bias_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewatch.plans.pipelines import panel
 
-    return rounded(panel(hourly(spark, sf_dir), 19, 3), "t_max", "p", "q", "q_dependent", "r_before", "r_after")
+    return rounded(panel(hourly(spark, sf_dir), 19, CHUNKS, 3), "t_max", "p", "q", "q_dependent", "r_before", "r_after")
 
 
 @query()
