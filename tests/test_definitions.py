@@ -779,6 +779,15 @@ def test_power_study(run):
         assert row.power == pytest.approx(np.mean([f and abs(t - 300) <= 30 for f, t in found]))
 
 
+def test_study_with_the_lowest_null(run):
+    got = run("j14_lowest_null_study").set_index("level")
+    grid = dt.dense(600, 60)[::10]
+    curve = lambda level, idx, rep, null: dt.information_curve(*sp.pair_features(*generate("M2", level, rep, null=null, level_idx=idx).T), grid)
+    threshold = np.quantile([max(curve(0.3, 0, r, True)) for r in range(12)], 0.95)
+    for level, idx in ((0.5, 1), (0.9, 3)):
+        assert got.loc[level].detect_rate == pytest.approx(np.mean([curve(level, idx, r, False).max() > threshold for r in range(12)]), abs=TOL)
+
+
 def test_bandwidths_entropies_and_bias(run, events):
     for key, (x, y) in events[1].items():
         row = run("h1_bandwidths").set_index("series_id").loc[key]

@@ -154,3 +154,11 @@ def test_ranks_and_moments_in_ranges(spark):
     assert {(r.series_id, r.t): r.q for r in scans.spearman_scan(df, block=128).collect()} == pytest.approx(plain)
     cells = lambda m: {(r.series_id, r.interval): sum(r.mj) for r in m.collect()}
     assert cells(detect.interval_moments(df, pieces=10, block=200)) == pytest.approx(cells(detect.interval_moments(df, pieces=10)))
+
+
+def test_printed_arrays_and_changed_inputs(spark, tmp_path):
+    frame = spark.createDataFrame([("[1, 2.5  3]",), ("[]",), (None,), ("(4,)",)], "v string").select(readers.printed_array("v").alias("a"))
+    assert [r.a for r in frame.collect()] == [[1.0, 2.5, 3.0], [], None, [4.0]]
+    (tmp_path / "a.bin").write_bytes(b"x")
+    with pytest.raises(ValueError, match="b.bin"):
+        readers.checked(spark, str(tmp_path / "*.bin"), {"a.bin": hashlib.sha256(b"x").hexdigest(), "b.bin": "0"})

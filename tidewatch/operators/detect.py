@@ -257,18 +257,24 @@ def generated(reps: DataFrame, n: int = 600, tau: int = 300) -> DataFrame:
     return reps.mapInPandas(run, "scen string, level double, rep long, is_null boolean, t long, x double, y double")
 
 
-def power_study(spark, cells: Sequence[tuple[str, float, int]], reps: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], alpha: float = 0.05, tau: int = 300, tol: int = 30, w: int = 60) -> DataFrame:
-    """Monte Carlo power: curves of null and alternative replicates, the null's threshold, verdicts and their summary per cell."""
+def power_study(spark, cells: Sequence[tuple[str, float, int]], reps: int, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], alpha: float = 0.05, tau: int = 300, tol: int = 30, w: int = 60, lowest: Sequence[tuple[str, float, int]] | None = None) -> DataFrame:
+    """Monte Carlo power: curves of null and alternative replicates, the null's threshold, verdicts and their summary per cell.
+
+    Thresholds come from each cell's own null; `lowest` names one cell a scenario instead whose null serves all its levels.
+    """
     from tidewatch.operators.evaluate import power_summary, verdicts
 
     keys = ["scen", "level", "rep"]
 
+    on = ["scen"] if lowest else ["scen", "level"]
+
     def curves(null: bool) -> DataFrame:
+        own = lowest if null and lowest else cells
         one = lambda x, y: (lambda g: {"t": g.astype(np.int64), "q": make(x, y, g)})(dt.dense(len(x), w)[::10])
-        return by_series(generated(replicates(spark, cells, reps, null)), one, "t long, q double", keys)
+        return by_series(generated(replicates(spark, own, reps, null)), one, "t long, q double", keys)
 
-    top = curves(True).groupBy(*keys).agg(F.max("q").alias("m")).groupBy("scen", "level").agg(F.percentile("m", F.lit(1 - alpha)).alias("threshold"))
-    return power_summary(verdicts(curves(False), keys, top, ["scen", "level"], tau, tol), ["scen", "level"])
+    top = curves(True).groupBy(*keys).agg(F.max("q").alias("m")).groupBy(*on).agg(F.percentile("m", F.lit(1 - alpha)).alias("threshold"))
+    return power_summary(verdicts(curves(False), keys, top, on, tau, tol), ["scen", "level"])
 
 
 def random_dates(df: DataFrame, keys: Sequence[str], t: str, per: int, margin: int, seed: int) -> DataFrame:

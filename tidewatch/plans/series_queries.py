@@ -10,6 +10,7 @@ from tidewatch.operators import ranks, series
 from tidewatch.operators.prefix import ordinal_ranks
 from tidewatch.plans.fixtures import CLOSES, HOURLY, PAIRS, closes, hourly, pairs, rounded, table
 from tidewatch.plans.registry import query
+from tidewatch.sources import readers, writers
 from tidewatch.sources.readers import json_fields
 
 KEY = ["series_id"]
@@ -71,6 +72,31 @@ def b4_provenance_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scen", F.lit("mean").alias("method"), "ok", "printed", F.lit("orders").alias("file"))
 
 
+_AGGREGATE = """SELECT o_orderpriority AS method, o_orderstatus AS scen, count(*) AS n_reps, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM orders GROUP BY ALL"""
+
+
+@query(_AGGREGATE)
+def b2_written_and_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Aggregates as one CSV file and one of JSON lines, joined after reading: both hold the same rows."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("method"), F.col("o_orderstatus").alias("scen")).agg(F.count("*").alias("n_reps"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+    folder = writers.scratch(spark)
+    for kind in ("csv", "json"):
+        writers.write_aggregate(rows, f"{folder}/{kind}", kind)
+    back = spark.read.csv(f"{folder}/csv", header=True, schema="method string, scen string, n_reps long, cents long")
+    return back.join(spark.read.schema("method string, scen string, n_reps long, cents long").json(f"{folder}/json"), ["method", "scen", "n_reps", "cents"])
+
+
+@query("""SELECT CAST(o_custkey AS BIGINT) AS key, count(*) AS n, CAST(max(o_orderkey) AS DOUBLE) AS last FROM orders GROUP BY 1""")
+def a6_result_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed result files with printed lists, read back: their lengths and last entries."""
+    lists = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
+    printed = lists.select("key", F.concat(F.lit("["), F.array_join(F.transform("keys", lambda k: k.cast("string")), ", "), F.lit("]")).alias("cps"))
+    folder = writers.scratch(spark)
+    printed.write.option("header", True).option("compression", "gzip").csv(folder)
+    back = spark.read.csv(folder, header=True, schema="key long, cps string").withColumn("cps", readers.printed_array("cps"))
+    return back.select("key", F.size("cps").cast("long").alias("n"), F.element_at("cps", -1).alias("last"))
+
+
 # ---- series building (C)
 
 

@@ -382,8 +382,15 @@ def g_generated_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def e1_power_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    make = lambda x, y, t: dt.information_curve(*_features(x, y), t)
-    return rounded(detect.power_study(spark, [("D1", 0.7, 2), ("D2", 0.9, 2)], 12, make), "power", "detect_rate", "loc_err_median")
+    """Thresholds from each level's own null."""
+    return rounded(detect.power_study(spark, [("D1", 0.7, 2), ("D2", 0.9, 2)], 12, _information), "power", "detect_rate", "loc_err_median")
+
+
+@query()
+def j14_lowest_null_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds from the null of the scenario's lowest level."""
+    out = detect.power_study(spark, [("M2", 0.5, 1), ("M2", 0.9, 3)], 12, _information, lowest=[("M2", 0.3, 0)])
+    return rounded(out, "power", "detect_rate", "loc_err_median")
 
 
 @query()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import missing_to_null
@@ -40,12 +40,27 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path) if ".json" in path else spark.read.csv(path, header=True, inferSchema=True)
 
 
+def printed_array(column: str) -> Column:
+    """A list of numbers that was printed to text, with brackets, commas or blanks: as an array; empty for an empty list, null for null."""
+    parts = F.filter(F.split(F.translate(column, "[](),", "     "), r"\s+"), lambda x: x != "")
+    return F.transform(parts, lambda x: x.try_cast("double"))
+
+
+#: Bytes of a file that is taken as one value to be fingerprinted.
+WHOLE = 1 << 30
+
+
 def checked(spark: SparkSession, path: str, fingerprints: dict[str, str]) -> None:
-    """Raise if the SHA-256 of a file isn't the one that was noted."""
-    found = {r[0].rsplit("/", 1)[-1]: r[1] for r in spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256)).collect()}
-    wrong = [k for k, v in fingerprints.items() if found.get(k) != v]
+    """Raise if the SHA-256 of a file isn't the one that was noted; only files that differ come to the driver."""
+    files = spark.read.format("binaryFile").load(path)
+    large = files.filter(F.col("length") > WHOLE).select("path").limit(1).collect()
+    if large:
+        raise ValueError(f"{large[0][0]} has more than {WHOLE} bytes: fingerprint it by its rows")
+    noted = spark.createDataFrame(list(fingerprints.items()), "name string, noted string")
+    found = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("seen"))
+    wrong = noted.join(found, "name", "left").filter(~F.col("seen").eqNullSafe(F.col("noted"))).select("name").limit(20).collect()
     if wrong:
-        raise ValueError(f"inputs changed: {', '.join(sorted(wrong))}")
+        raise ValueError(f"inputs changed: {', '.join(sorted(r[0] for r in wrong))}")
 
 
 def json_fields(df: DataFrame, col: str, schema: str) -> DataFrame:

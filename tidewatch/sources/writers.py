@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder's path where all executors can write: in the checkpoint folder, on this machine only where all runs on it."""
+    set_ = spark.sparkContext._jsc.sc().getCheckpointDir()
+    root = set_.get() if set_.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that the driver and all executors share")
+    return f"{root or tempfile.mkdtemp(prefix='scratch-')}/{uuid.uuid4()}"
+
+
 def append_records(df: DataFrame, path: str) -> None:
     """Append rows to a compressed Parquet folder whose schema may grow; readers merge schemas."""
     df.write.mode("append").option("compression", "gzip").parquet(path)
