@@ -139,7 +139,7 @@ def test_long_series(spark):
     rows = spark.range(1, n + 1, numPartitions=16).select(F.lit("s").alias("series_id"), F.col("id").alias("t"), F.lit(n).cast("long").alias("n"), (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) * 1.0).alias("x"))
     late = F.col("t") > n // 2
     rows = rows.withColumn("y", F.when(late, F.col("x")).otherwise(F.pmod(F.xxhash64("t", F.lit(1)), F.lit(1_000_003)) * 1.0))
-    top = scans.spearman_scan(rows, w=1000, block=1 << 19).agg(F.max("q"), F.max_by("t", "q"), F.count("*")).first()
+    top = scans.spearman_scan(rows, w=1000, block=1 << 19, ranges=1 << 19).agg(F.max("q"), F.max_by("t", "q"), F.count("*")).first()
     assert top[2] == n - 1999
     assert abs(top[1] - n // 2) < 5000 and top[0] == pytest.approx(math.sqrt(n / 4), rel=0.02)
 
@@ -151,9 +151,9 @@ def test_ranks_and_moments_in_ranges(spark):
     rows = [(s, t + 1, 700, float(np.round(rng.normal(), 1)), float(rng.normal())) for s in "ab" for t in range(700)]
     df = spark.createDataFrame(rows, "series_id string, t long, n long, x double, y double")
     plain = {(r.series_id, r.t): r.q for r in scans.spearman_scan(df).collect()}
-    assert {(r.series_id, r.t): r.q for r in scans.spearman_scan(df, block=128).collect()} == pytest.approx(plain)
+    assert {(r.series_id, r.t): r.q for r in scans.spearman_scan(df, block=128, ranges=300).collect()} == pytest.approx(plain)
     cells = lambda m: {(r.series_id, r.interval): sum(r.mj) for r in m.collect()}
-    assert cells(detect.interval_moments(df, pieces=10, block=200)) == pytest.approx(cells(detect.interval_moments(df, pieces=10)))
+    assert cells(detect.interval_moments(df, pieces=10, ranges=200)) == pytest.approx(cells(detect.interval_moments(df, pieces=10)))
 
 
 def test_printed_arrays_and_changed_inputs(spark, tmp_path):

@@ -46,13 +46,13 @@ def curve(df: DataFrame, make: Callable[[np.ndarray, np.ndarray, np.ndarray], np
 # ---- one long series over many tasks: ranks in Spark, moments per interval, then a few hundred small matrices
 
 
-def ranked_intervals(df: DataFrame, unit: int | None = None, pieces: int = 160, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+def ranked_intervals(df: DataFrame, unit: int | None = None, pieces: int = 160, seed: int = dt.SEED, ranges: int | None = None) -> DataFrame:
     """(series_id, interval, t, x, y, gx, gy): whole-series ranks with the bandwidths of both sides, by run of `unit` rows, or by one of so
     many equal pieces of each series, whatever its length.
 
-    Ranks are windows, of long series in ranges of about `block` rows; the bandwidths come from the 400 rows that seed and length choose.
+    Ranks are windows, of long series in ranges of about `ranges` rows; the bandwidths come from the 400 rows that seed and length choose.
     """
-    u = pseudo_observations(df, [KEY], "t", ["x", "y"], block=block).select(KEY, "t", "n", F.col("x_u").alias("x"), F.col("y_u").alias("y"))
+    u = pseudo_observations(df, [KEY], "t", ["x", "y"], ranges=ranges).select(KEY, "t", "n", F.col("x_u").alias("x"), F.col("y_u").alias("y"))
 
     def chosen(batches):
         for pdf in batches:
@@ -76,13 +76,13 @@ def ranked_intervals(df: DataFrame, unit: int | None = None, pieces: int = 160,
     return u.withColumn("interval", place.cast("long")).join(gammas, KEY).select(KEY, "interval", "t", "x", "y", "gx", "gy")
 
 
-def interval_moments(df: DataFrame, unit: int | None = None, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+def interval_moments(df: DataFrame, unit: int | None = None, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, ranges: int | None = None) -> DataFrame:
     """(series_id, interval, cnt, mx, my, mj): moment sums of the features of whole-series ranks per interval.
 
-    Each interval is a task's matrix product, so no series has to fit into one task (its ranks neither, with `block`) and 4,096 products per
+    Each interval is a task's matrix product, so no series has to fit into one task (its ranks neither, with `ranges`) and 4,096 products per
     row are never rows.
     """
-    rows, kind = ranked_intervals(df, unit, pieces, seed, block), df.schema[KEY].dataType.simpleString()
+    rows, kind = ranked_intervals(df, unit, pieces, seed, ranges), df.schema[KEY].dataType.simpleString()
 
     def moments(pdf: pd.DataFrame) -> pd.DataFrame:
         fx = sp.features(pdf["x"].to_numpy()[:, None], size, seed, pdf["gx"].iloc[0])
@@ -148,12 +148,12 @@ def moment_test(moments: DataFrame, replicas: int, chunks: int, seed: int, block
     return permutation_p(studentized_maxima(curves, [KEY]), [KEY])
 
 
-def dense_curve(df: DataFrame, w: int = 60, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, block: int | None = None) -> DataFrame:
+def dense_curve(df: DataFrame, w: int = 60, pieces: int = 160, size: int = dt.DIM, seed: int = dt.SEED, ranges: int | None = None) -> DataFrame:
     """(series_id, t, q): the weighted difference of information at every split w <= t <= n - w.
 
     An interval's task starts from the moments in front of it and adds its own rows one by one, so a long series is as many tasks as pieces.
     """
-    rows, kind = ranked_intervals(df, None, pieces, seed, block), df.schema[KEY].dataType.simpleString()
+    rows, kind = ranked_intervals(df, None, pieces, seed, ranges), df.schema[KEY].dataType.simpleString()
 
     def ahead(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("interval")
@@ -164,7 +164,7 @@ def dense_curve(df: DataFrame, w: int = 60, pieces: int = 160, size: int = dt.DI
         return pd.DataFrame(out)
 
     arrays = ", ".join(f"{c} array<double>, {c}_all array<double>" for c in ("mx", "my", "mj"))
-    before = interval_moments(df, None, pieces, size, seed, block).groupBy(KEY).applyInPandas(ahead, f"{KEY} {kind}, interval long, n long, {arrays}")
+    before = interval_moments(df, None, pieces, size, seed, ranges).groupBy(KEY).applyInPandas(ahead, f"{KEY} {kind}, interval long, n long, {arrays}")
 
     def run(own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
         own, first = own.sort_values("t"), start.iloc[0]

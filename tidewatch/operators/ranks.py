@@ -19,14 +19,14 @@ def correlation(x: str | Column, y: str | Column, over: WindowSpec | None = None
     return F.when((va > 0) & (vb > 0), F.try_divide(cov, F.sqrt(va * vb)))
 
 
-def pseudo_observations(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], suffix: str = "_u", block: int | None = None) -> DataFrame:
-    """Ranks over n + 1, ties in time order. With `block`, rows of a long series are ranked in ranges of about so many, and counted by an aggregate."""
+def pseudo_observations(df: DataFrame, keys: Sequence[str], time: str, cols: Sequence[str], suffix: str = "_u", ranges: int | None = None) -> DataFrame:
+    """Ranks over n + 1, ties in time order. With `ranges`, rows of a long series are ranked in ranges of about so many, and counted by an aggregate."""
     out = df
     for c in cols:
-        out = ordinal_ranks(out, keys, [c, time], f"{c}_rank", rank_splits(df, c, block) if block else None)
-    if block:
+        out = ordinal_ranks(out, keys, [c, time], f"{c}_rank", rank_splits(df, c, ranges) if ranges else None)
+    if ranges:
         out = out.join(df.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
-    n = F.col("_n") if block else F.count("*").over(Window.partitionBy(*keys))
+    n = F.col("_n") if ranges else F.count("*").over(Window.partitionBy(*keys))
     return out.withColumns({f"{c}{suffix}": F.col(f"{c}_rank") / (n + F.lit(1.0)) for c in cols}).drop("_n")
 
 

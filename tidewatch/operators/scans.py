@@ -42,25 +42,26 @@ def weight() -> Column:
     return d("t") * (d("n") - d("t")) / d("n")
 
 
-def ranked(df: DataFrame, block: int | None = None) -> DataFrame:
-    """Ordinal ranks _rx and _ry of x and y, ties in order of time; those of long series within ranges of about `block` rows."""
+def ranked(df: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Ordinal ranks _rx and _ry of x and y, ties in order of time; those of long series within ranges of about so many rows."""
     for c in ("x", "y"):
-        df = ordinal_ranks(df, KEY, [c, "t"], f"_r{c}", rank_splits(df, c, block) if block else None)
+        df = ordinal_ranks(df, KEY, [c, "t"], f"_r{c}", rank_splits(df, c, ranges) if ranges else None)
     return df
 
 
-def centred_ranks(df: DataFrame, block: int | None = None) -> DataFrame:
+def centred_ranks(df: DataFrame, ranges: int | None = None) -> DataFrame:
     """Integers a = 2 rank(x) - (n + 1) and b for y."""
-    return ranked(df, block).withColumns({"a": 2 * F.col("_rx") - F.col("n") - 1, "b": 2 * F.col("_ry") - F.col("n") - 1}).drop("_rx", "_ry")
+    return ranked(df, ranges).withColumns({"a": 2 * F.col("_rx") - F.col("n") - 1, "b": 2 * F.col("_ry") - F.col("n") - 1}).drop("_rx", "_ry")
 
 
-def spearman_scan(df: DataFrame, w: int = 60, block: int | None = None) -> DataFrame:
+def spearman_scan(df: DataFrame, w: int = 60, block: int | None = None, ranges: int | None = None) -> DataFrame:
     """sqrt(weight) times the absolute difference of the segments' correlations of whole-series ranks.
 
-    Sums of products are exact whatever the length: in two words, the upper one counting 2^31.
+    Sums of products are exact whatever the length: in two words, the upper one counting 2^31. A long series is many tasks: runs of `block`
+    positions are summed first, and values are ranked in `ranges` of about so many rows.
     """
     sums = {"sa": "a", "sb": "b"} | {f"s{p}_{word}": how.format(" * ".join(p)) for p in ("aa", "bb", "ab") for word, how in (("h", "shiftright({}, 31)"), ("l", "({}) & 2147483647L"))}
-    run = accumulated(centred_ranks(df, block), sums, block)
+    run = accumulated(centred_ranks(df, ranges), sums, block)
 
     def rho(part: str, m: Column) -> Column:
         one = lambda c: d(c) if part == "left" else d(F.col(f"{c}_all") - F.col(c))

@@ -45,7 +45,7 @@ def i9_spearman_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {PAIRS}, {_RANKED.format(source='pairs')}, {_SPEARMAN} SELECT series_id, t, round(q, 6) AS q FROM curve")
 def e6_two_level_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(scans.spearman_scan(pairs(spark, sf_dir), W, block=256))
+    return scan(scans.spearman_scan(pairs(spark, sf_dir), W, block=2048))
 
 
 @query(f"WITH {PAIRS}, {_RANKED.format(source='pairs')}, {_SPEARMAN} SELECT series_id, round(max(q), 6) AS q_max, arg_max(t, (round(q, 9), -t)) AS tau_hat FROM curve GROUP BY 1")
