@@ -383,6 +383,21 @@ def test_unigram_path_is_best():
         own.unigram = False
 
 
+def test_sentencepiece_whole_table(spark):
+    """Every column of the query against the library."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
+    got = {r.doc_id: r for r in QUERIES["op10_sentencepiece"](spark, SF).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert set(got) == set(docs)
+    for i, text in docs.items():
+        ids = lib.encode(text)
+        back = lib.decode(ids).encode()
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        assert (got[i].n_bytes, got[i].text_crc32, got[i].round_trip) == (len(back), zlib.crc32(back), back == text.encode())
+
+
 def test_sentencepiece_frames(edge, nothing, spark):
     path = vocabulary("piece_bpe_32k.model")
     docs = edge.filter("doc_id < 6 OR doc_id > 6").distinct()

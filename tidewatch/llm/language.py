@@ -156,7 +156,8 @@ def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[s
         return {}
     reach = [(r.lang, r.long, min(2**63 - 1, int(-(2**63) + 2.0**64 * 2 * rows / max(1, r.n)))) for r in counts]
     limits = labelled.sparkSession.createDataFrame(reach, "of string, is_long boolean, reach long")
-    near = known.join(limits, (F.col("lang") == F.col("of")) & (F.col("long") == F.col("is_long"))).filter(F.col("pick") <= F.col("reach"))
+    near = known.join(F.broadcast(limits), (F.col("lang") == F.col("of")) & (F.col("long") == F.col("is_long"))).filter(F.col("pick") <= F.col("reach"))
+    # (two rows a language are broadcast)
     near = stored(near.groupBy("lang", "long", "pick").agg(F.min(F.substring("text", 1, size)).alias("text")))
     order = Window.partitionBy("lang").orderBy("long", "pick")
     first = near.select("lang", "long", "pick", F.octet_length("text").alias("size")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)

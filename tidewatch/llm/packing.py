@@ -29,7 +29,7 @@ from tidewatch.llm.words import WordTable
 
 LONGEST, END = 4096, 2
 #: Parts of words that are encoded in one call, and that a worker keeps with their ids.
-CALL, PARTS = 500, 450_000
+CALL, PARTS = 500, 300_000
 
 # The vocabulary splits words itself: runs of letters, single digits, runs of anything else, and the English contractions where a run would
 # begin. For characters up to U+00FF that is done here, on Latin-1 bytes; words with others are left to the library whole.
@@ -153,7 +153,7 @@ def pieces(docs: DataFrame, path: str, longest: int = LONGEST, end: int = END, w
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
-        for rows, col in text_steps(batches, 2 << 20, keep=True):
+        for rows, col in text_steps(batches, 1 << 20, keep=True):
             ids, cuts = tokens(table, col.to_pylist())
             row, start, length = cut_up(np.diff(cuts) + 1, longest)
             every = np.insert(ids, cuts[1:], end).astype("<u4")

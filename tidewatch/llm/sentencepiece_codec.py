@@ -12,7 +12,8 @@ The forward state of a prefix follows from the model's kind:
 Characters outside the vocabulary become byte pieces. Decoding joins the pieces' bytes and turns marks back to spaces.
 
 Defined results: null and empty texts have no ids and decode to the empty text; a text that holds the mark itself decodes to a space
-there (the model can't tell them apart); repeated rows give repeated results; very long texts and words are coded whole.
+there (the model can't tell them apart); repeated rows give repeated results; very long texts and words are coded whole; ids may be null and of any type; only doc_id and text are read,
+whatever other columns are called.
 """
 
 from __future__ import annotations

@@ -92,7 +92,7 @@ def similar(docs: DataFrame, held: int = HELD) -> DataFrame:
         for own, col in text_steps(batches):
             sets = shingle_sets(col)
             keys = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(sets).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_hash"), pa.array(set_names(sets)), pa.array(majorities(sets).view(np.int64)), keys], ["doc_id", "text_hash", "node", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("text_hash"), pa.array(set_names(sets)), pa.array(majorities(sets).view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), keys], ["doc_id", "text_hash", "node", "fp", "size", "keys"])
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, col in text_steps(batches):
@@ -104,8 +104,8 @@ def similar(docs: DataFrame, held: int = HELD) -> DataFrame:
         node = pdf["node"].to_numpy()
         return pd.DataFrame({"node": node, "component": node[joined([np.frombuffer(own, np.uint64) for own in pdf["shingles"]])]})
 
-    marked = cut(mapped(rows, marks, "doc_id long, text_hash long, node long, fp long, keys array<long>"))
-    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    marked = cut(mapped(rows, marks, "doc_id long, text_hash long, node long, fp long, size long, keys array<long>"))
+    nodes = cut(marked.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("b"), F.count("*").alias("n")).filter("n > 1").select("key", "b")
     edges = keys.join(least, "key").select(F.col("node").alias("a"), "b")
@@ -115,8 +115,8 @@ def similar(docs: DataFrame, held: int = HELD) -> DataFrame:
     group = cut(components(edges.unionAll(near.select("ra", "rb"))).withColumnRenamed("component", "group_id"))
     asked = nodes.select("node", "doc_id").join(group, "node").select("doc_id").distinct()
     sets = mapped(rows.join(asked, "doc_id", "left_semi").select("text"), contents, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = cut(group.join(sets, "node"))
-    sizes = sets.groupBy("group_id").agg(F.sum(F.octet_length("shingles") + 64).alias("size")).withColumn("blocks", F.ceil(F.col("size") / held))
+    sizes = group.join(nodes.select("node", "size"), "node").groupBy("group_id").agg(F.sum(8 * F.col("size") + 64).alias("size")).withColumn("blocks", F.ceil(F.col("size") / held))
+    sets = group.join(sets, "node")
     large = sizes.filter("blocks > 1").select("group_id", "blocks")
     if large.isEmpty():
         found = sets.groupBy("group_id").applyInPandas(exact, "node long, component long")
