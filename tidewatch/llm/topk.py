@@ -188,7 +188,8 @@ def top_k(vectors: DataFrame, is_query: str, k: int = K, scale: float = SCALE, i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     each = max(1, min(queries, GROUP // (8 * max(dim, 1))))
     groups = -(-n // each)
-    dealt = cut(asked.repartition(groups).withColumn("group", F.spark_partition_id())) if groups > 1 else asked.withColumn("group", F.lit(0))
+    # each partition's rows go round the groups, so a group has at most a row a partition more than its share, whatever the ids
+    dealt = cut(asked.withColumn("group", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))) if groups > 1 else asked.withColumn("group", F.lit(0))
     norm = cands.agg(F.max("norm")).first()[0] or 0.0
     folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
     for g in range(groups):  # a round of jobs over all candidates for each bounded group of queries
