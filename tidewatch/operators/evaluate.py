@@ -103,7 +103,7 @@ def step_up_q(df: DataFrame, keys: Sequence[str], p: str, name: str, dependent:
     every = Window.partitionBy(*keys)
     rank, m = F.row_number().over(order), F.count("*").over(every)
     ranked = df.withColumns({"_k": rank, "_m": m})
-    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("_m").cast("int")), F.lit(0.0), lambda a, k: a + 1.0 / k) if dependent else F.lit(1.0)
+    harmonic = F.sum(1.0 / F.col("_k")).over(every) if dependent else F.lit(1.0)
     tail = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     return ranked.withColumn("_q", F.col(p) * F.col("_m") * harmonic / F.col("_k")).withColumn(name, F.least(F.lit(1.0), F.min("_q").over(tail))).drop("_k", "_m", "_q")
 
