@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tidewatch.functions import detection as dt
 from tidewatch.functions import spectra as sp
@@ -902,3 +903,67 @@ def test_bias_of_the_plug_in_entropy(run, events):
                     mean = lam[i] if i == j else (lam[i] - lam[j]) / math.log(lam[i] / lam[j])
                     total += np.mean((g[:, i] * g[:, j] - (lam[i] if i == j else 0)) ** 2) / mean / 2
             assert run("h9_bias_coefficients").set_index("series_id").loc[key, name] == pytest.approx(total, abs=1e-4)
+
+
+# ---- experiments
+
+
+def test_statistics_study(run):
+    got = run("p_statistics_study").set_index(["scen", "method"])
+    grid = dt.dense(600, 60)[::10]
+
+    def spearman(x, y):
+        u, v = ranks(x), ranks(y)
+        return [math.sqrt(weight(t, 600)) * abs(np.corrcoef(u[:t], v[:t])[0, 1] - np.corrcoef(u[t:], v[t:])[0, 1]) for t in grid]
+
+    def order2(x, y):
+        k = [np.exp(-2 * sp.bandwidth(ranks(a)[:, None], s) * np.subtract.outer(ranks(a), ranks(a)) ** 2) for a, s in ((x, 2026), (y, 2027))]
+        info = lambda rows: math.log((k[0] * k[1])[rows, rows].sum() * len(k[0][rows]) ** 2 / (k[0][rows, rows].sum() * k[1][rows, rows].sum()))
+        return [math.sqrt(weight(t, 600)) * abs(info(slice(0, t)) - info(slice(t, 600))) for t in grid]
+
+    for scen, level in (("D1", 0.8), ("D2", 0.9)):
+        for name, curve in (("spearman", spearman), ("order2", order2)):
+            tops = [max(curve(*generate(scen, level, r, null=True, level_idx=2).T)) for r in range(10)]
+            found = [max(curve(*generate(scen, level, r, level_idx=2).T)) > np.quantile(tops, 0.95) for r in range(10)]
+            assert got.loc[(scen, name), "detect_rate"] == pytest.approx(np.mean(found))
+    assert got.loc[("D1", "spearman"), "detect_rate"] > got.loc[("D2", "spearman"), "detect_rate"]
+
+
+def test_segmentation_study(run):
+    got = run("p_segmentation_study").set_index(["level", "method"])
+    assert set(got.index) == {(v, m) for v in (0.8, 0.9) for m in ("products", "scales", "states")}
+    for level, idx in ((0.8, 0), (0.9, 1)):
+        found = [dt.bg_segments(z[:, 0] * z[:, 1], 3.0) for z in (generate("P1", level, r, level_idx=idx) for r in range(4))]
+        true, row = [450, 900, 1350], got.loc[(level, "products")]
+        far = lambda a, b: max(min(abs(u - v) for v in b) for u in a)
+        apart = [max(far(true, c), far(c, true)) if c else 1800 for c in found]
+        label = lambda cuts: np.searchsorted(sorted(cuts), np.arange(1, 1801), "left")
+
+        def rand(a, b):
+            pairs_ = lambda v: sum(n * (n - 1) / 2 for n in np.unique(v, return_counts=True)[1])
+            both, i, j, m = pairs_(a * 1000 + b), pairs_(a), pairs_(b), 1800 * 1799 / 2
+            return (both - i * j / m) / ((i + j) / 2 - i * j / m) if (i + j) / 2 != i * j / m else 1.0
+
+        assert row.reps == 4 and row.mean_k == pytest.approx(np.mean([len(c) for c in found])) and row.k_correct == pytest.approx(np.mean([len(c) == 3 for c in found]))
+        assert row.hausdorff_median == pytest.approx(np.median(apart))
+        agree = [[rand(label(true), label(c)) for c in found], [rand(np.searchsorted(true, np.arange(1, 1801), "right"), np.searchsorted(sorted(c), np.arange(1, 1801), "right")) for c in found]]
+        assert any(row.ari_mean == pytest.approx(np.mean(a), abs=TOL) for a in agree)
+
+
+def test_split_halves(run, spark, events):
+    """Candidates of a half are those of its own rows; each is tested on the other half's."""
+    from tidewatch.operators.series import alternating_split
+    from tidewatch.plans.fixtures import pairs
+
+    found = run("p_split_halves")
+    for key, (x, y) in events[2].items():
+        n = len(x) // 20 * 20
+        for half, odd in (("A", 0), ("B", 1)):
+            rows = [t for t in range(n) if t // 20 % 2 == odd and 1 <= t % 20 < 19]
+            fx, fy = feats(x[rows], y[rows])
+            f, at = joint(fx, fy), edges_of(len(rows), 24)
+            cost = {(i, j): (at[j] - at[i]) * entropy(state(f[at[i] : at[j]])) for i, j in itertools.combinations(range(25), 2)}
+            own = found[(found.chosen == half) & found.series_id.str.startswith(f"{key}@")]
+            assert sorted(int(s.split("@")[1]) for s in own.series_id) == list(cheapest_path(cost, 24, 1.0)[1])
+    dealt = alternating_split(pairs(spark, events[0]).withColumn("at", F.col("t") - 1), "at", 20, 1, ["series_id"]).groupBy("series_id", "half").count().collect()
+    assert {(r.series_id, r.half): r["count"] for r in dealt} == {(k, h): 18 * len([b for b in range(len(x) // 20) if b % 2 == (h == "B")]) for k, (x, _) in events[2].items() for h in "AB"}

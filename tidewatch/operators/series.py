@@ -71,11 +71,12 @@ def position_anomaly(df: DataFrame, keys: Sequence[str], order: str, col: str, p
     return df.withColumn("_at", at % period).withColumn("anomaly", F.col(col) - mean).drop("_at")
 
 
-def alternating_split(df: DataFrame, t: str, block: int, trim: int) -> DataFrame:
+def alternating_split(df: DataFrame, t: str, block: int, trim: int, keys: Sequence[str] = ()) -> DataFrame:
     """Half A or B by turns of `block` rows (positions from 0), without `trim` rows at either end of a block and without the rest."""
-    n = F.max(t).over(Window.partitionBy(F.lit(0))) + 1
-    inside = (F.col(t) % block >= trim) & (F.col(t) % block < block - trim) & (F.col(t) < F.floor(n / block) * block)
-    return df.withColumn("_in", inside).withColumn("half", F.when(F.floor(F.col(t) / block) % 2 == 0, "A").otherwise("B")).filter("_in").drop("_in")
+    last = df.groupBy(*keys).agg((F.max(t) + 1).alias("_n"))  # one row a series, or one
+    named = df.join(last, list(keys)) if keys else df.crossJoin(F.broadcast(last))
+    inside = (F.col(t) % block >= trim) & (F.col(t) % block < block - trim) & (F.col(t) < F.floor(F.col("_n") / block) * block)
+    return named.filter(inside).withColumn("half", F.when(F.floor(F.col(t) / block) % 2 == 0, "A").otherwise("B")).drop("_n")
 
 
 def window_around(df: DataFrame, candidates: DataFrame, keys: Sequence[str], t: str, unit: int, half: int) -> DataFrame:

@@ -442,3 +442,44 @@ def p_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = two_stage(pairs(spark, sf_dir), 40, 10.0, 39, 4, 12, 5)
     return rounded(out, "observed", "p", "q", "p_marginal")
+
+
+@query()
+def p_split_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.plans.pipelines import split_halves
+
+    out = split_halves(pairs(spark, sf_dir), 20, 1, 24, 1.0, 39, 4, 6, 5)
+    return rounded(out, "observed", "p", "q", "p_marginal")
+
+
+def _spearman(x: np.ndarray, y: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """sqrt(weight) times the difference of the sides' correlations of ranks."""
+    u, v = _units(x, y)
+    sums = [np.concatenate([[0.0], np.cumsum(a)]) for a in (u, v, u * u, v * v, u * v)]
+    rho = []
+    for m, side in ((t, [s[t] for s in sums]), (len(x) - t, [s[-1] - s[t] for s in sums])):
+        a, b, aa, bb, ab = (s / m for s in side)
+        rho.append((ab - a * b) / np.sqrt((aa - a * a) * (bb - b * b) + 1e-12))
+    return np.sqrt(dt.weights(t, len(x))) * np.abs(rho[0] - rho[1])
+
+
+@query()
+def p_statistics_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three statistics over the same replicates: correlation appears, and dependence without it."""
+    from tidewatch.plans.pipelines import statistics_study
+
+    grams = lambda x, y, t: dt.gram_order2_curve(*_units(x, y), t, *(sp.bandwidth(a[:, None], dt.SEED + k) for k, a in enumerate(_units(x, y))))
+    out = statistics_study(spark, [("D1", 0.8, 2), ("D2", 0.9, 2)], 10, {"information": _information, "order2": grams, "spearman": _spearman})
+    return rounded(out, "power", "detect_rate", "loc_err_median")
+
+
+@query()
+def p_segmentation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewatch.plans.pipelines import segmentation_study
+
+    def states(x, y):
+        grid = np.arange(0, len(x) + 1, 75)
+        return [int(grid[k]) for k in dt.partition(dt.state_costs(sp.products(*_features(x, y)), grid), 8.0)]
+
+    methods = {"products": lambda x, y: dt.bg_segments(x * y, 3.0), "scales": lambda x, y: dt.bg_segments(np.abs(x) * np.abs(y), 3.0), "states": states}
+    return rounded(segmentation_study(spark, [(0.8, 0), (0.9, 1)], 4, methods), "mean_k", "k_correct", "hausdorff_median", "ari_mean", "recall_mean")
