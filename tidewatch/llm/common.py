@@ -38,7 +38,7 @@ def only(key: Hashable, make: Callable[[], Any]) -> Any:
 
 
 #: Bytes that Spark hands to a Python worker at once; both ends hold a few such batches.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def _bytes(size: str) -> int:

@@ -192,8 +192,9 @@ def identify(docs: DataFrame, sample: dict[str, list[bytes]], id_col: str = "doc
             if model is not None:
                 plain = np.zeros(256, bool)
                 plain[[*range(65, 91), *range(97, 123)]] = True
-                total = np.concatenate([[0], np.cumsum(plain[data], dtype=np.int64)])
-                letters = (total[offsets[1:]] - total[offsets[:-1]]) > 0
+                letters, some = np.zeros(n, bool), np.nonzero(np.diff(offsets))[0]
+                if len(some):
+                    letters[some] = np.logical_or.reduceat(plain[data], offsets[some])
                 for i in np.nonzero(~letters & (np.diff(offsets) > 0))[0]:
                     letters[i] = any(map(str.isalpha, col[int(i)].as_py().decode()))
                 cost = model.phrases(data, offsets) * model.bits
