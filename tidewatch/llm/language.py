@@ -144,21 +144,37 @@ def _model(sample: dict[str, list[bytes]]) -> Model:
     return only(("languages", hash(tuple((k, *v) for k, v in sorted(sample.items())))), lambda: Model(sample))
 
 
+def _near(known: DataFrame, rows: int, size: int) -> DataFrame:
+    """The distinct texts (lang, long, pick, text) with the smallest hashes: `rows` of the short ones of each language, or `LONG` of the long ones, at least.
+
+    Hashes are evenly spread, so a bound that the language's rows suggest lets few more through. Where copies made it let too few
+    through, it is raised until they are enough or all have come.
+    """
+    counts = known.groupBy("lang").count().collect()  # reads no text
+    reach = {(r.lang, long): 2 * rows / r["count"] for r in counts for long in (False, True)}
+    texts = known.filter("text IS NOT NULL").filter(F.octet_length("text") > 0)
+    texts = texts.select("lang", "text", F.xxhash64("text").alias("pick"), (F.octet_length("text") > size).alias("long"))
+    while True:
+        bounds = [(lang, long, min(2**63 - 1, int(-(2**63) + 2.0**64 * share))) for (lang, long), share in reach.items()]
+        limits = F.broadcast(known.sparkSession.createDataFrame(bounds, "of string, is_long boolean, reach long"))  # two rows a language
+        near = texts.join(limits, (F.col("lang") == F.col("of")) & (F.col("long") == F.col("is_long"))).filter(F.col("pick") <= F.col("reach"))
+        near = stored(near.groupBy("lang", "long", "pick").agg(F.min(F.substring("text", 1, size)).alias("text")))
+        found = {(r.lang, r.long): r["count"] for r in near.groupBy("lang", "long").count().collect()}
+        few = [k for k, share in reach.items() if share < 1 and found.get(k, 0) < (LONG if k[1] else rows) and not (k[1] and found.get((k[0], False)))]
+        if not few:
+            return near
+        reach |= {k: 16 * reach[k] for k in few}
+
+
 def sampled(labelled: DataFrame, rows: int = ROWS, size: int = SAMPLE) -> dict[str, list[bytes]]:
     """The bounded sample (at most `size` bytes a language) of rows (text, lang): those with the smallest hashes among distinct texts.
 
     What comes to the driver are counts, at most `rows` hashes a language and the sample, whatever the table and however often rows repeat.
     """
-    known = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.octet_length("text") > 0)
-    known = known.select("lang", "text", F.xxhash64("text").alias("pick"), (F.octet_length("text") > size).alias("long"))
-    counts = known.groupBy("lang", "long").agg(F.approx_count_distinct("pick").alias("n")).collect()
-    if not counts:
+    known = labelled.filter("lang IS NOT NULL")
+    if known.isEmpty():
         return {}
-    reach = [(r.lang, r.long, min(2**63 - 1, int(-(2**63) + 2.0**64 * 2 * rows / max(1, r.n)))) for r in counts]
-    limits = labelled.sparkSession.createDataFrame(reach, "of string, is_long boolean, reach long")
-    near = known.join(F.broadcast(limits), (F.col("lang") == F.col("of")) & (F.col("long") == F.col("is_long"))).filter(F.col("pick") <= F.col("reach"))
-    # (two rows a language are broadcast)
-    near = stored(near.groupBy("lang", "long", "pick").agg(F.min(F.substring("text", 1, size)).alias("text")))
+    near = _near(known, rows, size)
     order = Window.partitionBy("lang").orderBy("long", "pick")
     first = near.select("lang", "long", "pick", F.octet_length("text").alias("size")).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= rows)
     chosen: dict[str, list] = {}
