@@ -332,6 +332,16 @@ def test_split_equals_library(texts):
 _CACHE: dict = {}
 
 
+def test_a_full_table_keeps_its_first_half():
+    from tidewatch.llm.words import WordTable
+
+    asked = []
+    table = WordTable(lambda words: [asked.append(w) or np.array([len(w), 7], np.int32).tobytes() for w in words], limit=6)
+    for texts in ([[b"a", b"bb", b"ccc"], [b"a"]], [[b"dddd", b"a", b"eeeee", b"ff", b"gg"]], [[b"hhhhhh", b"gg", b"ccc"]], [[b"bb", b"ff"]]):
+        assert [x.tolist() for x in table.tokens(texts)] == [[v for w in words for v in (len(w), 7)] for words in texts]
+    assert asked.count(b"a") == asked.count(b"ccc") == asked.count(b"bb") == 1 and asked.count(b"gg") == 2
+
+
 def test_packing_equals_library(edge, nothing, spark):
     from tokenizers import Tokenizer
 

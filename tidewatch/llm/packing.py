@@ -29,7 +29,7 @@ from tidewatch.llm.words import WordTable
 
 LONGEST, END = 4096, 2
 #: Parts of words that are encoded in one call, and that a worker keeps with their ids.
-CALL, PARTS = 500, 300_000
+CALL, PARTS = 500, 600_000
 
 # The vocabulary splits words itself: runs of letters, single digits, runs of anything else, and the English contractions where a run would
 # begin. For characters up to U+00FF that is done here, on Latin-1 bytes; words with others are left to the library whole.

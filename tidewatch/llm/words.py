@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import islice
 
 import numpy as np
 
@@ -12,8 +13,8 @@ LIMIT = 200_000
 class _Index(dict):
     """Numbers words in order of first sight; new ones are listed."""
 
-    def __init__(self) -> None:
-        super().__init__()
+    def __init__(self, known: Iterable[tuple[bytes, int]] = ()) -> None:
+        super().__init__(known)
         self.new: list[bytes] = []
 
     def __missing__(self, word: bytes) -> int:
@@ -30,9 +31,6 @@ class WordTable:
 
     def __init__(self, encode: Callable[[list[bytes]], list[bytes]], limit: int = LIMIT) -> None:
         self.encode, self.limit = encode, limit
-        self._clear()
-
-    def _clear(self) -> None:
         self.index, self.used = _Index(), 0
         self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
 
@@ -51,9 +49,11 @@ class WordTable:
         self.used += total
 
     def start(self) -> None:
-        """Before new texts: empty the table if it is full."""
+        """Before new texts: if the table is full, keep the half that was learnt first, which holds the most frequent words."""
         if len(self.index) > self.limit:
-            self._clear()
+            kept = list(islice(self.index, self.limit // 2))
+            self.index = _Index(zip(kept, range(len(kept))))
+            self.used = int(self.ends[len(kept) - 1])
 
     def tokens(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The token ids of each text."""
