@@ -104,7 +104,8 @@ def step_up_q(df: DataFrame, keys: Sequence[str], p: str, name: str, dependent:
     rank, m = F.row_number().over(order), F.count("*").over(every)
     ranked = df.withColumns({"_k": rank, "_m": m})
     harmonic = F.sum(1.0 / F.col("_k")).over(every) if dependent else F.lit(1.0)
-    tail = Window.partitionBy(*keys).orderBy("_k").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the largest p down: a frame that ends with the partition would be summed up anew for each row
+    tail = Window.partitionBy(*keys).orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("_q", F.col(p) * F.col("_m") * harmonic / F.col("_k")).withColumn(name, F.least(F.lit(1.0), F.min("_q").over(tail))).drop("_k", "_m", "_q")
 
 

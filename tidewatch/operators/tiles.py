@@ -67,7 +67,8 @@ def row_product_parts(rows: np.ndarray, a: np.ndarray, b: np.ndarray, name: str)
 def squares(sums: DataFrame, names: Sequence[str]) -> DataFrame:
     """From sums by larger and smaller index: those over the left square, the right square and the whole, at each t."""
     to = Window.partitionBy("series_id").orderBy("t")
-    after, every = to.rowsBetween(1, Window.unboundedFollowing), Window.partitionBy("series_id")
+    after = Window.partitionBy("series_id").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)  # what lies behind t
+    every = Window.partitionBy("series_id")
     parts = {f"{c}_l": F.sum(f"{c}_up").over(to) for c in names}
     parts |= {f"{c}_r": F.coalesce(F.sum(f"{c}_down").over(after), F.lit(0.0)) for c in names}
     parts |= {f"{c}_a": F.sum(f"{c}_up").over(every) for c in names}
