@@ -37,7 +37,7 @@ def odd(tmp_path_factory):
     return str(out), con
 
 
-WITHOUT_COSTS = ["l4_optimal_partition", "l6_calibrated_penalty"]
+WITHOUT_COSTS = ["l4_optimal_partition", "l6_calibrated_penalty", "l6_penalty_path"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_COSTS)
