@@ -10,8 +10,9 @@ from conftest import SF, plain
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidewatch.functions import detection as dt
 from tidewatch.functions import generators
-from tidewatch.operators import segment
+from tidewatch.operators import evaluate, segment
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +38,7 @@ def odd(tmp_path_factory):
     return str(out), con
 
 
-WITHOUT_COSTS = ["l4_optimal_partition", "l6_calibrated_penalty", "l6_penalty_path"]
+WITHOUT_COSTS = ["l4_optimal_partition", "l6_calibrated_penalty", "l6_penalty_path", "m13_split_gains"]
 
 
 @pytest.mark.parametrize("name", WITHOUT_COSTS)
@@ -61,3 +62,25 @@ def test_partitions_equal_the_fold(spark, two):
         got = segment.gauss_partitions(two, 10, [beta, 3.0]).filter(F.col("beta") == beta).orderBy("series_id").collect()
         assert [r.cuts for r in got] == [r.cuts for r in slow] and any(r.cuts for r in got)
         assert [r.value for r in got] == pytest.approx([r.value for r in slow], abs=1e-8)
+
+
+def test_split_gains_equal_the_joins(spark, two):
+    slow = evaluate.split_gains(segment.gauss_costs(two, 10)).orderBy("series_id", "i", "t", "j").toPandas()
+    got = segment.gauss_split_gains(two, 10).orderBy("series_id", "i", "t", "j").toPandas()
+    assert got.columns.tolist() == slow.columns.tolist() and got.dtypes.tolist() == slow.dtypes.tolist()
+    pd.testing.assert_frame_equal(got, slow, check_exact=False, atol=1e-8)
+
+
+def test_split_gains_in_pieces():
+    """Every triple once, however the starts are dealt out and however few values are made at a time."""
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=(12, 10, 2))
+    x, y = z[..., 0], z[..., 1]
+    cells = np.array([np.full(12, 10.0), *(v.sum(1) for v in (x, y, x * x, y * y, x * y)), *np.full((3, 12), 10.0)])
+
+    def triples(parts, most):
+        found = [(s, t, t + 1 + k, g) for first in range(parts) for i, t, gain, _ in dt.gauss_split_gains(cells, first, parts, 1e-6, most) for s, row in zip(i, gain) for k, g in enumerate(row)]
+        return sorted(found)
+
+    assert [v[:3] for v in triples(1, 1000)] == [(i, t, j) for i in range(13) for t in range(i + 1, 13) for j in range(t + 1, 13)]
+    assert triples(3, 1) == triples(5, 30) == triples(1, 1000)

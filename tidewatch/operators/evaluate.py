@@ -144,7 +144,7 @@ def distribution_summary(df: DataFrame, keys: Sequence[str], value: str, levels:
 
 
 def split_gains(cost: DataFrame) -> DataFrame:
-    """C(i,j) - C(i,t) - C(t,j) for all i < t < j of cost rows (series_id, i, j, c)."""
+    """C(i,j) - C(i,t) - C(t,j) for all i < t < j of cost rows (series_id, i, j, c). Triples are shuffled: for few cells, see `segment.gauss_split_gains`."""
     a = cost.select("series_id", "i", F.col("j").alias("t"), F.col("c").alias("c1"))
     b = cost.select("series_id", F.col("i").alias("t"), "j", F.col("c").alias("c2"))
     return a.join(b, ["series_id", "t"]).join(cost, ["series_id", "i", "j"]).select("series_id", "i", "t", "j", (F.col("c") - F.col("c1") - F.col("c2")).alias("gain"))
